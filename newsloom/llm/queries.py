@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import line_dedup, quality_rules, secrets
+from newsloom.llm import line_dedup, mixing, quality_rules, secrets, substring_dedup
 from newsloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_digest(table(spark, sf_dir, "documents"), width=50)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"), min_points=10)
 
@@ -24,7 +32,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_line_dedup, op7_secret_scan, op10_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op4_line_dedup, op7_secret_scan, op10_quality_rules)}
 
 #: SQL has the same words, lines and hashes; DuckDB's trim set is written out.
 OP4_SQL = r"""
@@ -46,4 +54,4 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
 from j group by rid, doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op4_line_dedup": OP4_SQL}
