@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import line_dedup, mixing, quality_rules, secrets, substring_dedup
+from newsloom.llm import decontamination, jaccard_join, language_id, line_dedup, lm_scoring, mixing, quality_rules, secrets, substring_dedup, warc
 from newsloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,19 +20,45 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"), min_points=10)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.component_ids(table(spark, sf_dir, "documents"), size=5, percent=75)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisit_report(table(spark, sf_dir, "pages"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op4_line_dedup, op7_secret_scan, op10_quality_rules)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_substring_dedup, op2_mixing, op3_decontamination, op4_line_dedup, op5_language_id,
+        op6_jaccard_join, op7_secret_scan, op8_warc_revisits, op9_lm_scoring, op10_quality_rules,
+    )
+}
 
 #: SQL has the same words, lines and hashes; DuckDB's trim set is written out.
 OP4_SQL = r"""
@@ -54,4 +80,4 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
 from j group by rid, doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op4_line_dedup": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op4_line_dedup": OP4_SQL, "op8_warc_revisits": warc.SQL}
