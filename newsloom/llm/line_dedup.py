@@ -113,7 +113,7 @@ def dropped_lines(docs: DataFrame, min_points: int = 10) -> DataFrame:
 
 
 @F.udf(T.BinaryType())
-def _bitmap(pos) -> bytes:
+def _bitmap(pos):
     """Keep bits by line, in whole bytes up to the last dropped one; lines beyond are kept. Deflated."""
     keep = np.ones(max(pos) // 8 * 8 + 8, bool)
     keep[pos] = False

@@ -2,7 +2,7 @@ import random
 import re
 
 from newsloom.llm import jaccard_join as op
-from newsloom.llm.components import components
+from newsloom.operators.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {k: k + 32 for k in range(65, 91)}
@@ -65,9 +65,8 @@ def test_against_brute_force(spark):
     assert sorted(got, key=repr) == sorted(brute(rows, 5, 75), key=repr)
 
 
-def test_tiles_of_a_hot_group(spark, monkeypatch):
+def test_tiles_of_a_hot_group(spark):
     """Copies that link with the original, not with each other, and tiles that must be cut."""
-    monkeypatch.setattr(op, "TILE", 8)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(200)]
     rows = [(0, " ".join(base))]
@@ -77,12 +76,19 @@ def test_tiles_of_a_hot_group(spark, monkeypatch):
             w[at] = f"e{d}_{at}"
         rows.append((d, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [tuple(r) for r in op.component_ids(df).collect()]
+    got = [tuple(r) for r in op.component_ids(df, small=4, tile=8).collect()]
     assert sorted(got) == sorted(brute(rows, 5, 75))
     kept = op.representatives(df.selectExpr("*", "1 as `whole`", "doc_id as doc")).collect()
     assert {r.doc_id for r in kept} == {c for _, _, c in got}
 
 
+def test_all_shingles_large(spark):
+    rows = corpus(8, 150, 6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in op.component_ids(df, small=1, tile=5).collect()]
+    assert sorted(got) == sorted(brute(rows, 5, 75))
+
+
 def test_repeated_rows_leave_one(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (3, ""), (3, ""), (4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
