@@ -4,25 +4,30 @@ A document's set holds its distinct shingles of `size` words (A-Z lower-cased; w
 whole sequence is the one shingle). Two documents link when 100 * intersection >= percent * union. The
 result names each document's group: the smallest doc_id that links reach.
 
-1. Survey. Documents with equal sets become one node, named by its set; copies need no pairs. Each task
+1. Survey. Documents with equal sets become one node, named by its set; copies need no pairs. Each node
+   gets a bitmap of two to four bits for each element, in which every element flips one bit. Each task
    also counts shingles that are frequent in it; the globally most frequent (at most MAX_FREQUENT, about
    1 MB, an order hint only) are broadcast.
 2. Prefix rows. All sets are sorted in one global order: infrequent shingles by hash, then frequent ones
    by rising frequency. Linked sets share a shingle within their first n - ceil(percent * n / 100) + 1;
    only these become rows (shingle, node, n), and passages that everybody quotes are rarely among them.
-3. Rows are dealt out by shingle and sorted by set size. A streamed pass drops shingles of one node and
-   gives each other row a leader, the smallest set of compatible size. Each node is verified against the
-   leader that it shares most shingles with; the links make the first components.
-4. Tiles. Shingles whose nodes are in more than one component are left. Their rows go to tiles of
-   (shingle, size band), a large band cut into (part, part) tiles of at most TILE nodes each, so that no
-   tile grows with the group. In a tile, set pairs of different components are held against each other
-   by their bitmaps: the bits in which two bitmaps differ are at most the symmetric difference, which
-   bounds the overlap from above; pairs that could reach the threshold go on.
-5. The pairs left are verified by intersecting the sorted arrays; components are made of all links.
-
-A pair that step 4 doesn't see shares no prefix shingle, or is in one component already: no link
-between different components is lost. Sets are fetched only for nodes that share a prefix shingle.
-Names of shingles and sets are 64-bit hashes.
+3. Rows are dealt out by shingle and sorted by set size; a streamed pass makes candidate pairs. A shingle
+   of at most SMALL nodes is one tile, and gives the pairs of compatible size. A larger one gives only
+   pairs with a leader, the smallest set of each size band, and its rows are kept, cut by size into
+   chunks of TILE nodes.
+4. Two bitmaps differ in at most as many bits as the sets differ in elements, which bounds the overlap
+   from above: pairs that can't reach the threshold go. Bitmaps move, sets and texts don't.
+5. The pairs left are verified by intersecting the sorted arrays, made from the two texts; their links
+   make the first components.
+6. A large shingle whose rows all reached their leader's component is settled, as it needs no more
+   links. The rows of others meet in tiles of two chunks whose size bands are compatible. Of the pairs
+   of different components that a tile's bitmaps can't rule out, a cheapest spanning forest is verified,
+   not all of them: first with each node under one shingle alone, then under all that aren't settled.
+   Where a pair of the forest doesn't link, the nearest sixteen pairs of each two components follow, and
+   then all that are left.
+
+A pair that isn't verified shares no prefix shingle, differs in too many bits, or is in one component
+anyway: no link between different components is lost. Names of shingles and sets are 64-bit hashes.
 
 Defined cases: a null or empty text, or one without words, has the empty set, links with nothing and is
 its own group; a null doc_id counts as larger than all others, and a group of such rows alone has a null
@@ -40,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.bytegrid import NO_ID, Grid, blocks, ids, inside, longs, mix, span_sums, window_hashes
-from newsloom.llm.components import components
+from newsloom.operators.components import components
 from newsloom.llm.rows import ordered_id, row_key, shown_id, slim, whole
 from newsloom.session import staged
 
@@ -48,8 +53,10 @@ from newsloom.session import staged
 MAX_FREQUENT = 1 << 16
 #: A shingle is frequent in a task from so many of CHUNK shingles' documents on.
 LOCAL_FREQUENT, CHUNK = 8, 1 << 22
-#: Most nodes of one part of a tile.
-TILE = 1024
+#: Most nodes of a shingle whose pairs are listed without bitmaps, and of one side of a tile.
+SMALL, TILE = 64, 1024
+#: Candidate pairs that a task gathers before it drops repeated ones.
+GATHER = 1 << 19
 
 
 def shingle_sets(grid: Grid, size: int, rank: "Frequent | None" = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,23 +109,24 @@ class Frequent:
 
 
 def _survey(size: int):
-    """Rows (member, doc, row_key, n, name): members and their node, or frequent shingles and their count."""
+    """Rows (member, doc, row_key, n, name, bits): members and their node, or frequent shingles and their count."""
 
-    def out(member: bool, doc: np.ndarray, row: np.ndarray, n: np.ndarray, name: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), member)), longs(doc), longs(row), pa.array(n.astype(np.int64)), longs(name)], ["member", "doc", "row_key", "n", "name"])
+    def out(member: bool, doc: np.ndarray, row: np.ndarray, n: np.ndarray, name: np.ndarray, bits: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), member)), longs(doc), longs(row), pa.array(n.astype(np.int64)), longs(name), pa.array(bits, pa.binary())], ["member", "doc", "row_key", "n", "name", "bits"])
 
     def often(parts: list[np.ndarray]) -> pa.RecordBatch:
         s, count = np.unique(np.concatenate(parts), return_counts=True)
         many = count >= LOCAL_FREQUENT
         none = np.zeros(int(many.sum()), np.int64)
-        return out(False, none, none, count[many], s[many])
+        return out(False, none, none, count[many], s[many], [b""] * len(none))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, seen = [], 0, np.zeros(0, np.uint64)
         for batch, texts in blocks(batches):
             doc, s, n = shingle_sets(Grid(texts).words(), size)
             name = nodes(doc, s, n)
-            yield out(True, ids(batch), ids(batch, "row_key"), n, name)
+            own = np.split(s, np.cumsum(n)[:-1])
+            yield out(True, ids(batch), ids(batch, "row_key"), n, name, [bitmap(x).tobytes() for x in own])
             fresh = np.zeros(len(n), bool)
             fresh[np.unique(name, return_index=True)[1]] = True
             fresh &= ~np.isin(name, seen)
@@ -155,49 +163,97 @@ def _prefix_rows(size: int, percent: int, frequent: Frequent):
     return run
 
 
-def _leaders(percent: int):
-    """Of rows sorted by key, size and node: those of keys with two nodes or more, with a leader.
-
-    A leader leads the sets that are small enough to link with it; the next one is the first beyond.
-    Only the open group's leader and its first row are kept between batches.
-    """
+def _candidates(percent: int, small: int = SMALL, tile: int = TILE):
+    """Rows sorted by key, size and node -> (large, a, b, key, n, chunk): candidate pairs (a, b), and all
+    rows b of large keys with their leader a. Of an open group at most `small` rows are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead_key = lead = lead_n = None
-        shown = True  # whether the leader's own row went out
+        pairs: list[np.ndarray] = []
+        held = 0
+        open_: list[tuple[int, int]] = []  # (node, n) of the open group, while it is small
+        key = lead = None  # the open group's key; (node, n, rows so far) of the current leader once it is large
         last = (None, None)
+
+        def distinct() -> pa.RecordBatch:
+            p = np.concatenate(pairs)
+            p.sort(axis=1)
+            u = p.view(np.uint64)
+            _, at = np.unique(mix(u[:, 0], 1) * np.uint64(3) + mix(u[:, 1], 2), return_index=True)
+            none = pa.nulls(len(at), pa.int64())
+            return _rows(np.zeros(len(at), bool), p[at, 0], p[at, 1], none, pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int32()))
+
+        def compatible(group: list[tuple[int, int]]) -> list[tuple[int, int]]:
+            out = []
+            for j in range(1, len(group)):
+                b, nb = group[j]
+                for i in range(j - 1, -1, -1):
+                    if 100 * group[i][1] < percent * nb:
+                        break  # smaller ones come before
+                    out.append((group[i][0], b))
+            return out
+
+        def led(large: list, k: int, rows: list[tuple[int, int]]) -> None:
+            nonlocal lead
+            for x, m in rows:
+                node, size, count = lead or (x, m, 0)
+                large.append((node, x, k, m, count // tile))
+                # The first set that is too large for its leader leads on; its row still shows the former one.
+                lead = (x, m, count + 1) if 100 * size < percent * m else (node, size, count + 1)
+
         for batch in batches:
-            rows: list[tuple[int, int, int, int]] = []
-            key, node, n = (batch.column(i).to_numpy() for i in range(3))
-            # Groups of one row inside the batch are most rows; they never reach the loop.
-            alone = np.zeros(len(key), bool)
-            if len(key) > 2:
-                alone[1:-1] = (key[1:-1] != key[:-2]) & (key[1:-1] != key[2:])
-            at = np.flatnonzero(~alone)
-            for k, x, m in zip(key[at].tolist(), node[at].tolist(), n[at].tolist(), strict=True):
-                if (k, x) == last:
-                    continue  # the same set from two tasks
-                last = (k, x)
-                if k != lead_key or 100 * lead_n < percent * m:
-                    # A new leader within a key is shown at once: the key has other nodes.
-                    if k == lead_key:
-                        if not shown:
-                            rows.append((k, lead, lead_n, lead))
-                        rows.append((k, x, m, x))
-                    shown = k == lead_key
-                    lead_key, lead, lead_n = k, x, m
-                    continue
-                if not shown:
-                    rows.append((k, lead, lead_n, lead))
-                    shown = True
-                rows.append((k, x, m, lead))
-            if rows:
-                a = np.array(rows, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1]), pa.array(a[:, 2].astype(np.int32)), pa.array(a[:, 3])], ["key", "node", "n", "leader"])
+            if not batch.num_rows:
+                continue
+            keys, nodes_, sizes = (batch.column(i).to_numpy() for i in range(3))
+            new = np.ones(len(keys), bool)
+            new[1:] = (keys[1:] != keys[:-1]) | (nodes_[1:] != nodes_[:-1])
+            new[0] = (int(keys[0]), int(nodes_[0])) != last  # the same set from two tasks counts once
+            last = (int(keys[-1]), int(nodes_[-1]))
+            keys, nodes_, sizes = keys[new], nodes_[new], sizes[new]
+            if not len(keys):
+                continue
+            cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+            width = np.diff(cuts)
+            inner = np.arange(len(width))
+            whole_ = (inner > 0) & (inner < len(width) - 1)  # groups that begin and end in this batch
+            two = cuts[:-1][whole_ & (width == 2)]
+            two = two[100 * sizes[two].astype(np.int64) >= percent * sizes[two + 1].astype(np.int64)]
+            if len(two):
+                pairs.append(np.stack([nodes_[two], nodes_[two + 1]], axis=1))
+            found: list[tuple[int, int]] = []
+            large: list[tuple[int, int, int, int, int]] = []
+            for g in np.flatnonzero(~whole_ | (width > 2)).tolist():
+                i, j = int(cuts[g]), int(cuts[g + 1])
+                if int(keys[i]) != key:
+                    found += compatible(open_)
+                    key, lead, open_ = int(keys[i]), None, []
+                group = list(zip(nodes_[i:j].tolist(), sizes[i:j].tolist(), strict=True))
+                if lead is None and len(open_) + len(group) <= small:
+                    open_ += group
+                else:
+                    led(large, key, open_ + group)
+                    open_ = []
+            if found:
+                pairs.append(np.array(found, np.int64))
+            if large:
+                x = np.array(large, np.int64)
+                yield _rows(np.ones(len(x), bool), x[:, 0], x[:, 1], pa.array(x[:, 2]), pa.array(x[:, 3].astype(np.int32)), pa.array(x[:, 4].astype(np.int32)))
+            held += sum(map(len, pairs[-2:]))
+            if held > GATHER:
+                yield distinct()
+                pairs, held = [], 0
+        found = compatible(open_)
+        if found:
+            pairs.append(np.array(found, np.int64))
+        if pairs:
+            yield distinct()
 
     return run
 
 
+def _rows(large: np.ndarray, a: np.ndarray, b: np.ndarray, key: pa.Array, n: pa.Array, chunk: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(large), pa.array(a), pa.array(b), key, n, chunk], ["large", "a", "b", "key", "n", "chunk"])
+
+
 def bitmap_words(n: int) -> int:
     """64-bit words of a set's bitmap: two to four bits for each element, a power of two, the same within a factor two of size."""
     return max(1, 1 << max(0, (2 * n - 1).bit_length() - 6))
@@ -218,85 +274,153 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def _sets(size: int):
+def _bounded(percent: int):
+    """(a, b, na, nb, bits of both, places of both) -> (a, b, places): pairs that their bitmaps can't rule out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches):
-            doc, s, n = shingle_sets(Grid(texts).words(), size)
-            own = np.split(s, np.cumsum(n)[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [longs(nodes(doc, s, n)), pa.array(n.astype(np.int32)), pa.array([bitmap(x).tobytes() for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())],
-                ["node", "n", "bits", "hashes"],
-            )
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            near = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+            most = (100 - percent) * (na + nb) // (100 + percent)
+            xs, ys = batch.column(4), batch.column(5)
+            for i in np.flatnonzero(near).tolist():
+                x, y = np.frombuffer(xs[i].as_buffer(), np.uint64), np.frombuffer(ys[i].as_buffer(), np.uint64)
+                w = min(len(x), len(y))
+                near[i] = int(np.bitwise_count(folded(x, w) ^ folded(y, w)).sum()) <= most[i]
+            take = pa.array(np.flatnonzero(near))
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(take) for i in (0, 1, 6, 7, 8, 9)], ["a", "b", "doc_a", "row_a", "doc_b", "row_b"])
 
     return run
 
 
-def _differ_at_most(total: np.ndarray, percent: int) -> np.ndarray:
-    """The largest symmetric difference of linked sets whose sizes add up to `total`."""
-    return (100 - percent) * total // (100 + percent)
+PLACED = "a long, b long, doc_a long, row_a long, doc_b long, row_b long"
+
 
+def bounded(pairs: DataFrame, nodes_: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes that may link, and a row of documents that holds each."""
+    of = lambda s: nodes_.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits{s}"), F.col("doc").alias(f"doc{s}"), F.col("row_key").alias(f"row{s}"))
+    both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    return both.select("a", "b", "na", "nb", "bitsa", "bitsb", "doca", "rowa", "docb", "rowb").mapInArrow(_bounded(percent), PLACED)
 
-def _verify(percent: int):
-    """Rows (a, b, na, nb, bits and hashes of both) -> the linked (a, b)."""
+
+def _verify(size: int, percent: int):
+    """(a, b, texts of both) -> the linked (a, b)."""
+
+    def arrays(texts: list[bytes]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        at, held = 0, 0
+        for i in range(len(texts) + 1):
+            if i == len(texts) or held and held + len(texts[i]) > 1 << 20:
+                _, s, n = shingle_sets(Grid(texts[at:i]).words(), size)
+                out += np.split(s, np.cumsum(n)[:-1])
+                at, held = i, 0
+            held += len(texts[i]) if i < len(texts) else 0
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for a, b, na, nb, ba, bb, ha, hb in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x, y = np.frombuffer(ba, np.uint64), np.frombuffer(bb, np.uint64)
-                w = min(len(x), len(y))
-                most = (100 - percent) * (na + nb) // (100 + percent)
-                if int(np.bitwise_count(folded(x, w) ^ folded(y, w)).sum()) > most:
-                    continue
-                both = np.concatenate([np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64)])
+            if not batch.num_rows:
+                continue
+            sides = []
+            for k in (2, 3):  # a text that meets many others comes to one array
+                texts = batch.column(k).cast(pa.binary()).dictionary_encode()
+                made = arrays(texts.dictionary.to_pylist())
+                sides.append([made[i] for i in texts.indices.to_pylist()])
+            ok = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(*sides, strict=True)):
+                both = np.concatenate([x, y])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (na + nb - common):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+                ok[i] = 100 * common >= percent * (len(both) - common)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes that link."""
-    of = lambda side: sets.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}"), F.col("hashes").alias(f"hashes{side}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a")
-    return both.select("a", "b", "na", "nb", "bitsa", "bitsb", "hashesa", "hashesb").mapInArrow(_verify(percent), "a long, b long")
-
-
-def _tile_pairs(percent: int):
-    """Pairs of a tile that its bitmaps can't rule out. Rows come sorted by tile; a tile is bounded."""
-
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        own = [r for r in rows if r[7]]
-        for words in sorted({len(r[6]) // 8 for r in own}):
-            mine = [r for r in own if len(r[6]) // 8 == words]
-            for w2 in sorted({len(r[6]) // 8 for r in rows}):
-                other = [r for r in rows if len(r[6]) // 8 == w2]
-                w = min(words, w2)
-                x = folded(np.stack([np.frombuffer(r[6], np.uint64) for r in mine]), w)
-                y = folded(np.stack([np.frombuffer(r[6], np.uint64) for r in other]), w)
-                col = lambda rs, i: np.array([r[i] for r in rs], np.int64)
-                nx, ny, cx, cy, px, py, gx = col(mine, 3), col(other, 3), col(mine, 4), col(other, 4), col(mine, 5), col(other, 5), col(other, 7)
-                dx, dy = col(mine, 2), col(other, 2)
-                step = max(1, (1 << 20) // max(1, len(other) * w))
+def verified(near: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs of `near` that link, by the texts of `rows`."""
+    text = rows.select("doc_id", "row_key", "text")
+    one = near.withColumnsRenamed({"doc_a": "doc_id", "row_a": "row_key"}).join(text.withColumnRenamed("text", "text_a"), ["doc_id", "row_key"]).drop("doc_id", "row_key")
+    two = one.withColumnsRenamed({"doc_b": "doc_id", "row_b": "row_key"}).join(text.withColumnRenamed("text", "text_b"), ["doc_id", "row_key"])
+    return two.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a long, b long").distinct()
+
+
+def _forest(u: np.ndarray, v: np.ndarray, cost: np.ndarray, comp: dict[int, int]) -> np.ndarray:
+    """Of pairs (u, v), those of a cheapest spanning forest over the components. Each round takes every component's cheapest pair."""
+    order = np.argsort(cost, kind="stable")
+    names, code = np.unique(np.array([comp[x] for x in np.concatenate([u, v]).tolist()]), return_inverse=True)
+    a, b = code[: len(u)][order], code[len(u) :][order]
+    root = np.arange(len(names))
+    taken: list[int] = []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return int(x)
+
+    while len(order):
+        _, first = np.unique(np.concatenate([a, b]), return_index=True)
+        for e in np.unique(first % len(order)).tolist():
+            x, y = find(int(a[e])), find(int(b[e]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                taken.append(int(order[e]))
+        flat = np.array([find(i) for i in range(len(names))])
+        a, b = flat[a], flat[b]
+        on = a != b
+        order, a, b = order[on], a[on], b[on]
+    return np.array(taken, np.int64)
+
+
+def _tile_pairs(percent: int, most: int):
+    """Pairs of different components in a tile that its bitmaps can't rule out, nearest first: a spanning
+    forest (most 0), up to `most` of each two components, or all (most < 0). A tile is bounded."""
+
+    def pairs(rows: list[tuple]) -> np.ndarray:
+        # (key, tile, node, n, component, bits, right): a tile of one chunk has left rows only.
+        left, right = [r for r in rows if not r[6]], [r for r in rows if r[6]]
+        square = not right
+        right = right or left
+        col = lambda rs, i: np.array([r[i] for r in rs], np.int64)
+        found: list[np.ndarray] = []
+        for w1 in sorted({len(r[5]) for r in left}):
+            mine = [r for r in left if len(r[5]) == w1]
+            for w2 in sorted({len(r[5]) for r in right}):
+                other = [r for r in right if len(r[5]) == w2]
+                w = min(w1, w2) // 8
+                x = folded(np.stack([np.frombuffer(r[5], np.uint64) for r in mine]), w)
+                y = folded(np.stack([np.frombuffer(r[5], np.uint64) for r in other]), w)
+                dx, dy, nx, ny, cx, cy = col(mine, 2), col(other, 2), col(mine, 3), col(other, 3), col(mine, 4), col(other, 4)
+                step = max(1, (1 << 20) // (len(other) * w))
                 for i in range(0, len(mine), step):
                     j = slice(i, i + step)
                     lo, hi = np.minimum(nx[j, None], ny[None]), np.maximum(nx[j, None], ny[None])
                     ok = (cx[j, None] != cy[None]) & (100 * lo >= percent * hi)
-                    # Own pairs meet twice, once from either side; guests once.
-                    ok &= (dx[j, None] < dy[None]) | (gx[None] == 0)
-                    ok &= (px[j, None] != py[None]) | rows[0][8]
+                    if square:
+                        ok &= dx[j, None] < dy[None]
                     at = np.nonzero(ok)
                     if len(at[0]):
                         differ = np.bitwise_count(x[j][at[0]] ^ y[at[1]]).sum(axis=1)
-                        near = differ <= _differ_at_most(nx[j][at[0]] + ny[at[1]], percent)
-                        yield from zip(dx[j][at[0][near]].tolist(), dy[at[1][near]].tolist(), strict=True)
+                        near = differ <= (100 - percent) * (nx[j][at[0]] + ny[at[1]]) // (100 + percent)
+                        found.append(np.stack([dx[j][at[0][near]], dy[at[1][near]], differ[near].astype(np.int64)], axis=1))
+        p = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        if most < 0 or not len(p):
+            return p[:, :2]
+        comp = {r[2]: r[4] for r in rows}
+        if most == 0:
+            return p[_forest(p[:, 0], p[:, 1], p[:, 2], comp), :2]
+        p = p[np.argsort(p[:, 2], kind="stable")]
+        ends = np.sort(np.array([[comp[a], comp[b]] for a, b in p[:, :2].tolist()], np.int64), axis=1).view(np.uint64)
+        name = mix(ends[:, 0], 1) * np.uint64(3) + mix(ends[:, 1], 2)
+        order = np.argsort(name, kind="stable")
+        head = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
+        place = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
+        return p[order[place < most], :2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(rows: list[tuple]) -> pa.RecordBatch:
-            got = np.array(sorted({(min(p), max(p)) for p in pairs(rows)}), np.int64).reshape(-1, 2)
+            got = np.sort(pairs(rows), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
 
         tile, rows = None, []
@@ -313,73 +437,92 @@ def _tile_pairs(percent: int):
     return run
 
 
-def tiles(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs from rows (key, node, n, component) of shingles that hold several components."""
-    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + 1e-9).cast("long")
-    banded = rows.withColumn("band", band)
-    count = banded.groupBy("key", "band").agg(F.count("*").alias("in_band"))
-    # A set is at home in its band, and a guest in the next one, whose smallest sets may link with it.
-    homes = F.explode(F.array(F.struct(F.col("band").alias("band"), F.lit(True).alias("home")), F.struct((F.col("band") + 1).alias("band"), F.lit(False).alias("home")))).alias("h")
-    at = banded.select("key", "node", "n", "component", homes).select("key", "node", "n", "component", "h.band", "h.home")
-    sized = at.join(count, ["key", "band"])  # a band without sets at home has no pairs
-    guests = at.filter("not home").groupBy("key", "band").agg(F.count("*").alias("guests"))
-    sized = sized.join(guests, ["key", "band"], "left")
-    parts = F.ceil((F.col("in_band") + F.coalesce("guests", F.lit(0))) / F.lit(float(TILE))).cast("int")
-    sized = sized.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("long"))
-    cut = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    one, two = F.least("part", F.col("other").cast("long")), F.greatest("part", F.col("other").cast("long"))
-    cut = cut.select("key", F.xxhash64("key", "band", one, two).alias("tile"), "node", "n", "component", "part", F.col("home").cast("int").alias("home"), (one == two).alias("square"))
-    held = cut.join(sets.select("node", "bits"), "node").select("key", "tile", "node", "n", "component", "part", "bits", "home", "square")
+def tiles(rows: DataFrame, nodes_: DataFrame, known: DataFrame, percent: int, most: int) -> DataFrame:
+    """Pairs of different components that may link, from rows (key, chunk, node, n) of large shingles."""
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return held.repartition(spread, "tile").sortWithinPartitions("key", "tile").mapInArrow(_tile_pairs(percent), "a long, b long").distinct()
-
-
-def grouped(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    full = rows.withColumn("last", F.max("chunk").over(Window.partitionBy("key")))
+    full = full.join(nodes_.select("node", "bits"), "node").join(known.withColumnRenamed("root", "component"), "node", "left")
+    full = full.select("key", "chunk", "node", "n", F.coalesce("component", "node").alias("component"), "bits", "last")
+    one_tile = full.filter("last = 0").select("key", F.lit(0).cast("long").alias("tile"), "node", "n", "component", "bits", F.lit(False).alias("right"))
+    bands = rows.groupBy("key", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    one = bands.select("key", F.col("chunk").alias("c1"), F.col("hi").alias("hi1"))
+    two = bands.select("key", F.col("chunk").alias("c2"), F.col("lo").alias("lo2"))
+    met = one.join(two, "key").filter((F.col("c1") <= F.col("c2")) & (100 * F.col("hi1") >= percent * F.col("lo2"))).select("key", "c1", "c2")
+    cut = full.filter("last > 0")
+    sides = [cut.join(met.filter("c1 < c2" if right else "true"), (cut["key"] == met["key"]) & (cut["chunk"] == met["c2" if right else "c1"])).select(cut["key"], F.xxhash64("c1", "c2").alias("tile"), "node", "n", "component", "bits", F.lit(right).alias("right")) for right in (False, True)]
+    return one_tile.unionByName(sides[0]).unionByName(sides[1]).repartition(spread, "key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_tile_pairs(percent, most), "a long, b long").distinct()
+
+
+def grouped(docs: DataFrame, size: int = 5, percent: int = 75, small: int = SMALL, tile: int = TILE) -> DataFrame:
     """(doc, row_key, n, root): the set size of each row and its group; rows without words have a null root."""
-    spark = docs.sparkSession
-    rows = slim(docs)
-    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    survey = staged(rows.mapInArrow(_survey(size), "member boolean, doc long, row_key long, n long, name long"), "survey")
+    rows = slim(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    survey = staged(rows.mapInArrow(_survey(size), "member boolean, doc long, row_key long, n long, name long, bits binary"), "survey")
     members = survey.filter("member").select("doc", "row_key", "n", F.col("name").alias("node"))
+    own = survey.filter("member and n > 0").groupBy(F.col("name").alias("node"))
+    nodes_ = staged(own.agg(F.max("n").alias("n"), F.min(F.struct("doc", "row_key")).alias("at"), F.min("bits").alias("bits")).select("node", "n", "bits", "at.doc", "at.row_key"), "nodes")
     top = survey.filter("not member").groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(MAX_FREQUENT).toArrow()
     frequent = Frequent(top["name"].to_numpy().view(np.uint64), top["n"].to_numpy())
 
     prefixes = rows.mapInArrow(_prefix_rows(size, percent, frequent), "key long, node long, n int")
     dealt = prefixes.repartition(spread, "key").sortWithinPartitions("key", "n", "node")
-    shared = staged(dealt.mapInArrow(_leaders(percent), "key long, node long, n int, leader long"), "shared")
-
-    # The texts of one row for each node that shares a shingle.
-    wanted = shared.select("node").distinct()
-    at = members.join(wanted, "node").groupBy("node").agg(F.min(F.struct("doc", "row_key")).alias("at")).select("at.doc", "at.row_key")
-    texts = rows.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).join(at.hint("shuffle_hash"), ["doc", "row_key"]).select("text")
-    sets = staged(texts.mapInArrow(_sets(size), "node long, n int, bits binary, hashes binary"), "sets")
-
-    led = shared.filter("leader <> node").groupBy("node", "leader").agg(F.count("*").alias("keys"))
-    best = led.groupBy("node").agg(F.max_by("leader", F.struct("keys", "leader")).alias("leader"))
-    first = staged(verified(best.select(F.col("leader").alias("a"), F.col("node").alias("b")), sets, percent), "links")
-    known = components(first)
-
-    labelled = shared.select("key", "node", "n").join(known.withColumnRenamed("root", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = staged(labelled, "labelled")
-    open_ = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    more = verified(tiles(labelled.join(open_, "key"), sets, percent), sets, percent)
-    links = staged(first.unionByName(more), "links")
+    shared = staged(dealt.mapInArrow(_candidates(percent, small, tile), "large boolean, a long, b long, key long, n int, chunk int"), "shared")
+
+    pairs = shared.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = staged(bounded(pairs, nodes_, percent), "near")
+    links = staged(verified(near, rows, size, percent), "links")
     roots = components(links)
+
+    # Rows of large shingles that aren't in their leader's component.
+    large = shared.filter("large")
+    tried = near.select("a", "b")
+    texts = None
+    # A forest connects what can be connected with one pair for each node. It is made first with each
+    # node under one of its shingles alone, which most copies of a text have in common, then under all
+    # shingles that aren't settled by then. Only where one of its pairs turns out not to link, others may
+    # still, and the last two rounds look at these.
+    for step, most in enumerate((0, 0, 16, -1)):
+        apart = staged(_apart(large, roots), "apart")
+        if apart.isEmpty():
+            break
+        keys = large.join(apart, ["a", "b"]).select("key").distinct()
+        left = large.join(keys, "key", "left_semi").select("key", "chunk", F.col("b").alias("node"), "n")
+        if texts is None:
+            held = nodes_.join(left.select("node").distinct(), "node", "left_semi").select(F.col("doc").alias("doc_id"), "row_key")
+            texts = staged(rows.join(held.hint("shuffle_hash"), ["doc_id", "row_key"]), "texts")
+        if step == 0:
+            left = left.groupBy("node").agg(F.min(F.struct(F.xxhash64("key"), "key", "chunk", "n")).alias("x")).select("x.key", "x.chunk", "node", "x.n")
+        found = staged(tiles(staged(left, "large"), nodes_, roots, percent, most), "found")
+        more = staged(bounded(found.join(tried, ["a", "b"], "left_anti"), nodes_, percent), "near")
+        good = staged(verified(more, texts, size, percent), "links")
+        links, tried = links.unionByName(good), tried.unionByName(more.select("a", "b"))
+        n_found, n_good = found.count(), good.count()
+        if n_good:
+            roots = components(links)
+        if step and n_good == n_found:
+            break  # every pair of a whole forest links, so its components are the components
     both = members.join(roots, "node", "left")
     return both.select("doc", "row_key", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
 
 
-def component_ids(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+def _apart(large: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): leaders and rows b of large shingles that aren't in one component."""
+    root_of = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+    pairs = large.filter("a <> b").select("a", "b").distinct().join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def component_ids(docs: DataFrame, size: int = 5, percent: int = 75, small: int = SMALL, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
-    g = staged(grouped(docs, size, percent), "groups")
+    g = staged(grouped(docs, size, percent, small, tile), "groups")
     least = g.filter("root is not null").groupBy("root").agg(F.min("doc").alias("least"))
     both = g.join(least, "root", "left").withColumn("least", F.coalesce("least", "doc"))
     return both.select(shown_id("doc").alias("doc_id"), F.col("n").alias("n_shingles"), shown_id("least").alias("component_id"))
 
 
-def representatives(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+def representatives(docs: DataFrame, size: int = 5, percent: int = 75, small: int = SMALL, tile: int = TILE) -> DataFrame:
     """One row of `docs` for each group, its smallest doc_id; rows without words all stay."""
-    g = staged(grouped(docs, size, percent), "groups")
+    g = staged(grouped(docs, size, percent, small, tile), "groups")
     least = g.filter("root is not null").groupBy("root").agg(F.min(F.struct("doc", "row_key")).alias("x")).select("x.doc", "x.row_key", F.lit(True).alias("one"))
     alone = g.filter("root is null").select("doc", "row_key", F.lit(False).alias("one")).distinct()
     stay = least.unionByName(alone)
