@@ -52,9 +52,9 @@ HARMLESS = {"name", "type", "length", "size", "count", "field", "label", "url",
 
 _LITERAL = rb"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
 _NAME = rb"""[A-Za-z_][A-Za-z0-9_.\-]{0,80}"""
-#: A target, an operator, and either quoted pieces joined by + or ., or one bare word.
+#: A target, an operator, and either quoted pieces and names joined by + or ., or one bare word.
 PAIR = re.compile(
-    rb"""(?P<name>""" + _NAME + rb""")["'\]]{0,2}[ \t]*(?::=|=>|[:=])[ \t]*(?:(?P<quoted>""" + _LITERAL + rb"""(?:[ \t]*[+.][ \t]*(?:""" + _LITERAL + rb"""|""" + _NAME + rb"""))*)|(?P<bare>[^\s"'`;,#{}()\[\]]+))"""
+    rb"""(?P<name>""" + _NAME + rb""")["'\]]{0,2}[ \t]*(?::=|=>|[:=])[ \t]*(?:(?P<quoted>(?:""" + _LITERAL + rb"""|""" + _NAME + rb"""(?=[ \t]+\+[ \t]))(?:[ \t]*[+.][ \t]*(?:""" + _LITERAL + rb"""|""" + _NAME + rb"""))*)|(?P<bare>[^\s"'`;,#{}()\[\]]+))"""
 )
 _PIECE = re.compile(_LITERAL + rb"|" + _NAME)
 _REFERENCE = re.compile(rb"\$?\{?(" + _NAME + rb")\}?$")
