@@ -470,13 +470,15 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 75, small: int = SMAL
 
     pairs = shared.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = staged(bounded(pairs, nodes_, percent), "near")
-    links = staged(verified(near, rows, size, percent), "links")
+    large = shared.filter("large")
+    # The texts that verification may need, one for each node, leave the documents once.
+    asked = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).unionByName(large.select(F.col("b").alias("node"))).distinct()
+    held = nodes_.join(asked, "node", "left_semi").select(F.col("doc").alias("doc_id"), "row_key")
+    texts = staged(rows.join(held.hint("shuffle_hash"), ["doc_id", "row_key"]), "texts")
+    links = staged(verified(near, texts, size, percent), "links")
     roots = components(links)
 
-    # Rows of large shingles that aren't in their leader's component.
-    large = shared.filter("large")
     tried = near.select("a", "b")
-    texts = None
     # A forest connects what can be connected with one pair for each node. It is made first with each
     # node under one of its shingles alone, which most copies of a text have in common, then under all
     # shingles that aren't settled by then. Only where one of its pairs turns out not to link, others may
@@ -487,18 +489,15 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 75, small: int = SMAL
             break
         keys = large.join(apart, ["a", "b"]).select("key").distinct()
         left = large.join(keys, "key", "left_semi").select("key", "chunk", F.col("b").alias("node"), "n")
-        if texts is None:
-            held = nodes_.join(left.select("node").distinct(), "node", "left_semi").select(F.col("doc").alias("doc_id"), "row_key")
-            texts = staged(rows.join(held.hint("shuffle_hash"), ["doc_id", "row_key"]), "texts")
         if step == 0:
             left = left.groupBy("node").agg(F.min(F.struct(F.xxhash64("key"), "key", "chunk", "n")).alias("x")).select("x.key", "x.chunk", "node", "x.n")
         found = staged(tiles(staged(left, "large"), nodes_, roots, percent, most), "found")
         more = staged(bounded(found.join(tried, ["a", "b"], "left_anti"), nodes_, percent), "near")
         good = staged(verified(more, texts, size, percent), "links")
-        links, tried = links.unionByName(good), tried.unionByName(more.select("a", "b"))
+        tried = tried.unionByName(more.select("a", "b"))
         n_found, n_good = found.count(), good.count()
         if n_good:
-            roots = components(links)
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(good))
         if step and n_good == n_found:
             break  # every pair of a whole forest links, so its components are the components
     both = members.join(roots, "node", "left")
