@@ -97,3 +97,14 @@ def test_model_learns(spark):
     got = {r.doc_id: r for r in lm_scoring.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     usual = np.mean([r.bits_per_byte for d, r in got.items() if d < 1000 and r.held_out])
     assert usual < 1.0 < got[1000].bits_per_byte
+
+
+def test_every_context_is_predicted_from():
+    grid = Grid([b"ab cd", b"unseen pair xabcdeq yabcdeq"]).words()
+    t = lm_scoring.tokens(grid, grid.hashes(grid.ws, grid.we, 0, fold=True))
+    assert lm_scoring.CONTEXTS == t.first.context.shape[1] == t.rest.context.shape[1] == 4
+    # A first byte after words that were never seen still has the guess without any context.
+    assert len(np.unique(t.first.context[:, 0])) == 1 and len(np.unique(t.first.context[:, 3])) > 4
+    # The last bytes of the two long words: orders 2, 3 and 5 agree, the words so far don't.
+    last = [np.flatnonzero((t.rest.owner == w) & (t.rest.data == 32))[0] for w in t.word[-2:]]
+    assert [len(set(t.rest.context[last, k].tolist())) for k in range(4)] == [1, 1, 1, 2]
