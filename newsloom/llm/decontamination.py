@@ -3,6 +3,7 @@
 An item's features are its shingles of `size` words (A-Z lower-cased; an item of fewer words is one
 shingle), weighted by how often they occur. A document window of as many words as an item is a leak if
 the weighted Jaccard similarity of the two, sum of minima / sum of maxima, is at least `percent` / 100.
+A document of fewer words than an item is one window as a whole.
 
 1. Windows. A window without any of an item's shingles has similarity 0, so only windows around shared
    shingles are fingerprinted, all of them, at every offset and in every text as a whole.
@@ -151,31 +152,32 @@ def leaks(h: np.ndarray, s: np.ndarray, at: np.ndarray, items: Items, percent: i
     size, out = items.size, {}
     holders = items.holders(np.unique(s[at])) if len(at) else set()
     for n in sorted({int(items.lengths[i]) for i in holders if items.lengths[i] >= size}):
-        if n > len(h):
-            continue
-        starts = _near_hits(at, n - size, len(h) - n)
+        words = min(n, len(h))  # a shorter document is one window
+        if 100 * (words - size + 1) < percent * (n - size + 1) - 1e-9:
+            continue  # too few shingles to be like the item
+        starts = _near_hits(at, words - size, len(h) - words)
         # Prefix sums of the sign vectors, over each stretch of neighbouring windows, long ones in parts.
         cuts = np.union1d(np.flatnonzero(np.diff(starts) > 1) + 1, np.arange(STRETCH, len(starts), STRETCH))
         for run in np.split(starts, cuts.astype(np.int64)):
             if not len(run):
                 continue
-            lo, hi = int(run[0]), int(run[-1]) + n - size + 1
+            lo, hi = int(run[0]), int(run[-1]) + words - size + 1
             sums = np.zeros((hi - lo + 1, 64), np.int32)
             np.cumsum(signs(s[lo:hi]), axis=0, out=sums[1:])
-            prints = fingerprint(sums[n - size + 1 :] - sums[: -(n - size + 1)])
+            prints = fingerprint(sums[words - size + 1 :] - sums[: -(words - size + 1)])
             for w, p in zip(run.tolist(), prints.tolist(), strict=True):
                 near = items.near(n, p) & holders
                 if near:
-                    bag = Counter(s[w : w + n - size + 1].tolist())
+                    bag = Counter(s[w : w + words - size + 1].tolist())
                     for i in near:
                         got = similarity(bag, items.bags[i])
                         if 100 * got >= percent - 1e-9 and got > out.get(i, (0.0,))[0]:
-                            out[i] = (got, w, w + n, (int(items.prints[i]) ^ p).bit_count())
+                            out[i] = (got, w, w + words, (int(items.prints[i]) ^ p).bit_count())
     return [(i, *x) for i, x in sorted(out.items())]
 
 
 def _short_leaks(h: np.ndarray, items: Items) -> list[tuple[int, float, int, int, int]]:
-    """Items of fewer words than a shingle: a window is like one only if it is the same."""
+    """Items of fewer words than a shingle: a window is like one only if it is the same, so never in a shorter document."""
     out = []
     for n in sorted({int(x) for x in items.lengths if x < items.size}):
         if n <= len(h):

@@ -77,3 +77,39 @@ def test_empty_tables(spark):
     assert op.contaminated(docs, items.limit(0)).count() == 0
     assert op.clean_documents(docs, items.limit(0)).count() == 1
     assert op.contaminated(docs, items).count() == 1
+
+
+def brute_clipped(docs, items):
+    """Documents of fewer words than an item are one window."""
+    out = []
+    for d, t in docs:
+        w = words(t)
+        for i, x in items:
+            v = words(x)
+            best = max((op.similarity(bag(w[s : s + len(v)]), bag(v)) for s in range(max(len(w) - len(v), 0) + 1)), default=0) if v and w else 0
+            if 100 * best >= 75 - 1e-9:
+                out.append((d, i, round(best, 9)))
+    return out
+
+
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(rng.choice([2, 4, 5, 6, 9, 40, 400])))) for i in range(30)]
+    docs = []
+    for d in range(200):
+        x = words(items[d % 30][1])
+        for _ in range(rng.randrange(4)):
+            del x[: rng.randrange(2)]
+        x = x[rng.randrange(3) : len(x) - rng.randrange(len(x) // 4 + 2)]
+        docs.append((d, " ".join(x)))
+    docs += [(900, items[0][1].rsplit(" ", 1)[0]), (901, ""), (902, None)]
+    docs += [(1000 + i, " ".join(words(x)[:-1])) for i, x in items] + [(2000 + i, " ".join(words(x)[:9] + words(x)[10:])) for i, x in items]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = op.contaminated(d, b, block_items=7).collect()
+    want = brute_clipped(docs, items)
+    long = {i for i, x in items if len(words(x)) == 400}
+    assert long and all((2000 + i, i) in {(a, c) for a, c, _ in want} for i in long)
+    assert sorted(((r.doc_id, r.item_id, round(r.similarity, 9)) for r in found), key=repr) == sorted(want, key=repr)
+    size = {i: len(words(t)) for i, t in docs}
+    assert all(0 <= r.word_start < r.word_end <= size[r.doc_id] for r in found)
+    assert {r.doc_id for r in op.clean_documents(d, b).collect()} == {i for i, _ in docs} - {x[0] for x in want}
