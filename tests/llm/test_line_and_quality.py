@@ -107,3 +107,35 @@ def test_sketch_quantiles_are_close_and_merge(spark):
     own = quality_rules.sketches(df)
     f = quality_rules.fences(quality_rules.merged(own), gamma=1.02, reach=1.0).filter("rule = 'word_length'").first()
     assert abs(f.fence - (37.5 + 25)) < 2.5 and f.n == 5000
+
+
+def test_each_rule_alone_rejects_an_outlier(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 8)))
+    lines = lambda w: [" ".join(w[i : i + 6]) for i in range(0, len(w), 6)]
+    clean = lambda: lines([word() for _ in range(90)])
+
+    def phrases(times):  # repeated words inside lines that differ
+        return [f"one two three {x}" for x in lines([word() for _ in range(6 * times)])] + clean()
+
+    planted = {
+        "word_length": [x.replace(" ", "abcdefghabcdefgh ") for x in clean()],
+        "symbol_rate": [x.replace(" ", "# ") for x in clean()],
+        "dup_line_rate": [y for x in clean() for y in (x, "read on")],
+        "repeat_rate": phrases(20),
+    }
+    rows = [(d, "\n".join(clean()), "xx", "s") for d in range(300)]
+    rows += [(1000 + i, "\n".join(planted[r]), "xx", "s") for i, r in enumerate(quality_rules.RULES)]
+    rows += [(2000, "\n".join(["same line", *clean(), "same line"]), "xx", "s"), (2001, "\n".join(phrases(3)), "xx", "s")]  # small deviations
+    rows += [(3000 + d, "\n".join(phrases(20) if d % 8 == 0 else clean()), "xx", "usual") for d in range(300)]  # where repeats are usual
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.judged(df).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [d for d, r in sorted(got.items()) if not r.kept] == [1000, 1001, 1002, 1003]
+    assert {r.doc_id for r in quality_rules.filtered(df).collect()} == {d for d in got if got[d].kept}
+    # Each of them by its own rule only.
+    fence = next(f for f in quality_rules.group_fences(quality_rules.with_counts(df)).collect() if f.source == "s")
+    for i, rule in enumerate(quality_rules.RULES):
+        c = got[1000 + i]
+        value = {"word_length": c.word_chars, "symbol_rate": c.n_symbols, "dup_line_rate": 10 * c.n_dup_lines, "repeat_rate": c.n_repeat_words}
+        assert [r for r in value if value[r] / c.n_words > fence[f"fence_{r}"]] == [rule]
