@@ -243,7 +243,17 @@ _PRICES = "concat(cast(cast(floor(o_totalprice / 1000) as bigint) as string), ',
 
 @query("""select o_orderkey, [(floor(o_totalprice / 1000) + 0.5) * 1e6]::double[] as amounts, (o_orderkey % 97)::double as percent from orders where o_totalprice >= 1000 and o_totalprice < 1000000""")
 def extracted_numbers(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "orders").filter("o_totalprice >= 1000 and o_totalprice < 1000000").withColumn("n", extract_numbers(F.expr(_PRICES)))
+    return _extracted(table(spark, d, "orders").filter("o_totalprice >= 1000 and o_totalprice < 1000000"))
+
+
+@query()
+def extracted_numbers_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All orders; tested by brute force."""
+    return _extracted(table(spark, d, "orders"))
+
+
+def _extracted(orders: DataFrame) -> DataFrame:
+    t = orders.withColumn("n", extract_numbers(F.expr(_PRICES)))
     money = F.transform(F.filter("n", lambda x: x["unit"] == "usd"), lambda x: x["value"])
     percent = F.filter("n", lambda x: x["unit"] == "%")
     return t.select("o_orderkey", money.alias("amounts"), F.try_element_at(percent, F.lit(1))["value"].alias("percent"))
@@ -251,10 +261,19 @@ def extracted_numbers(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select o_orderkey, true as in_millions, o_orderkey % 2 = 0 as in_source from orders where o_orderkey % 1000 between 1 and 899")
 def grounded_numbers(spark: SparkSession, d: str) -> DataFrame:
+    return _grounded(table(spark, d, "orders").filter((F.col("o_orderkey") % 1000).between(1, 899)))
+
+
+@query()
+def grounded_numbers_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All orders, with those that the operator answers otherwise; tested by brute force."""
+    return _grounded(table(spark, d, "orders"))
+
+
+def _grounded(t: DataFrame) -> DataFrame:
     k = F.col("o_orderkey") % 1000
     said = F.concat(F.lit("it paid $"), k.cast("string"), F.lit(" million in all"))
     other = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("up "), k.cast("string"), F.lit("% on the year"))).otherwise(F.lit("no number here"))
-    t = table(spark, d, "orders").filter(k.between(1, 899))
     return t.select("o_orderkey", number_matches(k * 1e6, F.lit("usd"), said).alias("in_millions"), number_matches(k.cast("double"), F.lit("%"), other).alias("in_source"))
 
 

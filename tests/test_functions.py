@@ -114,3 +114,28 @@ def test_summary_responses(spark):
     assert one(spark, body % ev.replace('"q"', '"%s"' % ("x" * 201)), responses.parse_summary).problem == "quote_en"
     assert one(spark, body % ev.replace("}", ', "z": 1}'), responses.parse_summary).problem is not None
     assert one(spark, (body % ev).replace('"t"', '"%s"' % ("t" * 91)), responses.parse_summary).problem == "title_bg"
+
+
+def test_number_queries_cover_all_orders(spark, tmp_path):
+    import re
+
+    from newsloom.plans.queries import QUERIES
+
+    prices = [0.0, 5.5, 999.99, 1000.0, 123456.78, 999999.99, 1000000.0, 1234567.0, 123456789.0]
+    orders = [(k, prices[k % len(prices)]) for k in [*range(0, 2000, 7), *range(895, 1005), 1899, 1900, 2000]]
+    spark.createDataFrame(orders, "o_orderkey long, o_totalprice double").dropDuplicates(["o_orderkey"]).write.parquet(str(tmp_path / "orders.parquet"))
+    want = dict(orders)
+
+    def forms(v):
+        for scale, names in [(1e12, ["trillion", "t"]), (1e9, ["billion", "b"]), (1e6, ["million", "m"]), (1e3, ["thousand", "k"])]:
+            if v >= 0.9 * scale:
+                return [f"{v / scale:g}{gap}{n}" for n in names for gap in (" ", "")][:-1] + [f"${v / scale:g}{names[1]}"]
+        return [f"{v:g}"]
+
+    got = {r.o_orderkey: (r.in_millions, r.in_source) for r in QUERIES["grounded_numbers_whole"](spark, str(tmp_path)).collect()}
+    assert got == {k: (any(f in f"it paid ${k % 1000} million in all" for f in forms(k % 1000 * 1e6)), k % 2 == 0) for k in want}
+    assert not got[950][0] and got[899][0] and got[0][0]
+
+    found = {r.o_orderkey: (r.amounts, r.percent) for r in QUERIES["extracted_numbers_whole"](spark, str(tmp_path)).collect()}
+    last = lambda p: re.findall(r"\d{1,3}", str(int(p // 1000)))[-1]  # noqa: E731  (long runs are read three digits at a time)
+    assert found == {k: ([(int(last(p)) + 0.5) * 1e6], k % 97) for k, p in want.items()}
