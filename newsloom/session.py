@@ -14,14 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
+#: Most bytes of one Arrow batch sent to a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the Python workers, once per application.
+    """Send the package to the Python workers, once per application, and bound Arrow batches by bytes.
 
-    Executors need not have the package installed: Spark's own file server hands out the archive.
+    Executors need not have the package installed: Spark's own file server hands out the archive. A
+    batch of 10,000 rows, Spark's default, can be gigabytes of texts; a smaller bound set by the session
+    stays.
     """
     sc = spark.sparkContext
+    if sc.getConf().get(_BATCH_SETTING) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     if sc.applicationId in _shipped:
         return
     archive = Path(tempfile.mkdtemp(prefix="newsloom-")) / "newsloom_code.zip"
@@ -56,13 +63,25 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstaged(*frames: DataFrame) -> None:
+    """Remove staged tables that nothing will read any more (call it only once what reads them is staged itself)."""
+    for df in frames:
+        for item in list(_written):
+            if any(item[1] in f for f in df.inputFiles()):
+                _written.remove(item)
+                _remove(*item)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for item in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+            _remove(*item)
         except Exception:  # the session may be gone by now; the shared folder is then the cluster's to clear
             return
 
