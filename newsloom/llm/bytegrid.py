@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The six bytes between words, [\x20\x09-\x0D].
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -180,14 +181,14 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
         if not batch.num_rows:
             continue
         col = batch.column(batch.schema.get_field_index(text))
-        texts = [x or b"" for x in col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()]
-        at, got = 0, 0
-        for i, t in enumerate(texts):
-            if got and got + len(t) > size:
-                yield batch.slice(at, i - at), texts[at:i]
-                at, got = i, 0
-            got += len(t) + 1
-        yield batch.slice(at), texts[at:]
+        col = col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary())
+        upto = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at = 0
+        while at < len(upto):
+            before = int(upto[at - 1]) if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, before + size, "right")))
+            yield batch.slice(at, end - at), [x or b"" for x in col.slice(at, end - at).to_pylist()]
+            at = end
 
 
 def ids(batch: pa.RecordBatch, name: str = "doc_id") -> np.ndarray:

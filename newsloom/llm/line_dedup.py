@@ -4,10 +4,10 @@ Lines are split at newline; a line's key is the line without [\\x20\\x09-\\x0D]
 lower-cased. Keys of at least `min_points` code points that occur in two documents or more stay only
 in the smallest doc_id that holds them, there in all their places.
 
-1. Each input task names its lines by 128-bit hashes. A key that the task itself has seen in a smaller
-   document needs no further question: of each key the task sends on its smallest document's lines
-   only, marked `asks`, and settles the others itself. So a line that every document holds reaches
-   the shuffle once for each input task, not once for each document.
+1. Each input task names its lines by 128-bit hashes, FLUSH lines at a time. A key that these hold in a
+   smaller document needs no further question: of each key the task sends on its smallest document's
+   lines only, marked `asks`, and settles the others itself. So a line that every document holds reaches
+   the shuffle once for each FLUSH lines, not once for each document.
 2. The asking lines are range-partitioned by hash and sorted by hash, document and position; a stream
    over each partition keeps the first document of a key and marks the lines of the others. No group
    is held in memory.
@@ -25,18 +25,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.llm.bytegrid import IS_SPACE, Grid, blocks, ids, longs
-from newsloom.llm.rows import ordered_id, row_key, slim, whole
+from newsloom.llm.rows import numbered_schema, ordered_id, row_key, slim, unnumbered
 from newsloom.session import staged
 
 LINES = "k1 long, k2 long, doc long, row_key long, pos int, asks boolean"
 DROPS = "doc long, row_key long, pos int"
+#: Lines that a task holds before it settles what it can of them and sends them on. Any number gives the same result.
+FLUSH = 1 << 19
 
 
 def _stripped(grid: Grid) -> tuple[np.ndarray, np.ndarray]:
@@ -51,21 +52,8 @@ def _stripped(grid: Grid) -> tuple[np.ndarray, np.ndarray]:
     return s, e
 
 
-def _name_lines(min_points: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = []
-        for batch, texts in blocks(batches):
-            grid = Grid(texts).lines()
-            s, e = _stripped(grid)
-            points = grid.points()
-            use = np.flatnonzero(points[e] - points[s] >= min_points)
-            pos = np.arange(len(grid.ls)) - grid.llo[grid.ldoc]
-            parts.append([
-                grid.hashes(s[use], e[use], 0, fold=True), grid.hashes(s[use], e[use], 1, fold=True),
-                ids(batch)[grid.ldoc[use]], ids(batch, "row_key")[grid.ldoc[use]], pos[use].astype(np.int32),
-            ])
-        if not parts:
-            return
+def _name_lines(min_points: int, flush: int = FLUSH):
+    def settled(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         k1, k2, doc, row, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((doc, k2, k1))
         k1, k2, doc, row, pos = k1[order], k2[order], doc[order], row[order], pos[order]
@@ -79,6 +67,26 @@ def _name_lines(min_points: int):
                 ["k1", "k2", "doc", "row_key", "pos", "asks"],
             )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
+        held = 0
+        for batch, texts in blocks(batches):
+            grid = Grid(texts).lines()
+            s, e = _stripped(grid)
+            points = grid.points()
+            use = np.flatnonzero(points[e] - points[s] >= min_points)
+            pos = np.arange(len(grid.ls)) - grid.llo[grid.ldoc]
+            parts.append([
+                grid.hashes(s[use], e[use], 0, fold=True), grid.hashes(s[use], e[use], 1, fold=True),
+                ids(batch)[grid.ldoc[use]], ids(batch, "row_key")[grid.ldoc[use]], pos[use].astype(np.int32),
+            ])
+            held += len(use)
+            if held >= flush:
+                yield from settled(parts)
+                parts, held = [], 0
+        if parts:
+            yield from settled(parts)
+
     return run
 
 
@@ -112,29 +120,56 @@ def dropped_lines(docs: DataFrame, min_points: int = 10) -> DataFrame:
     return settled.unionByName(ranged.mapInArrow(_later, DROPS))
 
 
-@F.udf(T.BinaryType())
-def _bitmap(pos):
+def _bitmap(pos: np.ndarray) -> bytes:
     """Keep bits by line, in whole bytes up to the last dropped one; lines beyond are kept. Deflated."""
-    keep = np.ones(max(pos) // 8 * 8 + 8, bool)
+    keep = np.ones(int(pos.max()) // 8 * 8 + 8, bool)
     keep[pos] = False
     return zlib.compress(np.packbits(keep).tobytes())
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by document -> one bitmap for each. Of a document that batches cut, its positions are held."""
+
+    def out(docs: list[tuple[int, int]], positions: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([d for d, _ in docs], pa.int64()), pa.array([r for _, r in docs], pa.int64()), pa.array([len(np.unique(p)) for p in positions], pa.int64()), pa.array([_bitmap(p) for p in positions], pa.binary())],
+            ["doc", "row_key", "n_dropped", "bitmap"],
+        )
+
+    open_: tuple[int, int] | None = None
+    held: list[np.ndarray] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        doc, row, pos = (batch.column(i).to_numpy() for i in range(3))
+        cut = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])]))
+        docs, positions = [], []
+        for i, part in zip(cut.tolist(), np.split(pos, cut[1:]), strict=True):
+            name = (int(doc[i]), int(row[i]))
+            if open_ is not None and name != open_:
+                docs.append(open_)
+                positions.append(np.concatenate(held))
+                held = []
+            open_ = name
+            held.append(part)
+        if docs:
+            yield out(docs, positions)
+    if open_ is not None:
+        yield out([open_], [np.concatenate(held)])
+
+
 def keep_bitmaps(docs: DataFrame, min_points: int = 10) -> DataFrame:
     """(doc, row_key, n_dropped, bitmap) of each row that loses lines; bit i says whether line i stays."""
-    lost = dropped_lines(docs, min_points).groupBy("doc", "row_key").agg(F.collect_set("pos").alias("pos"))
-    return lost.select("doc", "row_key", F.size("pos").cast("long").alias("n_dropped"), _bitmap("pos").alias("bitmap"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lost = dropped_lines(docs, min_points).repartition(n, "doc", "row_key").sortWithinPartitions("doc", "row_key", "pos")
+    return lost.mapInArrow(_bitmaps, "doc long, row_key long, n_dropped long, bitmap binary")
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """(whole, bitmap): each row of `docs` as a struct, and its bitmap, null where all lines stay.
-
-    Texts move once, to the bitmap; the bitmaps are the hashed side. The struct keeps columns of any
-    name apart from the operator's own.
-    """
-    marked = docs.select(whole(docs), ordered_id().alias("doc"), row_key().alias("row_key"))
-    small = bitmaps.select("doc", "row_key", "bitmap").hint("shuffle_hash")
-    return marked.join(small, ["doc", "row_key"], "left").select("whole", "bitmap")
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, columns: list[Column]) -> DataFrame:
+    """`columns` of each row of `docs`, and its `bitmap`, null where all lines stay. Texts move once, to the bitmaps, which are the hashed side."""
+    marked = docs.select(ordered_id().alias("_doc"), row_key().alias("_row"), *columns)
+    small = bitmaps.select(F.col("doc").alias("_doc"), F.col("row_key").alias("_row"), "bitmap").hint("shuffle_hash")
+    return marked.join(small, ["_doc", "_row"], "left").drop("_doc", "_row")
 
 
 def kept_text(text: bytes, bitmap: bytes | None) -> tuple[bytes, int, int]:
@@ -160,18 +195,29 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_digest(docs: DataFrame, min_points: int = 10) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of each row."""
-    both = with_bitmaps(docs.select("doc_id", "text"), keep_bitmaps(docs, min_points))
-    flat = both.select(F.col("whole.doc_id").cast("long").alias("doc_id"), F.col("whole.text").cast("string").alias("text"), "bitmap")
-    return flat.mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    both = with_bitmaps(docs, keep_bitmaps(docs, min_points), [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")])
+    return both.mapInArrow(_digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+
 
+def _cut(place: int):
+    """Rows with their bitmap last -> the rows with their text, column `place`, cut."""
 
-@F.pandas_udf(T.StringType())
-def _cut(text: pd.Series, bitmap: pd.Series) -> pd.Series:
-    return pd.Series([kept_text(t.encode(), m)[0].decode() if isinstance(m, bytes) else t for t, m in zip(text, bitmap, strict=True)], dtype=object)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *columns, maps = batch.columns
+            text = columns[place]
+            cut = [t if m is None or t is None else kept_text(t, m)[0] for t, m in zip(text.cast(pa.binary()).to_pylist(), maps.to_pylist(), strict=True)]
+            columns[place] = pa.array(cut, pa.binary()).cast(text.type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return run
 
 
 def dedup_lines(docs: DataFrame, min_points: int = 10) -> DataFrame:
-    """`docs` with the dropped lines gone from text; other columns unchanged. A null text stays null."""
-    both = with_bitmaps(docs, keep_bitmaps(docs, min_points))
-    text = F.when(F.col("bitmap").isNull(), F.col("whole.text")).otherwise(_cut("whole.text", "bitmap"))
-    return both.select(*[text.alias(c) if c == "text" else F.col("whole").getField(c).alias(c) for c in docs.columns])
+    """`docs` with the dropped lines gone from text; other columns unchanged. A null text stays null.
+
+    The columns must be of types that Arrow can carry.
+    """
+    named = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    both = with_bitmaps(docs, keep_bitmaps(docs, min_points), named)
+    return both.mapInArrow(_cut(docs.columns.index("text")), T.StructType(numbered_schema(docs))).select(*unnumbered(docs))

@@ -1,6 +1,6 @@
 """What the operators expect of a table of documents, and how they name its rows.
 
-Only doc_id and text are needed; any other columns, whatever their names, are left out of the work and
+Only doc_id, an integer (or a string of digits; anything else fails in Spark's cast), and text are needed; any other columns, whatever their names, are left out of the work and
 come back unchanged where an operator returns whole documents. A row is named by (doc_id, hash of
 text): repeated rows have one name and one fate, rows that share only the id are told apart. A null
 doc_id counts as larger than every other id, so that such rows never count as the earlier copy.
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.llm.bytegrid import NO_ID
 from newsloom.session import ship
@@ -32,6 +33,29 @@ def whole(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The columns of `docs` under the names c0, c1, ..., which no operator's own columns clash with."""
+    ship(docs.sparkSession)
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def numbered_schema(docs: DataFrame) -> list[T.StructField]:
+    return [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)]
+
+
+def unnumbered(docs: DataFrame) -> list[Column]:
+    """The columns of `docs` again, from their numbered names."""
+    return [F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)]
+
+
+def small_side(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """`df`, a staged table of narrow rows, marked for broadcast if it is counted to be small.
+
+    A larger one is left to a shuffled join, whose skew AQE splits.
+    """
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
 def ordered_id(name: str = "doc_id") -> Column:
     """doc_id as a sortable long, NO_ID where null."""
     return F.coalesce(F.col(name).cast("long"), F.lit(NO_ID))

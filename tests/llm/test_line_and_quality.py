@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -102,11 +103,65 @@ def test_counts_and_verdicts(spark):
     assert quality_rules.judged(df.limit(0)).count() == 0
 
 
-def test_sketch_quantiles_are_close_and_merge(spark):
-    df = spark.range(5000).selectExpr("id as doc_id", "'l' as lang", "cast(id % 4 as string) as source", "100L as n_words", "id as word_chars", "0L as n_symbols", "0L as n_dup_lines", "0L as n_repeat_words")
-    own = quality_rules.sketches(df)
-    f = quality_rules.fences(quality_rules.merged(own), gamma=1.02, reach=1.0).filter("rule = 'word_length'").first()
-    assert abs(f.fence - (37.5 + 25)) < 2.5 and f.n == 5000
+def exact_fences(rows, reach, prior):
+    """(lang, source) -> rule -> (lower, upper), from sorted values instead of sketches. rows: (lang, source, {rule: value})."""
+
+    def own(values, rule):
+        v = sorted(values)
+        q10, q50, q90 = (v[max(0, math.ceil(q * len(v)) - 1)] for q in (0.1, 0.5, 0.9))
+        up = q90 + reach * (q90 - q50)
+        return (q10 - reach * (q50 - q10), up) if rule == "word_length" else (None, max(up, 0.02))
+
+    def drawn(n, mine, parent):
+        return tuple(None if a is None else (n * a + prior * b) / (n + prior) for a, b in zip(mine, parent, strict=True))
+
+    out = {}
+    for rule in quality_rules.RULES:
+        top = own([x[rule] for _, _, x in rows], rule)
+        for lang in {r[0] for r in rows}:
+            of_lang = [x[rule] for la, _, x in rows if la == lang]
+            middle = drawn(len(of_lang), own(of_lang, rule), top)
+            for source in {r[1] for r in rows if r[0] == lang}:
+                of = [x[rule] for la, s, x in rows if (la, s) == (lang, source)]
+                out.setdefault((lang, source), {})[rule] = drawn(len(of), own(of, rule), middle)
+    return out
+
+
+def test_fences_and_verdicts_follow_exact_quantiles(spark):
+    rng = random.Random(8)
+    rows = []
+    for d in range(1500):
+        lang, source = rng.choice([("xx", "s1"), ("xx", "s2"), ("yy", "s1"), (None, "s3")])
+        n = rng.randrange(50, 400)
+        level = {"s1": 0.02, "s2": 0.2, "s3": 0.0}[source]
+        rows.append((d, lang, source, n, int(n * rng.gauss(6 if lang == "xx" else 9, 0.5)), int(n * level * rng.random() * rng.choice([1, 1, 1, 9])), rng.choice([0] * 20 + [9, 30]), int(0.4 * n * rng.random() * level), n // 6))
+    rows += [(5000 + d, "yy", "s9", 100, 900, 0, 0, 0, 10) for d in range(3)]  # a small group
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    assert not df.filter(quality_rules.base_failed()).count()
+    value = lambda r: {"word_length": r[4] / r[3], "symbol_rate": r[5] / r[3], "dup_line_rate": r[6] / r[8], "repeat_rate": r[7] / r[3]}
+    want = exact_fences([(r[1], r[2], value(r)) for r in rows], 6.0, 200)
+    got = {(f.lang, f.source): f for f in quality_rules.group_fences(df).collect()}
+    assert set(got) == set(want)
+    for key, rules in want.items():
+        for rule, (low, up) in rules.items():
+            # A quantile is read at most 2 % too high: q90 + 6 * (q90 - q50) then errs by at most 2 % of 7 * q90 + 6 * q50.
+            assert abs(got[key][f"upper_{rule}"] - up) <= 0.02 * 13 * max(up, 1e-9), (key, rule)
+            assert (got[key][f"lower_{rule}"] is None) == (low is None)
+    assert len({round(f.upper_symbol_rate, 3) for f in got.values()}) >= 4  # every group has a fence of its own
+    verdicts = {r.doc_id: r.kept for r in quality_rules._fenced(df).withColumn("kept", quality_rules.kept()).collect()}
+    k, n = {"symbol_rate": 5, "dup_line_rate": 6, "repeat_rate": 7}, {"symbol_rate": 3, "dup_line_rate": 8, "repeat_rate": 3}
+    clear = wrong = 0
+    for r in rows:
+        rules = want[r[1], r[2]]
+        bad = near = False
+        for rule, (low, up) in rules.items():
+            x = value(r)[rule] if rule == "word_length" else (r[k[rule]] - 2 * math.sqrt(r[k[rule]] * (3 if rule == "repeat_rate" else 1))) / r[n[rule]]
+            bad |= x > up or low is not None and x < low
+            near |= abs(x - up) <= 0.26 * up or low is not None and abs(x - low) <= 0.26 * abs(low)
+        if not near:
+            clear += 1
+            wrong += verdicts[r[0]] == bad
+    assert wrong == 0 and clear > 1000
 
 
 def test_each_rule_alone_rejects_an_outlier(spark):
@@ -133,9 +188,4 @@ def test_each_rule_alone_rejects_an_outlier(spark):
     assert not any(r.base_failed for r in got.values())
     assert [d for d, r in sorted(got.items()) if not r.kept] == [1000, 1001, 1002, 1003]
     assert {r.doc_id for r in quality_rules.filtered(df).collect()} == {d for d in got if got[d].kept}
-    # Each of them by its own rule only.
-    fence = next(f for f in quality_rules.group_fences(quality_rules.with_counts(df)).collect() if f.source == "s")
-    for i, rule in enumerate(quality_rules.RULES):
-        c = got[1000 + i]
-        value = {"word_length": c.word_chars, "symbol_rate": c.n_symbols, "dup_line_rate": 10 * c.n_dup_lines, "repeat_rate": c.n_repeat_words}
-        assert [r for r in value if value[r] / c.n_words > fence[f"fence_{r}"]] == [rule]
+    assert [got[1000 + i].broken for i in range(4)] == list(quality_rules.RULES)  # each by its own rule only
