@@ -23,7 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go; n_chars follows the text. Documents that keep no word go."""
     cut = line_dedup.dedup_lines(docs, min_points=10)
-    return cut.withColumn("n_chars", F.length("text").cast("long")).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
