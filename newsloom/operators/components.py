@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.session import staged
+from newsloom.session import staged, unstaged
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,8 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
     now = staged(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     state = None
     for _ in range(most_steps):
-        now = staged(_small_star(_large_star(now)), "edges")
+        before, now = now, staged(_small_star(_large_star(now)), "edges")
+        unstaged(before)
         # In a star every edge leads to a root, and no step changes it.
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == state:
