@@ -5,7 +5,7 @@ whole sequence is the one shingle). Two documents link when 100 * intersection >
 result names each document's group: the smallest doc_id that links reach.
 
 1. Survey. Documents with equal sets become one node, named by its set; copies need no pairs. Each node
-   gets a bitmap of two to four bits for each element, in which every element flips one bit. Each task
+   gets a bitmap of one or two bits for each element, in which every element flips one bit. Each task
    also counts shingles that are frequent in it; the globally most frequent (at most MAX_FREQUENT, about
    1 MB, an order hint only) are broadcast.
 2. Prefix rows. All sets are sorted in one global order: infrequent shingles by hash, then frequent ones
@@ -16,9 +16,10 @@ result names each document's group: the smallest doc_id that links reach.
    pairs with a leader, the smallest set of each size band, and its rows are kept, cut by size into
    chunks of TILE nodes.
 4. Two bitmaps differ in at most as many bits as the sets differ in elements, which bounds the overlap
-   from above: pairs that can't reach the threshold go. Bitmaps move, sets and texts don't.
-5. The pairs left are verified by intersecting the sorted arrays, made from the two texts; their links
-   make the first components.
+   from above: pairs that can't reach the threshold go.
+5. The pairs left are verified by intersecting the sorted arrays, made from the two texts, in two rounds:
+   first each node's nearest pair with a smaller node, then those pairs whose ends the links found so far
+   don't connect. So the texts that move are about one pair for each near copy, not all pairs of a group.
 6. A large shingle whose rows all reached their leader's component is settled, as it needs no more
    links. The rows of others meet in tiles of two chunks whose size bands are compatible. Of the pairs
    of different components that a tile's bitmaps can't rule out, a cheapest spanning forest is verified,
@@ -46,15 +47,15 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.bytegrid import NO_ID, Grid, blocks, ids, inside, longs, mix, span_sums, window_hashes
 from newsloom.operators.components import components
-from newsloom.llm.rows import ordered_id, row_key, shown_id, slim, whole
-from newsloom.session import staged
+from newsloom.llm.rows import ordered_id, row_key, shown_id, slim, small_side, whole
+from newsloom.session import staged, unstaged
 
 #: Most shingles whose frequency the global order knows. Any number gives the same result.
 MAX_FREQUENT = 1 << 16
 #: A shingle is frequent in a task from so many of CHUNK shingles' documents on.
 LOCAL_FREQUENT, CHUNK = 8, 1 << 22
 #: Most nodes of a shingle whose pairs are listed without bitmaps, and of one side of a tile.
-SMALL, TILE = 64, 1024
+SMALL, TILE = 16, 1024
 #: Candidate pairs that a task gathers before it drops repeated ones.
 GATHER = 1 << 19
 
@@ -255,8 +256,8 @@ def _rows(large: np.ndarray, a: np.ndarray, b: np.ndarray, key: pa.Array, n: pa.
 
 
 def bitmap_words(n: int) -> int:
-    """64-bit words of a set's bitmap: two to four bits for each element, a power of two, the same within a factor two of size."""
-    return max(1, 1 << max(0, (2 * n - 1).bit_length() - 6))
+    """64-bit words of a set's bitmap: one or two bits for each element, a power of two, the same within a factor two of size."""
+    return max(1, 1 << max(0, (n - 1).bit_length() - 6))
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -275,7 +276,7 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 
 
 def _bounded(percent: int):
-    """(a, b, na, nb, bits of both, places of both) -> (a, b, places): pairs that their bitmaps can't rule out."""
+    """(a, b, na, nb, bits of both, places of both) -> (a, b, places, differ): pairs that their bitmaps can't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,17 +284,19 @@ def _bounded(percent: int):
             near = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
             most = (100 - percent) * (na + nb) // (100 + percent)
             xs, ys = batch.column(4), batch.column(5)
+            differ = np.zeros(len(near), np.int32)
             for i in np.flatnonzero(near).tolist():
                 x, y = np.frombuffer(xs[i].as_buffer(), np.uint64), np.frombuffer(ys[i].as_buffer(), np.uint64)
                 w = min(len(x), len(y))
-                near[i] = int(np.bitwise_count(folded(x, w) ^ folded(y, w)).sum()) <= most[i]
+                differ[i] = int(np.bitwise_count(folded(x, w) ^ folded(y, w)).sum())
+                near[i] = differ[i] <= most[i]
             take = pa.array(np.flatnonzero(near))
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(take) for i in (0, 1, 6, 7, 8, 9)], ["a", "b", "doc_a", "row_a", "doc_b", "row_b"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in (0, 1, 6, 7, 8, 9)), pa.array(differ[near])], ["a", "b", "doc_a", "row_a", "doc_b", "row_b", "differ"])
 
     return run
 
 
-PLACED = "a long, b long, doc_a long, row_a long, doc_b long, row_b long"
+PLACED = "a long, b long, doc_a long, row_a long, doc_b long, row_b long, differ int"
 
 
 def bounded(pairs: DataFrame, nodes_: DataFrame, percent: int) -> DataFrame:
@@ -338,17 +341,50 @@ def _verify(size: int, percent: int):
 
 
 def verified(near: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs of `near` that link, by the texts of `rows`."""
-    text = rows.select("doc_id", "row_key", "text")
-    one = near.withColumnsRenamed({"doc_a": "doc_id", "row_a": "row_key"}).join(text.withColumnRenamed("text", "text_a"), ["doc_id", "row_key"]).drop("doc_id", "row_key")
-    two = one.withColumnsRenamed({"doc_b": "doc_id", "row_b": "row_key"}).join(text.withColumnRenamed("text", "text_b"), ["doc_id", "row_key"])
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a long, b long").distinct()
+    """The pairs of the staged table `near` that link, by the texts of `rows`."""
+    ends = [near.select(F.col(f"doc_{x}").alias("doc_id"), F.col(f"row_{x}").alias("row_key")) for x in "ab"]
+    held = staged(ends[0].unionByName(ends[1]).distinct(), "held")
+    # The texts in question leave the documents once; where they are few, no other text moves.
+    texts = staged(rows.select("doc_id", "row_key", "text").join(small_side(held, 1 << 18), ["doc_id", "row_key"]).dropDuplicates(["doc_id", "row_key"]), "texts")
+    one = near.withColumnsRenamed({"doc_a": "doc_id", "row_a": "row_key"}).join(texts.withColumnRenamed("text", "text_a"), ["doc_id", "row_key"]).drop("doc_id", "row_key")
+    two = one.withColumnsRenamed({"doc_b": "doc_id", "row_b": "row_key"}).join(texts.withColumnRenamed("text", "text_b"), ["doc_id", "row_key"])
+    links = staged(two.select("a", "b", "text_a", "text_b").mapInArrow(_verify(size, percent), "a long, b long"), "links")
+    unstaged(texts, held)
+    return links
 
 
-def _forest(u: np.ndarray, v: np.ndarray, cost: np.ndarray, comp: dict[int, int]) -> np.ndarray:
+def nearest(near: DataFrame) -> DataFrame:
+    """For each node b, its pair that differs in the fewest bits."""
+    rest = [c for c in near.columns if c != "b"]
+    return near.groupBy("b").agg(F.min(F.struct("differ", *[c for c in rest if c != "differ"])).alias("x")).select("b", "x.*").select(*near.columns)
+
+
+def connected(near: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, root): components of the links among the pairs `near`; a pair inside one component isn't verified."""
+    picked = staged(nearest(near), "picked")
+    roots = components(verified(picked, rows, size, percent))
+    left = staged(apart(near.join(picked.select("a", "b"), ["a", "b"], "left_anti"), roots), "left")
+    good = verified(left, rows, size, percent)
+    out = components(as_edges(roots).unionByName(good))
+    unstaged(picked, left, good)
+    return out
+
+
+def as_edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) that aren't in one component."""
+    root_of = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+    both = pairs.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    return both.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
+
+
+def _forest(u: np.ndarray, v: np.ndarray, cost: np.ndarray, comp: np.ndarray) -> np.ndarray:
     """Of pairs (u, v), those of a cheapest spanning forest over the components. Each round takes every component's cheapest pair."""
     order = np.argsort(cost, kind="stable")
-    names, code = np.unique(np.array([comp[x] for x in np.concatenate([u, v]).tolist()]), return_inverse=True)
+    names, code = np.unique(comp[np.concatenate([u, v])], return_inverse=True)
     a, b = code[: len(u)][order], code[len(u) :][order]
     root = np.arange(len(names))
     taken: list[int] = []
@@ -373,72 +409,111 @@ def _forest(u: np.ndarray, v: np.ndarray, cost: np.ndarray, comp: dict[int, int]
     return np.array(taken, np.int64)
 
 
-def _tile_pairs(percent: int, most: int):
-    """Pairs of different components in a tile that its bitmaps can't rule out, nearest first: a spanning
-    forest (most 0), up to `most` of each two components, or all (most < 0). A tile is bounded."""
-
-    def pairs(rows: list[tuple]) -> np.ndarray:
-        # (key, tile, node, n, component, bits, right): a tile of one chunk has left rows only.
-        left, right = [r for r in rows if not r[6]], [r for r in rows if r[6]]
-        square = not right
-        right = right or left
-        col = lambda rs, i: np.array([r[i] for r in rs], np.int64)
+class Tile:
+    """Rows (key, tile, node, n, component, bits, right) of one tile; one of a single chunk has left rows only."""
+
+    def __init__(self, rows: list[pa.RecordBatch]):
+        batch = rows[0] if len(rows) == 1 else pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+        self.key = batch.column(0)[0].as_py()
+        self.node, self.n, self.comp = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3, 4))
+        bits, right = batch.column(5), batch.column(6).to_numpy(zero_copy_only=False)
+        self.at = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
+        self.raw = np.frombuffer(bits.buffers()[2] or b"", np.uint8)
+        self.words = np.diff(self.at) // 8
+        self.left, self.right = np.flatnonzero(~right), np.flatnonzero(right)
+
+    def bits(self, rows: np.ndarray, words: int) -> np.ndarray:
+        """Bitmaps of rows that all have `words` words."""
+        return np.ascontiguousarray(self.raw[self.at[rows][:, None] + np.arange(8 * words)]).view(np.uint64)
+
+    def pairs(self, percent: int) -> np.ndarray:
+        """(row, row, differing bits): pairs of different components that the bitmaps can't rule out."""
+        square = not len(self.right)
+        others = self.left if square else self.right
         found: list[np.ndarray] = []
-        for w1 in sorted({len(r[5]) for r in left}):
-            mine = [r for r in left if len(r[5]) == w1]
-            for w2 in sorted({len(r[5]) for r in right}):
-                other = [r for r in right if len(r[5]) == w2]
-                w = min(w1, w2) // 8
-                x = folded(np.stack([np.frombuffer(r[5], np.uint64) for r in mine]), w)
-                y = folded(np.stack([np.frombuffer(r[5], np.uint64) for r in other]), w)
-                dx, dy, nx, ny, cx, cy = col(mine, 2), col(other, 2), col(mine, 3), col(other, 3), col(mine, 4), col(other, 4)
+        if len(np.unique(self.comp)) < 2:
+            return np.zeros((0, 3), np.int64)
+        for w1 in np.unique(self.words[self.left]).tolist():
+            mine = self.left[self.words[self.left] == w1]
+            for w2 in np.unique(self.words[others]).tolist():
+                other = others[self.words[others] == w2]
+                n1, n2 = self.n[mine], self.n[other]
+                if 100 * n1.max() < percent * n2.min() or 100 * n2.max() < percent * n1.min():
+                    continue
+                w = min(w1, w2)
+                x, y = folded(self.bits(mine, w1), w), folded(self.bits(other, w2), w)
                 step = max(1, (1 << 20) // (len(other) * w))
                 for i in range(0, len(mine), step):
-                    j = slice(i, i + step)
-                    lo, hi = np.minimum(nx[j, None], ny[None]), np.maximum(nx[j, None], ny[None])
-                    ok = (cx[j, None] != cy[None]) & (100 * lo >= percent * hi)
+                    m, k = mine[i : i + step], n1[i : i + step, None]
+                    ok = (self.comp[m][:, None] != self.comp[other][None]) & (100 * np.minimum(k, n2) >= percent * np.maximum(k, n2))
                     if square:
-                        ok &= dx[j, None] < dy[None]
-                    at = np.nonzero(ok)
-                    if len(at[0]):
-                        differ = np.bitwise_count(x[j][at[0]] ^ y[at[1]]).sum(axis=1)
-                        near = differ <= (100 - percent) * (nx[j][at[0]] + ny[at[1]]) // (100 + percent)
-                        found.append(np.stack([dx[j][at[0][near]], dy[at[1][near]], differ[near].astype(np.int64)], axis=1))
-        p = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-        if most < 0 or not len(p):
-            return p[:, :2]
-        comp = {r[2]: r[4] for r in rows}
-        if most == 0:
-            return p[_forest(p[:, 0], p[:, 1], p[:, 2], comp), :2]
-        p = p[np.argsort(p[:, 2], kind="stable")]
-        ends = np.sort(np.array([[comp[a], comp[b]] for a, b in p[:, :2].tolist()], np.int64), axis=1).view(np.uint64)
-        name = mix(ends[:, 0], 1) * np.uint64(3) + mix(ends[:, 1], 2)
-        order = np.argsort(name, kind="stable")
-        head = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
-        place = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
-        return p[order[place < most], :2]
+                        ok &= self.node[m][:, None] < self.node[other][None]
+                    u, v = np.nonzero(ok)
+                    if len(u):
+                        differ = np.bitwise_count(x[i + u] ^ y[v]).sum(axis=1).astype(np.int64)
+                        near = differ <= (100 - percent) * (self.n[m[u]] + n2[v]) // (100 + percent)
+                        found.append(np.stack([m[u[near]], other[v[near]], differ[near]], axis=1))
+        return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+
+    def chosen(self, percent: int, most: int) -> np.ndarray:
+        """Node pairs of a spanning forest (most 0), up to `most`, nearest first, of each two components, or all (most < 0)."""
+        p = self.pairs(percent)
+        u, v = p[:, 0], p[:, 1]
+        if len(p) and most == 0:
+            at = _forest(u, v, p[:, 2], self.comp)
+            u, v = u[at], v[at]
+        elif len(p) and most > 0:
+            p = p[np.argsort(p[:, 2], kind="stable")]
+            ends = np.sort(np.stack([self.comp[p[:, 0]], self.comp[p[:, 1]]], axis=1), axis=1).view(np.uint64)
+            name = mix(ends[:, 0], 1) * np.uint64(3) + mix(ends[:, 1], 2)
+            order = np.argsort(name, kind="stable")
+            head = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
+            place = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
+            u, v = p[order[place < most], 0], p[order[place < most], 1]
+        return np.sort(np.stack([self.node[u], self.node[v]], axis=1), axis=1)
+
+
+def _tile_pairs(percent: int, most: int):
+    """Rows sorted by key and tile -> (key, a, b): the pairs chosen from each tile. A tile is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: list[tuple]) -> pa.RecordBatch:
-            got = np.sort(pairs(rows), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], ["a", "b"])
+        open_: list[pa.RecordBatch] = []
+        name = None
+
+        def out(tiles_: list[list[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+            keys, pairs = [], []
+            for rows in tiles_:
+                if sum(r.num_rows for r in rows) > 1:
+                    t = Tile(rows)
+                    got = t.chosen(percent, most)
+                    keys.append(np.full(len(got), t.key, np.int64))
+                    pairs.append(got)
+            if keys:
+                p = np.concatenate(pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(p[:, 0]), pa.array(p[:, 1])], ["key", "a", "b"])
 
-        tile, rows = None, []
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[:2] != tile:
-                    if len(rows) > 1:
-                        yield done(rows)
-                    tile, rows = r[:2], []
-                rows.append(r)
-        if len(rows) > 1:
-            yield done(rows)
+            if not batch.num_rows:
+                continue
+            key, tile = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]), [True]])).tolist()
+            ended = []
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                now = (int(key[i]), int(tile[i]))
+                if open_ and now != name:
+                    ended.append(open_)
+                    open_ = []
+                name = now
+                open_.append(batch.slice(i, j - i))
+            yield from out(ended)
+        if open_:
+            yield from out([open_])
 
     return run
 
 
 def tiles(rows: DataFrame, nodes_: DataFrame, known: DataFrame, percent: int, most: int) -> DataFrame:
-    """Pairs of different components that may link, from rows (key, chunk, node, n) of large shingles."""
+    """(key, a, b): pairs of different components that may link, from rows (key, chunk, node, n) of large shingles."""
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     full = rows.withColumn("last", F.max("chunk").over(Window.partitionBy("key")))
     full = full.join(nodes_.select("node", "bits"), "node").join(known.withColumnRenamed("root", "component"), "node", "left")
@@ -450,7 +525,7 @@ def tiles(rows: DataFrame, nodes_: DataFrame, known: DataFrame, percent: int, mo
     met = one.join(two, "key").filter((F.col("c1") <= F.col("c2")) & (100 * F.col("hi1") >= percent * F.col("lo2"))).select("key", "c1", "c2")
     cut = full.filter("last > 0")
     sides = [cut.join(met.filter("c1 < c2" if right else "true"), (cut["key"] == met["key"]) & (cut["chunk"] == met["c2" if right else "c1"])).select(cut["key"], F.xxhash64("c1", "c2").alias("tile"), "node", "n", "component", "bits", F.lit(right).alias("right")) for right in (False, True)]
-    return one_tile.unionByName(sides[0]).unionByName(sides[1]).repartition(spread, "key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_tile_pairs(percent, most), "a long, b long").distinct()
+    return one_tile.unionByName(sides[0]).unionByName(sides[1]).repartition(spread, "key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_tile_pairs(percent, most), "key long, a long, b long")
 
 
 def grouped(docs: DataFrame, size: int = 5, percent: int = 75, small: int = SMALL, tile: int = TILE) -> DataFrame:
@@ -471,12 +546,7 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 75, small: int = SMAL
     pairs = shared.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = staged(bounded(pairs, nodes_, percent), "near")
     large = shared.filter("large")
-    # The texts that verification may need, one for each node, leave the documents once.
-    asked = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).unionByName(large.select(F.col("b").alias("node"))).distinct()
-    held = nodes_.join(asked, "node", "left_semi").select(F.col("doc").alias("doc_id"), "row_key")
-    texts = staged(rows.join(held.hint("shuffle_hash"), ["doc_id", "row_key"]), "texts")
-    links = staged(verified(near, texts, size, percent), "links")
-    roots = components(links)
+    roots = connected(near, rows, size, percent)
 
     tried = near.select("a", "b")
     # A forest connects what can be connected with one pair for each node. It is made first with each
@@ -484,33 +554,30 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 75, small: int = SMAL
     # shingles that aren't settled by then. Only where one of its pairs turns out not to link, others may
     # still, and the last two rounds look at these.
     for step, most in enumerate((0, 0, 16, -1)):
-        apart = staged(_apart(large, roots), "apart")
-        if apart.isEmpty():
+        open_ = staged(apart(large.filter("a <> b").select("a", "b").distinct(), roots), "apart")
+        if open_.isEmpty():
             break
-        keys = large.join(apart, ["a", "b"]).select("key").distinct()
+        keys = large.join(open_, ["a", "b"]).select("key").distinct()
+        if step > 1:
+            # A shingle that gave no pair a round ago has none: bitmaps stay, and components only grow.
+            keys = keys.join(found.select("key").distinct(), "key", "left_semi")
         left = large.join(keys, "key", "left_semi").select("key", "chunk", F.col("b").alias("node"), "n")
         if step == 0:
             left = left.groupBy("node").agg(F.min(F.struct(F.xxhash64("key"), "key", "chunk", "n")).alias("x")).select("x.key", "x.chunk", "node", "x.n")
         found = staged(tiles(staged(left, "large"), nodes_, roots, percent, most), "found")
-        more = staged(bounded(found.join(tried, ["a", "b"], "left_anti"), nodes_, percent), "near")
-        good = staged(verified(more, texts, size, percent), "links")
+        asked = found.select("a", "b").distinct()
+        more = staged(bounded(asked.join(tried, ["a", "b"], "left_anti"), nodes_, percent), "near")
+        good = verified(more, rows, size, percent)
         tried = tried.unionByName(more.select("a", "b"))
-        n_found, n_good = found.count(), good.count()
+        n_found, n_good = asked.count(), good.count()
         if n_good:
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(good))
+            roots = components(as_edges(roots).unionByName(good))
         if step and n_good == n_found:
             break  # every pair of a whole forest links, so its components are the components
     both = members.join(roots, "node", "left")
     return both.select("doc", "row_key", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
 
 
-def _apart(large: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b): leaders and rows b of large shingles that aren't in one component."""
-    root_of = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
-    pairs = large.filter("a <> b").select("a", "b").distinct().join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
-    return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-
 def component_ids(docs: DataFrame, size: int = 5, percent: int = 75, small: int = SMALL, tile: int = TILE) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     g = staged(grouped(docs, size, percent, small, tile), "groups")
