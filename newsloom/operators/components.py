@@ -1,8 +1,9 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Each step replaces edges by edges to the smallest neighbour; the number of edges never grows, a node of
-many links is never gathered in one place (its minimum is an aggregate, summed map-side first), and a
-few steps suffice for any graph of small depth. Edges of each step are written to the shared folder.
+Each step replaces edges by edges to the smallest neighbour; the number of different edges never grows. A
+node of many links is the smaller end of most of them: there its minimum is an aggregate, summed map-side
+first, and AQE may split its rows in the join. A few steps suffice for any graph of small depth. Edges of
+each step are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -13,28 +14,38 @@ from pyspark.sql import functions as F
 from newsloom.session import staged, unstaged
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+EDGES_IN_TASK = 200_000
+
+
+def _large_star(edges: DataFrame, k: int) -> DataFrame:
     """Each node's larger neighbours are linked to its smallest neighbour (or itself)."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")).coalesce(k)
     linked = both.filter("b > a").join(least, "a")
-    return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+
 
+def _small_star(edges: DataFrame, n: int, k: int) -> DataFrame:
+    """Each node and its smaller neighbours are linked to the smallest of these. Here a > b.
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Each node and its smaller neighbours are linked to the smallest of these. Here a > b."""
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    Edges are dealt out by their larger node once; dropping repeated ones, the minimum and the join all use that.
+    """
+    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).repartition(n, "a").coalesce(k).distinct()
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    linked = down.join(least, "a")
-    return linked.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    linked = down.join(least.hint("merge"), "a")
+    # The node's own edge to the smallest one comes from that neighbour's row.
+    return linked.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
 
 
 def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
     """(node, root): for each node of `edges` (a, b), the smallest node of its component."""
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     now = staged(edges.select("a", "b").filter("a <> b").distinct(), "edges")
+    # Few edges need few tasks, however many partitions the session deals out.
+    k = max(1, min(n, -(-now.count() // EDGES_IN_TASK)))
     state = None
     for _ in range(most_steps):
-        before, now = now, staged(_small_star(_large_star(now)), "edges")
+        before, now = now, staged(_small_star(_large_star(now, k), n, k), "edges")
         unstaged(before)
         # In a star every edge leads to a root, and no step changes it.
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -43,4 +54,4 @@ def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
         state = tuple(seen)
     else:
         raise RuntimeError(f"components did not settle in {most_steps} steps")
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
