@@ -23,9 +23,8 @@ result names each document's group: the smallest doc_id that links reach.
 6. A large shingle whose rows all reached their leader's component is settled, as it needs no more
    links. The rows of others meet in tiles of two chunks whose size bands are compatible. Of the pairs
    of different components that a tile's bitmaps can't rule out, a cheapest spanning forest is verified,
-   not all of them: first with each node under one shingle alone, then under all that aren't settled.
-   Where a pair of the forest doesn't link, the nearest sixteen pairs of each two components follow, and
-   then all that are left.
+   not all of them. Where a pair of the forest doesn't link, the nearest sixteen pairs of each two
+   components follow, and then all that are left.
 
 A pair that isn't verified shares no prefix shingle, differs in too many bits, or is in one component
 anyway: no link between different components is lost. Names of shingles and sets are 64-bit hashes.
@@ -549,30 +548,26 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 75, small: int = SMAL
     roots = connected(near, rows, size, percent)
 
     tried = near.select("a", "b")
-    # A forest connects what can be connected with one pair for each node. It is made first with each
-    # node under one of its shingles alone, which most copies of a text have in common, then under all
-    # shingles that aren't settled by then. Only where one of its pairs turns out not to link, others may
-    # still, and the last two rounds look at these.
-    for step, most in enumerate((0, 0, 16, -1)):
+    # A forest connects what can be connected with one pair for each node of a tile. Only where one of its
+    # pairs turns out not to link, others may still, and the last two rounds look at these.
+    for step, most in enumerate((0, 16, -1)):
         open_ = staged(apart(large.filter("a <> b").select("a", "b").distinct(), roots), "apart")
         if open_.isEmpty():
             break
         keys = large.join(open_, ["a", "b"]).select("key").distinct()
-        if step > 1:
+        if step:
             # A shingle that gave no pair a round ago has none: bitmaps stay, and components only grow.
             keys = keys.join(found.select("key").distinct(), "key", "left_semi")
         left = large.join(keys, "key", "left_semi").select("key", "chunk", F.col("b").alias("node"), "n")
-        if step == 0:
-            left = left.groupBy("node").agg(F.min(F.struct(F.xxhash64("key"), "key", "chunk", "n")).alias("x")).select("x.key", "x.chunk", "node", "x.n")
         found = staged(tiles(staged(left, "large"), nodes_, roots, percent, most), "found")
-        asked = found.select("a", "b").distinct()
+        asked = staged(found.select("a", "b").distinct(), "asked")
         more = staged(bounded(asked.join(tried, ["a", "b"], "left_anti"), nodes_, percent), "near")
         good = verified(more, rows, size, percent)
         tried = tried.unionByName(more.select("a", "b"))
         n_found, n_good = asked.count(), good.count()
         if n_good:
             roots = components(as_edges(roots).unionByName(good))
-        if step and n_good == n_found:
+        if n_good == n_found:
             break  # every pair of a whole forest links, so its components are the components
     both = members.join(roots, "node", "left")
     return both.select("doc", "row_key", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
