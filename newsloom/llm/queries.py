@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from newsloom.llm import decontamination, jaccard_join, language_id, line_dedup, lm_scoring, mixing, quality_rules, secrets, substring_dedup, warc
+from newsloom.llm import contract_sql, decontamination, jaccard_join, language_id, line_dedup, lm_scoring, mixing, quality_rules, secrets, substring_dedup, warc
 from newsloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,11 +53,33 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secret scan's columns that SQL can state."""
+    return op7_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unigram base of LM scoring, by the same counts and joins."""
+    base = lm_scoring.scored(table(spark, sf_dir, "documents"))
+    return base.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality rules' columns that SQL can state."""
+    return op10_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def language_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents the language identifier doesn't learn from."""
+    return op5_language_id(spark, sf_dir).select("doc_id", "held_out")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_mixing, op3_decontamination, op4_line_dedup, op5_language_id,
         op6_jaccard_join, op7_secret_scan, op8_warc_revisits, op9_lm_scoring, op10_quality_rules,
+        secret_base_spans, lm_base_scores, quality_base_counts, language_held_out,
     )
 }
 
@@ -80,4 +103,14 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
 from j group by rid, doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": mixing.SQL, "op4_line_dedup": OP4_SQL, "op8_warc_revisits": warc.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": contract_sql.SUBSTRING_DEDUP,
+    "op2_mixing": mixing.SQL,
+    "op4_line_dedup": OP4_SQL,
+    "op6_jaccard_join": contract_sql.JACCARD_JOIN,
+    "op8_warc_revisits": warc.SQL,
+    "secret_base_spans": contract_sql.SECRET_BASE,
+    "lm_base_scores": contract_sql.LM_BASE,
+    "quality_base_counts": contract_sql.QUALITY_BASE,
+    "language_held_out": contract_sql.HELD_OUT,
+}
