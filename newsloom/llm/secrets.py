@@ -6,8 +6,9 @@ lexer adds what they miss: it reads `name = literal`, `name: literal`, `"name":
 into parts (snake, kebab, dotted, camel case), and scores each literal by how sensitive its target name
 is, with a bonus for literals that look random. Constants are propagated within a document: an
 assignment of a plain name (`db_pass = K1`), a `$K1` / `${K1}` reference or a concatenation of quoted
-pieces takes the value of the names it refers to, and a sensitive target marks the literal where it was
-written.
+pieces takes the value of the names it refers to, assigned before or after, through any number of other
+names, and a sensitive target marks the literal where it was written. Blocks and scopes aren't told apart:
+a name is one name in the whole document.
 
 Offsets count code points, ends exclusive. A span is the whole match for the base kinds, and the bytes
 of the literal itself for the kind `named`, which is added unless a base span overlaps it.
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,8 +31,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.llm.bytegrid import Grid, blocks
+from newsloom.llm.rows import numbered, numbered_schema, unnumbered
 from newsloom.session import ship
 
 #: Kinds in the order that breaks ties, the base pattern's names, and least lengths.
@@ -51,13 +55,15 @@ SENSITIVE = {
 HARMLESS = {"name", "type", "length", "size", "count", "field", "label", "url", "path", "file", "prefix", "policy", "expiry", "ttl", "id", "hint", "public"}
 
 _LITERAL = rb"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
-_NAME = rb"""[A-Za-z_][A-Za-z0-9_.\-]{0,80}"""
+_PART = rb"""[A-Za-z_][A-Za-z0-9_.\-]*+"""
+#: A name is read from its first character, once, whatever its length.
+_NAME = rb"""(?<![A-Za-z0-9_.\-])""" + _PART
 #: A target, an operator, and either quoted pieces and names joined by + or ., or one bare word.
 PAIR = re.compile(
-    rb"""(?P<name>""" + _NAME + rb""")["'\]]{0,2}[ \t]*(?::=|=>|[:=])[ \t]*(?:(?P<quoted>(?:""" + _LITERAL + rb"""|""" + _NAME + rb"""(?=[ \t]+\+[ \t]))(?:[ \t]*[+.][ \t]*(?:""" + _LITERAL + rb"""|""" + _NAME + rb"""))*)|(?P<bare>[^\s"'`;,#{}()\[\]]+))"""
+    rb"""(?P<name>""" + _NAME + rb""")["'\]]{0,2}[ \t]*(?::=|=>|[:=])[ \t]*(?:(?P<quoted>(?:""" + _LITERAL + rb"""|""" + _PART + rb"""(?=[ \t]+\+[ \t]))(?:[ \t]*[+.][ \t]*(?:""" + _LITERAL + rb"""|""" + _PART + rb"""))*)|(?P<bare>[^\s"'`;,#{}()\[\]]+))"""
 )
-_PIECE = re.compile(_LITERAL + rb"|" + _NAME)
-_REFERENCE = re.compile(rb"\$?\{?(" + _NAME + rb")\}?$")
+_PIECE = re.compile(_LITERAL + rb"|" + _PART)
+_REFERENCE = re.compile(rb"\$?\{?(" + _PART + rb")\}?$")
 _SPLIT = re.compile(r"[_.\-]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
 HEX = np.zeros(256, bool)
@@ -88,33 +94,78 @@ def _unquoted(at: int, piece: bytes) -> tuple[int, int, bytes]:
     return (at + 1, at + len(piece) - 1, piece[1:-1]) if piece[:1] in b"\"'`" and len(piece) >= 2 else (at, at + len(piece), piece)
 
 
-def named_spans(text: bytes, least: float = 0.75) -> list[tuple[int, int]]:
-    """Byte spans of literals that reach a sensitive name, directly or by constants."""
-    found: list[tuple[int, int]] = []
-    known: dict[bytes, list[tuple[int, int, bytes]]] = {}
+Literal = tuple[int, int, bytes]
+
+
+def lexed(text: bytes) -> list[tuple[bytes, list[Literal], list[bytes], bool]]:
+    """Each target name with what it is assigned, in text order: literals, names that may be constants, and whether a constant replaces the literals."""
+    out: list[tuple[bytes, list[Literal], list[bytes], bool]] = []
     for m in PAIR.finditer(text):
-        name, literals = m["name"], []
+        literals: list[Literal] = []
+        names: list[bytes] = []
         if m["quoted"] is not None:
             for p in _PIECE.finditer(text, *m.span("quoted")):
                 if p[0][:1] in b"\"'`":
                     literals.append(_unquoted(p.start(), p[0]))
                 else:
-                    literals += known.get(p[0], [])
+                    names.append(p[0])
         else:
+            s, e = m.span("bare")
+            value = m["bare"].rstrip(b".")
             ref = _REFERENCE.match(m["bare"])
-            if ref and ref[1] in known:
-                literals = known[ref[1]]
-            else:
-                s, e = m.span("bare")
-                value = m["bare"].rstrip(b".")
-                literals = [(s, s + len(value), value)] if e > s else []
-        if not literals:
-            continue
-        known[name] = literals
-        sensitive = name_score(name.decode("ascii", "ignore"))
-        if sensitive and sensitive * 0.6 + 0.4 * literal_score(b"".join(x[2] for x in literals)) >= least:
-            found += [(s, e) for s, e, v in literals if len(v) >= 4]
-    return sorted(set(found))
+            if ref:
+                names.append(ref[1])
+            if value:
+                literals.append((s, s + len(value), value))
+        out.append((m["name"], literals, names, m["quoted"] is None))
+    return out
+
+
+def propagated(pairs: list[tuple[bytes, list[Literal], list[bytes], bool]]) -> list[list[Literal]]:
+    """The literals that reach each assignment. A name stands for its latest earlier assignment, or else its first later one.
+
+    Passes run forwards and backwards until nothing changes; each assignment's literals are a set, so that
+    names that refer to each other end and doubled concatenations stay small.
+    """
+    places: dict[bytes, list[int]] = {}
+    for i, (name, *_) in enumerate(pairs):
+        places.setdefault(name, []).append(i)
+
+    def of(i: int, name: bytes) -> int | None:
+        at = places.get(name, [])
+        k = bisect_left(at, i)
+        later = at[k + 1 : k + 2] if k < len(at) and at[k] == i else at[k : k + 1]
+        return at[k - 1] if k else later[0] if later else None
+
+    reach: list[dict[Literal, None]] = []
+    sources: list[list[int]] = []
+    for i, (_, literals, names, replaced) in enumerate(pairs):
+        sources.append([k for k in (of(i, x) for x in names) if k is not None])
+        reach.append({} if replaced and sources[i] else dict.fromkeys(literals))
+    order = [i for i in range(len(pairs)) if sources[i]]
+    changed = True
+    while changed:
+        changed = False
+        for i in order:
+            before = len(reach[i])
+            for k in sources[i]:
+                reach[i].update(reach[k])
+            changed |= len(reach[i]) > before
+        order.reverse()
+    return [list(r) for r in reach]
+
+
+def named_spans(text: bytes, least: float = 0.75) -> list[tuple[int, int]]:
+    """Byte spans of literals that reach a sensitive name, directly or by constants."""
+    pairs = lexed(text)
+    found: set[tuple[int, int]] = set()
+    scores: dict[bytes, float] = {}
+    for (name, *_), literals in zip(pairs, propagated(pairs), strict=True):
+        if name not in scores:
+            scores[name] = name_score(name.decode("ascii", "ignore"))
+        if literals and scores[name] and scores[name] * 0.6 + 0.4 * literal_score(b"".join(x[2] for x in sorted(literals))) >= least:
+            found.update((s, e) for s, e, v in literals if v)
+    return sorted(found)
 
 
 def _hex_runs(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,19 +235,27 @@ def secret_digest(docs: DataFrame) -> DataFrame:
     return spans.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS[:3]], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
-def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """`docs` with every span of text replaced by `mark`; other columns unchanged."""
-    ship(docs.sparkSession)
+def _redact(text: int, mark: bytes):
+    """Rows with numbered columns -> the rows with every span of column `text` replaced."""
 
-    @F.udf("string")
-    def cut(text: str | None) -> str | None:
-        if text is None:
-            return None
-        out, last = [], 0
-        for s, _, e in scan([text.encode()])[0]:
-            if e > last:
-                out.append(text[last : max(s, last)] + mark)
-                last = e
-        return "".join(out) + text[last:]
-
-    return docs.withColumn("text", cut(F.col("text").cast("string")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in blocks(batches, text=f"c{text}"):
+            columns = list(batch.columns)
+            out: list[bytes | None] = []
+            for raw, spans, there in zip(texts, scan(texts), columns[text].is_valid().to_pylist(), strict=True):
+                said, pieces, last = raw.decode(), [], 0
+                for s, _, e in spans:
+                    if e > last:
+                        pieces.append(said[last : max(s, last)].encode() + mark)
+                        last = e
+                out.append(b"".join(pieces) + said[last:].encode() if there else None)
+            columns[text] = pa.array(out, pa.binary()).cast(columns[text].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+    return run
+
+
+def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """`docs` with every span of text replaced by `mark`; other columns, of types that Arrow can carry, unchanged."""
+    flat, text = numbered(docs), docs.columns.index("text")
+    return flat.mapInArrow(_redact(text, mark.encode()), T.StructType(numbered_schema(docs))).select(*unnumbered(docs))

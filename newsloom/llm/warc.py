@@ -17,8 +17,9 @@ Only ids, times and validators go through the as-of join; payloads are joined by
 
 Defined cases: a null url or ts never resolves (`no_earlier_response`); null headers are empty; equal
 times are ordered by record_id, and a response with the revisit's own time counts as earlier only if its
-record_id is smaller; repeated revisits resolve alike; repeated responses with one record_id count as
-one; an empty table gives an empty result; extra columns are ignored.
+record_id is smaller; repeated revisits resolve alike, and revisits of one record_id but different URLs or
+times each by their own; repeated responses with one record_id count as one, the earliest; a null revisit
+is a response; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def weak(etag: Column) -> Column:
 
 
 def latest_earlier(records: DataFrame, period: int = 86_400) -> DataFrame:
-    """(record_id, target_id) of each revisit; records need record_id, curl, ts, revisit, full."""
+    """(record_id, curl, ts, target_id) of each revisit; records need record_id, curl, ts, revisit, full."""
     bucket = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (period * 1_000_000)).cast("long")
     r = records.filter("curl is not null and ts is not null").select("record_id", "curl", "ts", "revisit", "full", bucket.alias("bucket"))
     key = F.struct("ts", "record_id")
@@ -61,7 +62,7 @@ def latest_earlier(records: DataFrame, period: int = 86_400) -> DataFrame:
     inside = Window.partitionBy("curl", "bucket").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)
     own = r.withColumn("before", F.max(F.when(F.col("full"), key)).over(inside))
     both = own.filter("revisit").join(carried, ["curl", "bucket"])
-    return both.select("record_id", F.coalesce("before.record_id", "carried.record_id").alias("target_id"))
+    return both.select("record_id", "curl", "ts", F.coalesce("before.record_id", "carried.record_id").alias("target_id"))
 
 
 def resolve_revisits(records: DataFrame, period: int = 86_400) -> DataFrame:
@@ -74,7 +75,7 @@ def resolve_revisits(records: DataFrame, period: int = 86_400) -> DataFrame:
     tidy = tidy.withColumn("full", F.coalesce(~F.col("revisit") & (F.col("status") == 200), F.lit(False)))
     at = latest_earlier(tidy, period).distinct()
     targets = tidy.filter("full").groupBy("record_id").agg(F.min_by("headers", F.col("ts")).alias("target_headers")).withColumnRenamed("record_id", "target_id")
-    both = tidy.filter("revisit").join(at, "record_id", "left").join(targets, "target_id", "left")
+    both = tidy.filter("revisit").join(at, ["record_id", "curl", "ts"], "left").join(targets, "target_id", "left")
     mine = lambda k: F.col("headers")[k]
     theirs = lambda k: F.col("target_headers")[k]
     outcome = (
@@ -89,8 +90,9 @@ def resolve_revisits(records: DataFrame, period: int = 86_400) -> DataFrame:
 
 
 def with_payload(resolved: DataFrame, records: DataFrame, payload: str) -> DataFrame:
-    """Resolved revisits beside their target's payload."""
-    content = records.filter("not revisit and status = 200").select(F.col("record_id").alias("target_id"), F.col(payload))
+    """Resolved revisits beside their target's payload (of responses with one record_id, the earliest's)."""
+    full = records.filter(~F.coalesce("revisit", F.lit(False)) & (F.col("status").cast("int") == 200))
+    content = full.groupBy(F.col("record_id").alias("target_id")).agg(F.min_by(payload, F.col("ts")).alias(payload))
     return resolved.filter("target_id is not null").join(content, "target_id")
 
 

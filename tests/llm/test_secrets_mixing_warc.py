@@ -42,6 +42,35 @@ def test_named_literals():
     assert named('password_hint = "my first pet"\ntitle: Report\nkey_length = 2048') == []
 
 
+def test_constants_reach_a_fixed_point():
+    assert named('auth_credential = LATER\nLATER = DEEPER\nDEEPER = "q8Zr#71xPp"') == ["q8Zr#71xPp"]
+    assert named("auth_credential = A\nA = B\nB = A\n") == []
+    chain = "".join(f"k{i} = k{i + 1}\n" for i in range(3000)) + "k3000 = 'q8Zr#71xPp'\nmy_passphrase = k0\n"
+    assert named(chain) == ["q8Zr#71xPp"]
+    doubled = "a0 = 'q8Z' + 'r#71xPp'\n" + "".join(f"a{i + 1} = a{i} + a{i} + 'x'\n" for i in range(60)) + "client_passphrase = a60 + 'y'\n"
+    assert {"q8Z", "r#71xPp"} <= set(named(doubled))
+    long_name = "x" * 5000 + "_credential"
+    assert named(f"{long_name} = 'q8Zr#71xPp'") == ["q8Zr#71xPp"]
+
+
+def test_planted_assignments_are_found():
+    rng = random.Random(12)
+    letters = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789"
+    forms = ['{n} = "{v}"', "{n}: '{v}'", '"{n}": "{v}",', "{n} := `{v}`", "'{n}' => '{v}'", "export {n}={v}", "  {n} = {v}  # note", 'const {n} = "{v}";']
+    good = ["db_pwd", "signingCredential", "bearer.auth", "private_key", "clientPassphrase", "DB_CREDS"]
+    harmless = ["colour", "page_title", "pwd_length", "private_key_path", "user.name"]
+    lines, want = [], []
+    for _ in range(400):
+        value = "".join(rng.choice(letters) for _ in range(rng.randrange(12, 24)))
+        name = rng.choice(good + harmless)
+        lines.append(rng.choice(forms).format(n=name, v=value))
+        if name in good:
+            want.append(value)
+        if rng.random() < 0.3:
+            lines.append(rng.choice(["some prose: nothing here", "x = 1", "for i in range(3):", ""]))
+    assert named("\n".join(lines)) == want
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a token=abcdefgh b"), (2, None), (3, "nothing")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in secrets.redacted(df).collect()} == {1: "a [secret] b", 2: None, 3: "nothing"}
@@ -71,6 +100,22 @@ def test_prefixes(spark):
     assert mixing.mixed(df.limit(0)).count() == 0
 
 
+def test_revisits_of_one_id_and_null_marks(spark):
+    from datetime import datetime as dt
+
+    rows = [
+        (1, "http://a.example/x", dt(2024, 1, 1), None, 200, {"ETag": '"p"'}, "pay x"),
+        (2, "http://a.example/y", dt(2024, 1, 1), False, 200, {"ETag": '"q"'}, "pay y"),
+        (2, "http://a.example/y", dt(2024, 1, 1, 5), False, 200, {"ETag": '"q"'}, "pay y later"),
+        (9, "http://a.example/x", dt(2024, 1, 2), True, 304, {"ETag": '"p"'}, None),
+        (9, "http://a.example/y", dt(2024, 1, 2), True, 304, {"ETag": '"q"'}, None),
+    ]
+    df = spark.createDataFrame(rows, "record_id long, url string, ts timestamp, revisit boolean, status int, headers map<string,string>, payload string")
+    got = warc.resolve_revisits(df)
+    assert sorted((r.target_id, r.outcome) for r in got.collect()) == [(1, "validated"), (2, "validated")]
+    assert sorted(r.payload for r in warc.with_payload(got, df, "payload").collect()) == ["pay x", "pay y"]
+
+
 def test_revisits(spark):
     t = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
     rows = [
