@@ -64,19 +64,23 @@ def near_dup_edges(articles: DataFrame, members: DataFrame, as_of: datetime, hou
 
     Two sets that reach the threshold share a token among the first n - ceil(lower * n) + 1 of each, in
     any common order of tokens. With the ticker's rarest tokens first, few pairs meet there; they are
-    joined on (ticker, token), so that Spark can split a token that is still hot, and then verified on
-    the whole sets.
+    joined on (ticker, token), so that Spark can split a token that is still hot. Where two sets meet at
+    places p and q, they can share at most min(p, q) tokens up to there and min(n - p, m - q) after it:
+    pairs that can't reach the threshold go before anything is dealt out again, and the rest is verified
+    on the whole sets.
     """
     docs = staged(comparable(articles, members, as_of, hours).withColumn("n", F.size("tokens")), "near-sets")
     words = docs.select("ticker", "id", "n", F.explode("tokens").alias("token"))
     counts = words.groupBy("ticker", "token").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("ticker", "id").orderBy("df", "token"))
     prefix = words.join(counts, ["ticker", "token"]).withColumn("place", rank).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * lower - 1e-9) + 1)
-    prefix = staged(prefix.select("ticker", "token", "id", "n"), "near-prefix")
-    a = prefix.select("ticker", "token", F.col("id").alias("id_a"), F.col("n").alias("n_a"))
-    b = prefix.select("ticker", "token", F.col("id").alias("id_b"), F.col("n").alias("n_b"))
+    prefix = staged(prefix.select("ticker", "token", "id", "n", "place"), "near-prefix")
+    a = prefix.select("ticker", "token", F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"))
+    b = prefix.select("ticker", "token", F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("place").alias("p_b"))
     size = F.least("n_a", "n_b") >= lower * F.greatest("n_a", "n_b") - 1e-9
-    pairs = a.join(b, ["ticker", "token"]).filter((F.col("id_a") < F.col("id_b")) & size).select("ticker", "id_a", "id_b").distinct()
+    most = F.least("p_a", "p_b") + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
+    reach = most >= lower / (1 + lower) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    pairs = a.join(b, ["ticker", "token"]).filter((F.col("id_a") < F.col("id_b")) & size & reach).select("ticker", "id_a", "id_b").distinct()
     of = lambda side: docs.select("ticker", F.col("id").alias(f"id_{side}"), F.col("tokens").alias(f"t_{side}"))
     both = pairs.join(of("a"), ["ticker", "id_a"]).join(of("b"), ["ticker", "id_b"]).withColumn("common", F.size(F.array_intersect("t_a", "t_b")))
     jaccard = F.col("common") / (F.size("t_a") + F.size("t_b") - F.col("common"))

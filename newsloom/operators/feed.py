@@ -48,7 +48,9 @@ def story_feed(stories: DataFrame, clusters: DataFrame, members: DataFrame, arti
     both = s.join(c.select(F.col("id").alias("cluster_id"), *[x for x in CLUSTER_COLUMNS if x in clusters.columns]), "cluster_id")
     if ticker:
         both = both.filter(F.coalesce(F.col("primary_ticker") == ticker.upper(), F.lit(False)) | ticker_in(F.col("tickers"), ticker))
-    return both.join(_links(members, articles), "cluster_id", "left").orderBy(F.desc("last_seen_at"), "id")
+    # Only members of the feed's clusters are linked, not those of all clusters.
+    shown = members.join(both.select("cluster_id").distinct(), "cluster_id", "left_semi")
+    return both.join(_links(shown, articles), "cluster_id", "left").orderBy(F.desc("last_seen_at"), "id")
 
 
 def story_display(feed: DataFrame) -> DataFrame:
@@ -59,6 +61,9 @@ def story_display(feed: DataFrame) -> DataFrame:
 
 def story_detail(feed: DataFrame, facts: DataFrame, evidence: DataFrame, articles: DataFrame) -> DataFrame:
     """Feed rows with their facts in order, removed ones too, each with its evidence."""
+    # Only what the feed's stories hold is gathered.
+    facts = facts.join(feed.select(F.col("id").alias("story_id")).distinct(), "story_id", "left_semi")
+    evidence = evidence.join(facts.select(F.col("id").alias("fact_id")), "fact_id", "left_semi")
     a = articles.select(F.col("id").alias("article_id"), "publisher", "published_at", "url")
     e = evidence.join(a, "article_id").groupBy("fact_id").agg(F.sort_array(F.collect_list(F.struct("id", "article_id", "quote_en", "publisher", "published_at", "url"))).alias("evidence"))
     f = facts.withColumnRenamed("id", "fact_id").join(e, "fact_id", "left")

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.numbers import extract_numbers, number_matches
+from newsloom.functions.numbers import extract_numbers, surface_forms
 from newsloom.functions.responses import parse_judgement, parse_recheck
 from newsloom.functions.scan import THRESHOLD, grey_zone
 from newsloom.functions.text import advice_phrase, best_text, extract_tickers, normalize_text, opinion_marker
@@ -19,8 +19,9 @@ CHECKS = ["no_advice", "quote_exists", "numbers_grounded", "entities_grounded",
 def _sources(evidence: DataFrame, articles: DataFrame) -> DataFrame:
     """(fact_id, sources): each fact's quotes and their articles' texts, as they are and normalised."""
     a = articles.select(F.col("id").alias("article_id"), best_text(F.col("clean_text"), F.col("summary_raw"), F.col("title")).alias("text"))
-    e = evidence.select("fact_id", "article_id", "quote_en", F.col("id").alias("evidence_id")).join(a, "article_id", "left")
-    e = e.withColumns({"plain_quote": normalize_text(F.col("quote_en")), "plain_text": normalize_text(F.col("text"))})
+    # A text is normalised once, however many quotes cite it.
+    a = a.join(evidence.select("article_id").distinct(), "article_id", "left_semi").withColumn("plain_text", normalize_text(F.col("text")))
+    e = evidence.select("fact_id", "article_id", "quote_en", F.col("id").alias("evidence_id"), normalize_text(F.col("quote_en")).alias("plain_quote")).join(a, "article_id", "left")
     one = F.struct("evidence_id", "article_id", "quote_en", "text", "plain_quote", "plain_text")
     return e.groupBy("fact_id").agg(F.sort_array(F.collect_list(one)).alias("sources"))
 
@@ -39,10 +40,13 @@ def fact_checks(facts: DataFrame, evidence: DataFrame, articles: DataFrame, fixe
     f = facts.join(_sources(evidence, articles).withColumnRenamed("fact_id", "id"), "id", "left")
     empty = F.array().cast("array<struct<evidence_id: bigint, article_id: bigint, quote_en: string, text: string, plain_quote: string, plain_text: string>>")
     f = f.withColumns({"sources": F.coalesce("sources", empty), "numbers": extract_numbers(normalize_text(F.col("text_bg")), fixed)})
+    # The forms of a number are written out once, not for each text that they are sought in.
+    forms = F.transform("numbers", lambda n: F.struct(n["value"].alias("value"), n["unit"].alias("unit"), F.transform(surface_forms(n["value"], n["unit"]), F.lower).alias("forms")))
+    f = f.withColumn("numbers", forms)
     s = F.col("sources")
     first = lambda xs: F.try_element_at(F.filter(xs, lambda x: x.isNotNull()), F.lit(1))
     plain = F.flatten(F.transform(s, lambda x: F.array(F.lower(x["plain_quote"]), F.lower(F.coalesce(x["plain_text"], F.lit(""))))))
-    loose = F.filter("numbers", lambda n: ~F.exists(plain, lambda t: number_matches(n["value"], n["unit"], t)))
+    loose = F.filter("numbers", lambda n: ~F.exists(plain, lambda t: F.exists(n["forms"], lambda x: F.contains(t, x))))
     combined = F.upper(F.array_join(F.flatten(F.transform(s, lambda x: F.array(x["quote_en"], F.coalesce(x["text"], F.lit(""))))), " "))
     tickers = F.filter(extract_tickers(F.col("text_bg")), lambda t: ~F.contains(combined, t))
     failed = F.array(

@@ -17,7 +17,7 @@ from newsloom.functions.text import best_text, content_hash, first_phrase, norma
 from newsloom.functions.urls import canonical_url, canonical_url_sql
 from newsloom.operators import clusters as C
 from newsloom.operators import evaluate, feed, health, ledger, stories, verify
-from newsloom.operators.corroborate import candidates, corroborate
+from newsloom.operators.corroborate import candidates, check_requests, corroborate
 from newsloom.plans import adapters as A
 from newsloom.plans.adapters import ARTICLES_AS_OF, CALLS_AS_OF, ORDERS_AS_OF, with_views
 from newsloom.session import ship, table
@@ -147,23 +147,71 @@ def filing_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views("filings clusters members", """, met as (
   select f.id as filing_id, c.id as cluster_id, c.last_seen_at,
-    (hint = 'earnings' and event_type = 'earnings') or (hint = 'merger_acquisition' and event_type = 'merger_acquisition') or (hint = 'regulatory' and event_type in ('regulatory', 'legal')) or (f.id + c.id) % 7 = 0 as fits
+    (hint = 'earnings' and event_type = 'earnings') or (hint = 'merger_acquisition' and event_type = 'merger_acquisition') or (hint = 'regulatory' and event_type in ('regulatory', 'legal')) or ((f.id + c.id) % 7 = 0 and (f.id + c.id) % 11 <> 0) as fits
   from filings f join clusters c on c.primary_ticker = f.ticker and c.last_seen_at >= f.published_at - to_hours(48) and c.first_seen_at <= f.published_at + to_hours(48)
   where c.id in (select cluster_id from members join documents on doc_id = article_id where cast(substr(source, 4) as int) % 7 <> 0)),
 first_ as (select filing_id, arg_min(cluster_id, (-epoch(last_seen_at), cluster_id)) as cluster_id from met where coalesce(fits, false) group by 1)
 select f.id as article_id, first_.cluster_id from filings f left join first_ on first_.filing_id = f.id"""))
 def corroborated_filings(spark: SparkSession, d: str) -> DataFrame:
-    f, c = A.filings(spark, d), A.story_clusters(spark, d)
-    known = A.articles(spark, d)
-    every = known.select("id", "source_id", "url", "published_at", "tickers", F.lit(None).cast("string").alias("event_type_hint"), F.lit("quarantined").alias("status")).unionByName(f)
-    asked = candidates(f.select("id", F.col("tickers")[0].alias("ticker"), "published_at", F.col("event_type_hint").alias("hint")), c)
-    verdicts = asked.select("filing_id", "cluster_id", ((F.col("filing_id") + F.col("cluster_id")) % 7 == 0).alias("matches"), F.lit(0.7).alias("confidence"))
-    members = corroborate(every, A.sources(spark, d), c, A.cluster_members(spark, d), verdicts)[1]
+    members, c = _corroborated(spark, d)[1], A.story_clusters(spark, d)
     new = members.filter("match_method = 'sec_corroboration'")
     own = c.select(F.col("id").alias("cluster_id"), F.lit(True).alias("known"))
     return new.join(own, "cluster_id", "left").select("article_id", F.when(F.col("known"), F.col("cluster_id")).alias("cluster_id"))
 
 
+def _with_filings(spark: SparkSession, d: str) -> DataFrame:
+    """Articles, none of them a filing of its own, and filings."""
+    null = lambda c: F.lit(None).cast("string").alias(c)
+    known = A.articles(spark, d).select("id", "source_id", "url", "published_at", "tickers", null("event_type_hint"), "status", "title", "summary_raw", null("clean_text"), null("sec_form_type"))
+    primary = A.sources(spark, d).filter("kind = 'primary'").select(F.col("id").alias("source_id"), F.lit(True).alias("primary"))
+    known = known.join(F.broadcast(primary), "source_id", "left")  # one row for each source
+    known = known.withColumn("status", F.when(F.col("primary"), "quarantined").otherwise(F.col("status"))).drop("primary")
+    f = A.filings(spark, d).select("*", F.col("url").alias("title"), null("summary_raw"), null("clean_text"), F.lit("8-K").alias("sec_form_type"))
+    return known.unionByName(f)
+
+
+def _corroborated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """With verdicts on every candidate pair but those whose ids add up to a multiple of eleven."""
+    f, c = A.filings(spark, d), A.story_clusters(spark, d)
+    asked = candidates(f.select("id", F.col("tickers")[0].alias("ticker"), "published_at", F.col("event_type_hint").alias("hint")), c)
+    total = F.col("filing_id") + F.col("cluster_id")
+    verdicts = asked.filter(total % 11 != 0).select("filing_id", "cluster_id", (total % 7 == 0).alias("matches"), F.lit(0.7).alias("confidence"))
+    return corroborate(_with_filings(spark, d), A.sources(spark, d), c, A.cluster_members(spark, d), verdicts)
+
+
+_TRIED_SQL = """, met as (
+  select f.id as filing_id, c.id as cluster_id, c.last_seen_at,
+    coalesce((hint = 'earnings' and event_type = 'earnings') or (hint = 'merger_acquisition' and event_type = 'merger_acquisition') or (hint = 'regulatory' and event_type in ('regulatory', 'legal')), false) as sure
+  from filings f join clusters c on c.primary_ticker = f.ticker and c.last_seen_at >= f.published_at - to_hours(48) and c.first_seen_at <= f.published_at + to_hours(48)
+  where c.id in (select cluster_id from members join documents on doc_id = article_id where cast(substr(source, 4) as int) % 7 <> 0)),
+ranked as (select *, row_number() over (partition by filing_id order by last_seen_at desc, cluster_id) as rank, (filing_id + cluster_id) % 11 <> 0 as told, (filing_id + cluster_id) % 7 = 0 as same from met),
+tried as (select *, min(case when sure or (told and same) then rank end) over (partition by filing_id) as first_, min(case when sure then rank end) over (partition by filing_id) as first_sure from ranked)
+"""
+
+
+@query(with_views("filings clusters members", _TRIED_SQL + """
+select (select count(*) from tried where rank = first_) as new_corroborations, (select count(*) from filings) - (select count(*) from tried where rank = first_) as standalone,
+  (select count(*) from tried where rank = first_ and not sure) as verdict_matches, count(*) filter (told) as llm_checks, count(*) filter (not told) as budget_skips
+from tried where not sure and (first_ is null or rank <= first_)"""))
+def corroboration_stats(spark: SparkSession, d: str) -> DataFrame:
+    return _corroborated(spark, d)[2]
+
+
+@query(with_views("filings clusters members articles", _TRIED_SQL + """, shown as (
+  select cluster_id, article_id, summary_raw, row_number() over (partition by cluster_id order by article_id) as turn
+  from members join articles on articles.id = article_id
+  where status = 'active' and source_id % 7 <> 0 and cluster_id in (select cluster_id from tried)),
+blocks as (select *, substr(sha256('run' || article_id), 1, 16) as nonce from shown where turn <= 5),
+media as (select cluster_id, string_agg('<article id="' || article_id || '" nonce="' || nonce || '">' || chr(10) || summary_raw || chr(10) || '</article nonce="' || nonce || '">', chr(10) || chr(10) order by turn) as said from blocks group by cluster_id),
+asked as (select t.filing_id, t.cluster_id, f.ticker, f.url, substr(sha256('run' || f.id), 1, 16) as nonce from tried t join filings f on f.id = t.filing_id where not sure and (first_sure is null or rank < first_sure))
+select filing_id, cluster_id, md5('Filing 8-K of ' || ticker || ':' || chr(10) || chr(10) || '<article id="' || filing_id || '" nonce="' || nonce || '">' || chr(10) || url || chr(10) || '</article nonce="' || nonce || '">'
+  || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Media articles of cluster ' || cluster_id || ':' || chr(10) || chr(10) || said) as message
+from asked join media using (cluster_id)"""))
+def corroboration_requests(spark: SparkSession, d: str) -> DataFrame:
+    r = check_requests(_with_filings(spark, d), A.sources(spark, d), A.story_clusters(spark, d), A.cluster_members(spark, d))
+    return r.select("filing_id", "cluster_id", F.md5("user_msg").alias("message"))
+
+
 # ---- text ----
 
 
@@ -241,15 +289,21 @@ def normalized_documents(spark: SparkSession, d: str) -> DataFrame:
 _PRICES = "concat(cast(cast(floor(o_totalprice / 1000) as bigint) as string), ',5 млн. долара и ', cast(o_orderkey % 97 as string), '%')"
 
 
-@query("""select o_orderkey, [(floor(o_totalprice / 1000) + 0.5) * 1e6]::double[] as amounts, (o_orderkey % 97)::double as percent from orders where o_totalprice >= 1000 and o_totalprice < 1000000""")
+#: Digit runs are read three at a time, so the amount is what the last run of up to three says.
+_EXTRACTED_SQL = """
+with s as (select o_orderkey, floor(o_totalprice / 1000)::bigint::varchar as n from orders)
+select o_orderkey, [(right(n, (length(n) - 1) % 3 + 1)::double + 0.5) * 1e6]::double[] as amounts, (o_orderkey % 97)::double as percent from s"""
+
+
+@query(_EXTRACTED_SQL)
 def extracted_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return _extracted(table(spark, d, "orders").filter("o_totalprice >= 1000 and o_totalprice < 1000000"))
+    return _extracted(table(spark, d, "orders"))
 
 
-@query()
+@query(_EXTRACTED_SQL)
 def extracted_numbers_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All orders; tested by brute force."""
-    return _extracted(table(spark, d, "orders"))
+    """The same under its former name."""
+    return extracted_numbers(spark, d)
 
 
 def _extracted(orders: DataFrame) -> DataFrame:
@@ -259,15 +313,19 @@ def _extracted(orders: DataFrame) -> DataFrame:
     return t.select("o_orderkey", money.alias("amounts"), F.try_element_at(percent, F.lit(1))["value"].alias("percent"))
 
 
-@query("select o_orderkey, true as in_millions, o_orderkey % 2 = 0 as in_source from orders where o_orderkey % 1000 between 1 and 899")
+#: From 900 million on, a number is sought in billions.
+_GROUNDED_SQL = "select o_orderkey, o_orderkey % 1000 < 900 as in_millions, o_orderkey % 2 = 0 as in_source from orders"
+
+
+@query(_GROUNDED_SQL)
 def grounded_numbers(spark: SparkSession, d: str) -> DataFrame:
-    return _grounded(table(spark, d, "orders").filter((F.col("o_orderkey") % 1000).between(1, 899)))
+    return _grounded(table(spark, d, "orders"))
 
 
-@query()
+@query(_GROUNDED_SQL)
 def grounded_numbers_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All orders, with those that the operator answers otherwise; tested by brute force."""
-    return _grounded(table(spark, d, "orders"))
+    """The same under its former name."""
+    return grounded_numbers(spark, d)
 
 
 def _grounded(t: DataFrame) -> DataFrame:
@@ -365,11 +423,11 @@ def parsed_responses(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_views("clusters members articles", """
-select c.id as cluster_id, length('Classify cluster ' || c.id || ' (primary ticker: ' || primary_ticker || E').\\n\\n') + sum(length(a.summary_raw) + length('<article id="' || a.id || E'" nonce="">\\n\\n</article nonce="">') + 32) + 2 * (count(*) - 1) as n_chars
+select c.id as cluster_id, md5('Classify cluster ' || c.id || ' (primary ticker: ' || primary_ticker || ').' || chr(10) || chr(10) || string_agg('<article id="' || a.id || '" nonce="' || substr(sha256('run' || a.id), 1, 16) || '">' || chr(10) || a.summary_raw || chr(10) || '</article nonce="' || substr(sha256('run' || a.id), 1, 16) || '">', chr(10) || chr(10) order by a.id)) as message
 from clusters c join members m on m.cluster_id = c.id join articles a on a.id = m.article_id where classification_model is null and a.status = 'active' group by c.id, primary_ticker"""))
 def classify_requests(spark: SparkSession, d: str) -> DataFrame:
     r = stories.classify_requests(A.story_clusters(spark, d), A.cluster_members(spark, d), A.articles(spark, d))
-    return r.select("cluster_id", F.length("user_msg").cast("long").alias("n_chars"))
+    return r.select("cluster_id", F.md5("user_msg").alias("message"))
 
 
 @query(with_views("clusters members articles stories", """, todo as (
