@@ -123,7 +123,7 @@ def mixed(docs: DataFrame, seed: int = 17, domain: str = DOMAIN, **options) -> D
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17, domain: str = DOMAIN, **options) -> DataFrame:
-    """The rows taken, with the columns of `docs` and `copies`, how often each is to be seen.
+    """The rows taken, with the columns of `docs` and `copies`, how often each is to be seen (in place of a column of that name).
 
     The plan has a row for each leaf; texts pass by it without a shuffle while it is small enough to
     broadcast, which Spark checks, and AQE splits the skew of a shuffled join beyond.
@@ -131,7 +131,7 @@ def mixed_documents(docs: DataFrame, seed: int = 17, domain: str = DOMAIN, **opt
     plan = staged(leaf_plan(staged(leaves(docs, domain), "leaves"), seed, **options), "plan")
     raw = docs.select(whole(docs), F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_md5"))
     named = raw.withColumn("domain", F.expr(domain)).withColumns({c: F.coalesce(c, F.lit("unknown")) for c in ("lang", "source")})
-    return named.join(plan, LEAF).withColumn("copies", _copies(seed)).filter("copies > 0").select("whole.*", "copies")
+    return named.join(plan, LEAF).withColumn("copies", _copies(seed)).filter("copies > 0").select(*[F.col("whole").getField(c).alias(c) for c in docs.columns if c != "copies"], "copies")
 
 
 def _case(level: str, weights: dict[str, dict[str, int]]) -> str:
