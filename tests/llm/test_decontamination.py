@@ -113,3 +113,33 @@ def test_documents_shorter_than_an_item(spark):
     size = {i: len(words(t)) for i, t in docs}
     assert all(0 <= r.word_start < r.word_end <= size[r.doc_id] for r in found)
     assert {r.doc_id for r in op.clean_documents(d, b).collect()} == {i for i, _ in docs} - {x[0] for x in want}
+
+
+def test_near_copies_lie_within_the_radius():
+    """Of random near copies at a similarity of 0.75 to 0.85, at least 999 in 1000 have fingerprints within the radius."""
+    import random
+    from collections import Counter
+
+    from newsloom.llm import decontamination as dc
+    from newsloom.llm.bytegrid import Grid
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+
+    def bag(w):
+        grid = Grid([" ".join(w).encode()]).words()
+        return dc._bag(grid.hashes(grid.ws, grid.we, 0, fold=True), 5)
+
+    tried = lost = 0
+    for _ in range(4000):
+        n = rng.randrange(20, 150)
+        w = [rng.choice(words) for _ in range(n)]
+        v = list(w)
+        for _ in range(rng.randrange(1, max(2, n // 20) + 1)):
+            v[rng.randrange(n)] = rng.choice(words)
+        a, b = bag(w), bag(v)
+        if 0.75 <= dc.similarity(Counter(a.tolist()), Counter(b.tolist())) <= 0.85:
+            p, q = (int(dc.fingerprint(dc.signs(x).sum(axis=0, keepdims=True))[0]) for x in (a, b))
+            tried += 1
+            lost += (p ^ q).bit_count() > dc.RADIUS
+    assert tried > 1000 and lost <= tried / 1000
