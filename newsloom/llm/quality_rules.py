@@ -9,7 +9,7 @@ does not depend on the partitioning. A quantile read from it is the exact one or
 above. Sketches are taken over the rows that pass the base rule.
 
 A group's upper fence of a statistic is q90 + reach * (q90 - q50), the lower one (for rules in LOWER)
-q10 - reach * (q50 - q10): as far beyond the group's own tenth as a multiple of that tenth's distance from
+q10 / gamma - reach * (q50 - q10): as far beyond the group's own tenth as a multiple of that tenth's distance from
 the middle. Most documents of a clean group hold no symbol and repeat nothing, and such a fence is 0; a
 rate's fence is therefore at least 1 / 50, one occurrence in the shortest text that the base rule passes.
 Every group's fence is drawn towards its language's by a weight of `prior` rows, and a language's towards
@@ -149,7 +149,8 @@ def fences(sketch: DataFrame, *by: str, gamma: float, reach: float) -> DataFrame
     """(by..., rule, n, lower, upper): each group's own fences; lower is null for rules without one."""
     upper = F.col("q90") + reach * (F.col("q90") - F.col("q50"))
     least = F.when(F.col("rule").isin(*RATES), 1 / LEAST_WORDS)  # greatest() skips nulls
-    lower = F.when(F.col("rule").isin(LOWER), F.col("q10") - reach * (F.col("q50") - F.col("q10")))
+    # Quantiles are read at their bin's upper end; from below, the lower end counts.
+    lower = F.when(F.col("rule").isin(LOWER), F.col("q10") / gamma - reach * (F.col("q50") - F.col("q10")))
     return quantiles(sketch, *by, gamma=gamma).select(*by, "rule", "n", lower.alias("lower"), F.greatest(upper, least).alias("upper"))
 
 
@@ -173,8 +174,8 @@ def broken() -> dict[str, Column]:
     """Rule -> whether a row that has counts and fences breaks it (a group in which every row fails the base rule has no fences)."""
     out = {}
     for r in RULES:
-        bad = F.coalesce(judged_statistic(r) > F.col(f"upper_{r}"), F.lit(False))
-        out[r] = bad | F.coalesce(statistic(r) < F.col(f"lower_{r}"), F.lit(False)) if r in LOWER else bad
+        bad = F.coalesce(judged_statistic(r) > F.col(f"upper_{r}") * (1 + 1e-9), F.lit(False))
+        out[r] = bad | F.coalesce(statistic(r) < F.col(f"lower_{r}") * (1 - 1e-9), F.lit(False)) if r in LOWER else bad
     return out
 
 
