@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.ids import key_id
+from newsloom.functions.responses import cache_key, request_block
 from newsloom.functions.text import best_text, primary_ticker, tokenize
 from newsloom.operators.components import components
 from newsloom.session import staged
 
 #: Tickerless articles are compared among themselves.
 MACRO = "__macro__"
+SAME_EVENT_VERSION = "same_event_v1"
 STATS = ["first_seen_at", "last_seen_at", "article_count", "publisher_count", "primary_ticker"]
 
 
@@ -197,6 +199,26 @@ def border_pairs(clusters: DataFrame, members: DataFrame, as_of: datetime, hours
     return a.join(b, F.col("ta").eqNullSafe(F.col("tb")) & (F.col("oa") < F.col("ob"))).select("a", "b")
 
 
+def same_event_requests(pairs: DataFrame, clusters: DataFrame, members: DataFrame, articles: DataFrame, seed: str = "run", version: str = SAME_EVENT_VERSION, model: str = "small") -> DataFrame:
+    """(a, b, cache_key, user_msg): whether the two clusters of each pair (a, b) tell of one event, see `merge_clusters`.
+
+    A request shows all active articles of both clusters, by id; a pair with none on one side isn't asked about.
+    """
+    met = pairs.select(F.explode(F.array("a", "b")).alias("cluster_id")).distinct()
+    inside = members.select("cluster_id", "article_id").join(met, "cluster_id", "left_semi").distinct()
+    active = articles.filter("status = 'active'")
+    block = request_block(F.col("id"), best_text(F.col("clean_text"), F.col("summary_raw"), F.col("title")), seed)
+    told = inside.join(active.select(F.col("id").alias("article_id"), block.alias("block")), "article_id")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("article_id", "block"))), lambda x: x["block"]), "\n\n")
+    named = told.groupBy("cluster_id").agg(body.alias("body")).join(clusters.select(F.col("id").alias("cluster_id"), "primary_ticker"), "cluster_id")
+    # A cluster's part of the message is made once, however many pairs it is in.
+    part = F.concat(F.lit("cluster "), F.col("cluster_id").cast("string"), F.lit(" (primary ticker: "), F.coalesce("primary_ticker", F.lit("N/A")), F.lit("):\n\n"), "body")
+    side = named.select("cluster_id", part.alias("part"))
+    both = pairs.select("a", "b").distinct().join(side.toDF("a", "one"), "a").join(side.toDF("b", "two"), "b")
+    msg = both.select("a", "b", F.concat(F.lit("First "), "one", F.lit("\n\n---\n\nSecond "), "two").alias("user_msg"))
+    return msg.select("a", "b", cache_key(F.lit(version), F.lit(model), F.col("user_msg")).alias("cache_key"), "user_msg")
+
+
 def merge_clusters(clusters: DataFrame, members: DataFrame, articles: DataFrame, verdicts: DataFrame, confidence: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Fold later clusters into earlier ones by verdicts (a, b, same_event, confidence).
 

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.numbers import extract_numbers, surface_forms
-from newsloom.functions.responses import parse_judgement, parse_recheck
+from newsloom.functions.responses import cache_key, parse_judgement, parse_recheck
 from newsloom.functions.scan import THRESHOLD, grey_zone
 from newsloom.functions.text import advice_phrase, best_text, extract_tickers, normalize_text, opinion_marker
 
+JUDGE_VERSION, RECHECK_VERSION = "judge_v1", "recheck_v1"
 #: Checks in the order in which they run; the last one only flags.
 CHECKS = ["no_advice", "quote_exists", "numbers_grounded", "entities_grounded", "opinion_placement"]
 
@@ -76,16 +77,30 @@ def verify_facts(facts: DataFrame, evidence: DataFrame, articles: DataFrame, as_
     return done.unionByName(facts.filter("verification_status <> 'pending'")), log
 
 
+def _flagged(log: DataFrame) -> DataFrame:
+    """Facts that the last check flagged."""
+    return log.filter("check = 'opinion_placement' and not passed").select(F.col("fact_id").alias("id")).distinct()
+
+
+def judgement_requests(facts: DataFrame, log: DataFrame, evidence: DataFrame, version: str = JUDGE_VERSION, model: str = "small") -> DataFrame:
+    """(fact_id, cache_key, user_msg): pending facts that a check flagged, with their quotes by evidence id, as JSON."""
+    todo = facts.filter("verification_status = 'pending'").join(_flagged(log), "id", "left_semi")
+    quotes = evidence.join(todo.select(F.col("id").alias("fact_id")), "fact_id", "left_semi").groupBy("fact_id").agg(F.sort_array(F.collect_list(F.struct("id", "quote_en"))).alias("q"))
+    said = F.coalesce(F.transform("q", lambda x: x["quote_en"]), F.array().cast("array<string>"))
+    both = todo.select(F.col("id").alias("fact_id"), "text_bg").join(quotes, "fact_id", "left")
+    msg = both.select("fact_id", F.to_json(F.struct("fact_id", F.col("text_bg").alias("fact_text_bg"), said.alias("quotes"))).alias("user_msg"))
+    return msg.select("fact_id", cache_key(F.lit(version), F.lit(model), F.col("user_msg")).alias("cache_key"), "user_msg")
+
+
 def apply_judgements(facts: DataFrame, log: DataFrame, verdicts: DataFrame, as_of: datetime) -> tuple[DataFrame, DataFrame]:
     """Settle the facts that a check only flagged, by verdicts (fact_id, response_text).
 
     Supported facts are verified, unsupported ones removed; a missing or invalid verdict leaves a fact
     partially supported. A valid verdict is logged.
     """
-    flagged = log.filter("check = 'opinion_placement' and not passed").select(F.col("fact_id").alias("id")).distinct()
     v = verdicts.select(F.col("fact_id").alias("id"), parse_judgement(F.col("response_text"))["value"].alias("v")).dropDuplicates(["id"])
     support = F.when(F.col("v.fact_id") == F.col("id"), F.col("v.support"))
-    asked = flagged.join(v, "id", "left").select("id", support.alias("support"), F.lit(True).alias("asked"))
+    asked = _flagged(log).join(v, "id", "left").select("id", support.alias("support"), F.lit(True).alias("asked"))
     new = F.when(F.col("support") == "not_supported", "removed").when(F.col("support") == "supported", "verified").otherwise("partially_supported")
     both = facts.join(asked, "id", "left")
     out = both.withColumn("verification_status", F.when(F.col("asked") & (F.col("verification_status") == "pending"), new).otherwise(F.col("verification_status")))
@@ -96,14 +111,26 @@ def apply_judgements(facts: DataFrame, log: DataFrame, verdicts: DataFrame, as_o
     return out.select(facts.columns), told
 
 
+def _grey_articles(articles: DataFrame, members: DataFrame, min_score: float) -> DataFrame:
+    """(article_id, text) of clustered articles in the grey zone that have a text."""
+    grey = articles.filter(grey_zone(F.col("status"), F.col("injection_score"), min_score, THRESHOLD))
+    text = grey.select(F.col("id").alias("article_id"), best_text(F.col("clean_text"), F.col("summary_raw"), F.col("title")).alias("text"))
+    return text.filter(F.trim("text") != "").join(members.select("article_id"), "article_id", "left_semi")
+
+
+def recheck_requests(articles: DataFrame, members: DataFrame, min_score: float = 0.0, version: str = RECHECK_VERSION, model: str = "small") -> DataFrame:
+    """(article_id, cache_key, user_msg): the texts of clustered grey-zone articles, to be judged for injection."""
+    msg = _grey_articles(articles, members, min_score)
+    return msg.select("article_id", cache_key(F.lit(version), F.lit(model), F.col("text")).alias("cache_key"), F.col("text").alias("user_msg"))
+
+
 def apply_injection_recheck(articles: DataFrame, members: DataFrame, stories: DataFrame, verdicts: DataFrame, as_of: datetime, min_score: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Quarantine clustered grey-zone articles whose verdict (article_id, response_text) says injection.
 
     Returns articles, a story-level log row for each of their stories, and the clusters to summarise anew.
     """
     v = verdicts.select("article_id", parse_recheck(F.col("response_text"))["value"].alias("v")).filter("v.is_injection").select("article_id").distinct()
-    grey = articles.filter(grey_zone(F.col("status"), F.col("injection_score"), min_score, THRESHOLD)).filter(F.trim(best_text(F.col("clean_text"), F.col("summary_raw"), F.col("title"))) != "").select(F.col("id").alias("article_id"))
-    hit = grey.join(v, "article_id", "left_semi").join(members.select("article_id"), "article_id", "left_semi").distinct()
+    hit = _grey_articles(articles, members, min_score).select("article_id").join(v, "article_id", "left_semi").distinct()
     marked = articles.join(hit.select(F.col("article_id").alias("id"), F.lit(True).alias("hit")), "id", "left")
     out = marked.withColumn("status", F.when(F.col("hit"), "quarantined").otherwise(F.col("status"))).select(articles.columns)
     clusters = members.join(hit, "article_id", "left_semi").select("cluster_id").distinct()

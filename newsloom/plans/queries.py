@@ -120,6 +120,18 @@ def border_pairs(spark: SparkSession, d: str) -> DataFrame:
     return C.border_pairs(A.story_clusters(spark, d), A.cluster_members(spark, d), ORDERS_AS_OF, 2400)
 
 
+@query(with_views("clusters members articles", f""", c as (
+  select id, primary_ticker, first_seen_at from clusters where id in (select cluster_id from members where needs_llm_check) and first_seen_at >= {ORDERS_TS} - to_hours(2400)),
+part as (select c.id, c.primary_ticker, c.first_seen_at, 'cluster ' || c.id || ' (primary ticker: ' || coalesce(c.primary_ticker, 'N/A') || '):' || chr(10) || chr(10) || string_agg('<article id="' || a.id || '" nonce="' || substr(sha256('run' || a.id), 1, 16) || '">' || chr(10) || a.summary_raw || chr(10) || '</article nonce="' || substr(sha256('run' || a.id), 1, 16) || '">', chr(10) || chr(10) order by a.id) as part
+  from c join members m on m.cluster_id = c.id join articles a on a.id = m.article_id where a.status = 'active' group by c.id, c.primary_ticker, c.first_seen_at)
+select a.id as a, b.id as b, md5('First ' || a.part || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'Second ' || b.part) as message
+from part a join part b on a.primary_ticker is not distinct from b.primary_ticker and (a.first_seen_at, a.id) < (b.first_seen_at, b.id)"""))
+def same_event_requests(spark: SparkSession, d: str) -> DataFrame:
+    c, m = A.story_clusters(spark, d), A.cluster_members(spark, d)
+    r = C.same_event_requests(C.border_pairs(c, m, ORDERS_AS_OF, 2400), c, m, A.articles(spark, d))
+    return r.select("a", "b", F.md5("user_msg").alias("message"))
+
+
 @query(with_views("clusters members", f""", c as (
   select id, primary_ticker, first_seen_at from clusters where id in (select cluster_id from members where needs_llm_check) and first_seen_at >= {ORDERS_TS} - to_hours(2400)),
 yes as (select a.id as a, b.id as b from c a join c b on a.primary_ticker = b.primary_ticker and (a.first_seen_at, a.id) < (b.first_seen_at, b.id) where a.id % 3 = b.id % 3),
@@ -510,6 +522,14 @@ def verification_log_counts(spark: SparkSession, d: str) -> DataFrame:
     return log.groupBy("check", (~F.col("passed")).alias("failed")).agg(F.count("*").alias("n"))
 
 
+@query("""select doc_id as fact_id, md5('{"fact_id":' || doc_id || ',"fact_text_bg":"Пазарът очаква ръст","quotes":[' || to_json(substr(text, 1, 30)) || ']}') as message from documents where doc_id % 11 = 3""")
+def judgement_requests(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+    f, e = _facts_to_check(spark, d)
+    facts, log = verify.verify_facts(f, e, A.articles(spark, d), ARTICLES_AS_OF)
+    return verify.judgement_requests(facts, log, e).select("fact_id", F.md5("user_msg").alias("message"))
+
+
 @query("""select doc_id as id, case when doc_id % 11 <> 3 then case when doc_id % 11 <= 4 then 'removed' else 'verified' end else case doc_id % 4 when 0 then 'verified' when 1 then 'removed' when 2 then 'partially_supported' else 'partially_supported' end end as verification_status from documents""")
 def judged_facts(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
@@ -521,6 +541,12 @@ def judged_facts(spark: SparkSession, d: str) -> DataFrame:
     return verify.apply_judgements(facts, log, verdicts, ARTICLES_AS_OF)[0].select("id", "verification_status")
 
 
+@query(with_views("articles members", """
+select distinct a.id as article_id, md5(a.summary_raw) as message from members m join articles a on a.id = m.article_id where a.status = 'active' and injection_score > 0 and injection_score < 0.5 and trim(a.summary_raw) <> ''"""))
+def recheck_requests(spark: SparkSession, d: str) -> DataFrame:
+    return verify.recheck_requests(A.articles(spark, d), A.cluster_members(spark, d)).select("article_id", F.md5("user_msg").alias("message"))
+
+
 @query(with_views("articles members", """
 select distinct m.cluster_id from members m join articles a on a.id = m.article_id where a.status = 'active' and injection_score > 0 and injection_score < 0.5 and a.id % 2 = 0"""))
 def rechecked_clusters(spark: SparkSession, d: str) -> DataFrame:

@@ -59,6 +59,25 @@ def test_merge(spark):
     assert m2.filter("cluster_id = 10").count() == 3
 
 
+def test_requests_for_pairs_judgements_and_rechecks(spark):
+    a = articles(spark, [(1, "a", "one", "p", [], 1), (2, "b", "two", "p", [], 2), (3, "c", "gone", "p", [], 3), (4, "", "", "p", [], 4)])
+    a = a.withColumn("status", F.when(F.col("id") == 3, "quarantined").otherwise(F.col("status"))).withColumn("injection_score", F.when(F.col("id") == 2, 0.0).otherwise(0.2))
+    c = spark.createDataFrame([(10, "T"), (20, None), (30, "T")], "id long, primary_ticker string")
+    m = spark.createDataFrame([(10, 1), (10, 3), (20, 1), (20, 2), (20, 2), (30, 3), (30, 4)], "cluster_id long, article_id long")
+    pairs = spark.createDataFrame([(10, 20), (10, 20)], "a long, b long")
+    (r,) = clusters.same_event_requests(pairs, c, m, a).collect()
+    assert (r.a, r.b) == (10, 20) and r.user_msg.count("<article ") == 3 and "cluster 20 (primary ticker: N/A)" in r.user_msg and "gone" not in r.user_msg
+    assert clusters.same_event_requests(pairs.selectExpr("a", "30 as b"), c, m.filter("article_id = 3 or cluster_id < 30"), a).count() == 0
+
+    f = spark.createDataFrame([(1, 1, 0, "x \"y\"", "pending"), (2, 1, 1, "z", "pending"), (3, 1, 2, "w", "removed"), (4, 1, 3, "v", "pending")], "id long, story_id long, fact_order int, text_bg string, verification_status string")
+    log = spark.createDataFrame([(k, "opinion_placement", k == 4) for k in (1, 1, 2, 3, 4)], "fact_id long, check string, passed boolean")
+    e = spark.createDataFrame([(8, 1, 1, "second"), (7, 1, 1, "first"), (9, 3, 1, "no")], "id long, fact_id long, article_id long, quote_en string")
+    told = {r.fact_id: json.loads(r.user_msg) for r in verify.judgement_requests(f, log, e).collect()}
+    assert told == {1: {"fact_id": 1, "fact_text_bg": 'x "y"', "quotes": ["first", "second"]}, 2: {"fact_id": 2, "fact_text_bg": "z", "quotes": []}}
+    # In the grey zone, active, in a cluster, and not blank: the first article alone, once.
+    assert [r.article_id for r in verify.recheck_requests(a, m).collect()] == [1]
+
+
 def test_corroboration(spark):
     src = spark.createDataFrame([(1, "m", "rss", False, True), (2, "sec", "primary", True, True)], schemas.SOURCES)
     media = articles(spark, [(1, "t", "x", "p", ["NV"], 1), (2, "t", "y", "p", ["AB"], 1)])
