@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from newsloom.llm import language_id, lm_scoring
 from newsloom.llm.bytegrid import Grid
@@ -108,3 +109,71 @@ def test_every_context_is_predicted_from():
     # The last bytes of the two long words: orders 2, 3 and 5 agree, the words so far don't.
     last = [np.flatnonzero((t.rest.owner == w) & (t.rest.data == 32))[0] for w in t.word[-2:]]
     assert [len(set(t.rest.context[last, k].tolist())) for k in range(4)] == [1, 1, 1, 2]
+
+
+def _passages(words, last):
+    """(lead, passage) after each cut of a text, by the operator's own word names."""
+    cuts = [i for i in range(1, len(words)) if last[i]]
+    ends = [*(c + 1 for c in cuts[1:]), len(words) + 1][: len(cuts)]
+    return [(tuple(words[max(0, c - lm_scoring.LEAD + 1) : c + 1]), tuple([*words, "\n"][c + 1 : e])) for c, e in zip(cuts, ends, strict=True)]
+
+
+def test_passages_against_brute_force(spark, monkeypatch):
+    """Answers equal those of a dictionary over all texts, with a text's own passages left out."""
+    rng = np.random.default_rng(5)
+    base = [" ".join(rng.choice([f"w{i}" for i in range(5)], int(n))) for n in rng.integers(0, 90, 60)]
+    texts = base + base[:20] + [None, "", "w1 w2", base[3] + " w1 W2 w3"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).withColumn("held_out", lm_scoring.held_out())
+    df = df.withColumn("row_key", F.xxhash64("doc_id")).withColumn("name", F.col("doc_id"))
+    held = {r.doc_id: r.held_out for r in df.collect()}
+    grid, h = lm_scoring._named([(t or "").encode() for t in texts])
+    p = lm_scoring.passages(grid, h)
+    pair = np.zeros(len(h), np.uint64)
+    pair[1:] = lm_scoring.mix(h[1:] + np.uint64(3) * h[:-1], 81)
+    after = pair % np.uint64(lm_scoring.SPACING) == 0
+    by_doc = {}
+    for d, t in enumerate(texts):
+        words = (t or "").lower().split()
+        by_doc[d] = _passages(words, after[grid.wlo[d] : grid.whi[d]])
+        assert len(by_doc[d]) == (p.doc == d).sum()
+        covers = p.of[np.concatenate([np.arange(grid.wlo[d], grid.whi[d]), [len(h) + d]])]
+        assert sorted(len(x[1]) for x in by_doc[d] if x[1]) == sorted(np.bincount(covers[covers >= 0])[np.unique(covers[covers >= 0])].tolist())
+    counts = Counter(x for d, got in by_doc.items() if not held[d] for x in got)
+    want = {}
+    for d, got in by_doc.items():
+        own = Counter(got) if not held[d] else Counter()
+        for place, (two, one) in enumerate(got):
+            if len({x for x in own if x[0] == two}) > 1:
+                continue
+            left = {x[1]: n - own[x] for x, n in counts.items() if x[0] == two and n > own[x]}
+            if left:
+                most = max(left.values())
+                bucket = np.searchsorted(lm_scoring.LIKELIEST, most, "right") * 7 + np.searchsorted(lm_scoring.OTHERS, sum(left.values()) - most, "right")
+                likely = {x for x, n in left.items() if n == most}
+                want[d, place] = (bucket, one in likely, len(likely) == 1)
+    cuts = df.mapInArrow(lm_scoring._cut_rows(3), lm_scoring.CUT_ROWS).repartition(3, "part").sortWithinPartitions("part", "kind")
+    for most in (lm_scoring.CUTS, 3):
+        monkeypatch.setattr(lm_scoring, "CUTS", most)
+        got = cuts.mapInArrow(lm_scoring._answers, "name long, place long, class int, learned boolean").collect()
+        assert {(r.name, r.place) for r in got} == set(want) and len(want) > 100
+        for r in got:
+            bucket, may, must = want[r.name, r.place]
+            assert r["class"] // 2 == bucket and (r["class"] % 2 <= may) and (not must or r["class"] % 2 == may)
+            assert r.learned == (not held[r.name])
+
+
+def test_copies_are_scored_apart(spark):
+    """A text whose like is among those learned from costs far less than one of its own; repeated rows score alike."""
+    rng = np.random.default_rng(6)
+    words = [f"{a}{b}" for a in ("st", "or", "an", "th", "el") for b in ("e", "ing", "ow", "ard", "um")]
+    texts = [" ".join(rng.choice(words, 120)) for _ in range(80)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, texts[i]) for i in range(20)]
+    rows += rows[:2]
+    got = {}
+    for r in lm_scoring.scored(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert sorted(len(x) for x in got.values()) == [1] * 98 + [2] * 2 and all(len(set(x)) == 1 for x in got.values())
+    twice = [got[i][0].bits_per_byte for i in range(20) if not got[100 + i][0].held_out]
+    once = [got[i][0].bits_per_byte for i in range(20, 80)]
+    assert len(twice) > 10 and max(twice) < min(once)
