@@ -8,6 +8,7 @@ content alone, so that every task gives equal content the same name without aski
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +29,18 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes that are neither an ASCII letter or digit nor of another character: they part terms.
+TERM_GAP = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
+
+
+def _crc_table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, (c >> np.uint32(1)) ^ np.uint32(0xEDB88320), c >> np.uint32(1))
+    return c
+
+
+CRC = _crc_table()
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -102,9 +115,9 @@ class Grid:
         self.end = np.cumsum(size + 1) - 1
         self.start = self.end - size
 
-    def words(self) -> "Grid":
-        """Find words: ws, we are their bytes; doc d has the words wlo[d] to whi[d]."""
-        space = IS_SPACE[self.buf]
+    def words(self, gap: np.ndarray = IS_SPACE) -> "Grid":
+        """Find words, parted by the bytes of `gap`: ws, we are their bytes; doc d has the words wlo[d] to whi[d]."""
+        space = gap[self.buf]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if len(space) and not space[0]:
             edge = np.concatenate([[0], edge])
@@ -140,6 +153,22 @@ class Grid:
         return got.astype(np.int64)
 
 
+def crc32_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray | None = None, most: int = 64) -> np.ndarray:
+    """crc32 of each span, going on from the checksums `before`; bytes beyond `most` of a span come one span at a time."""
+    order = np.argsort(starts - ends, kind="stable")  # longest first, so that those still open are a prefix
+    at, size = starts[order], (ends - starts)[order]
+    state = np.full(len(at), 0xFFFFFFFF, np.uint32) if before is None else before.astype(np.uint32)[order] ^ np.uint32(0xFFFFFFFF)
+    for k in range(min(most, int(size[0])) if len(size) else 0):
+        m = int(np.searchsorted(-size, -k, "left"))
+        state[:m] = CRC[(state[:m] ^ buf[at[:m] + k]) & 0xFF] ^ (state[:m] >> np.uint32(8))
+    state ^= np.uint32(0xFFFFFFFF)
+    for i in range(int(np.searchsorted(-size, -most, "left"))):
+        state[i] = zlib.crc32(buf[at[i] + most : at[i] + size[i]].tobytes(), int(state[i]))
+    out = np.empty(len(at), np.uint32)
+    out[order] = state
+    return out
+
+
 def window_hashes(h: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """A name for each run of `width` consecutive values of h; the result is width - 1 shorter."""
     n = len(h) - width + 1

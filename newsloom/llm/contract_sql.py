@@ -112,3 +112,37 @@ HELD_OUT = f"""
 with recursive {_remainder(4)}
 select documents.doc_id, coalesce(r = 2, false) as held_out from documents left join rest using (doc_id)
 """
+
+#: A term: ASCII letters and digits and all characters beyond ASCII.
+_TERMS = r"regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+#: Every feature is written out; crc32 of the distinct ones comes byte by byte from a table that the rule makes.
+RESAMPLING = f"""
+with tab as (select list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+d as (select row_number() over () as rid, 's' as side, doc_id, list_transform({_TERMS}, lambda x: {LOWER.format('x')}) as w from documents),
+b as (select row_number() over () as rid, 't' as side, null::bigint as doc_id, list_transform({_TERMS}, lambda x: {LOWER.format('x')}) as w from benchmark),
+f as (select side, rid, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as feature from (select * from d union all select * from b)),
+names as (select distinct feature, hex(encode(feature)) as x from f),
+crcs as (select feature, xor(list_reduce([4294967295] || list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint), lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1])), 4294967295) % 10000 as bucket from names cross join tab),
+g as (select side, rid, bucket, count(*) as n from f join crcs using (feature) group by all),
+sums as (select k as bucket, coalesce(sum(n) filter (side = 's'), 0) as s, coalesce(sum(n) filter (side = 't'), 0) as t from range(10000) r(k) left join g on g.bucket = k group by k),
+gains as (select bucket, floor(1000 * ln(((t + 1)::double * (sum(s) over () + 10000)::double) / ((s + 1)::double * (sum(t) over () + 10000)::double)))::bigint as gain from sums),
+per as (select rid, sum(n * gain) as gain, sum(n) as n from g join gains using (bucket) where side = 's' group by rid),
+e as (select doc_id, coalesce(n, 0)::bigint as n_features, coalesce(floor(gain::double / n), 0)::bigint as weight, len(w) as words, (('0x' || substr(sha256('7:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5) / 4294967296 as u, d.rid from d left join per using (rid)),
+o as (select *, weight + floor(-1000 * ln(-ln(u::double)))::bigint as score from e),
+r as (select rid, row_number() over (order by score desc, doc_id nulls last) as place, count(*) over () as n from o where words >= 20)
+select doc_id, n_features, weight, score, case when place <= n * 25 // 100 then place end as rank from o left join r using (rid)
+"""
+
+RANKED_SEARCH = f"""
+with d as (select row_number() over () as rid, doc_id, list_transform({_TERMS}, lambda x: {LOWER.format('x')}) as w from documents),
+sized as (select rid, doc_id, w, len(w) as n from d where len(w) > 0),
+q as (select distinct item_id, unnest(list_transform({_TERMS}, lambda x: {LOWER.format('x')})) as term from benchmark),
+tf as (select rid, term, count(*) as tf from (select rid, unnest(w) as term from sized) where term in (select term from q) group by all),
+total as (select count(*)::bigint as docs, sum(n)::bigint as terms from sized),
+df as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint as w from tf cross join total group by term, docs),
+s as (select item_id, rid, sum(df.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::bigint as score
+  from q join tf using (term) join df using (term) join sized using (rid) cross join total group by all)
+select item_id, (row_number() over (partition by item_id order by score desc, doc_id nulls last))::int as rank, doc_id, score from s join sized using (rid) where score > 0
+qualify row_number() over (partition by item_id order by score desc, doc_id nulls last) <= 10
+"""

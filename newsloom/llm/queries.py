@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import contract_sql, decontamination, jaccard_join, language_id, line_dedup, lm_scoring, mixing, quality_rules, secrets, substring_dedup, warc
+from newsloom.llm import contract_sql, decontamination, jaccard_join, language_id, line_dedup, lm_scoring, mixing, nearest, quality_rules, ranked_search, resampling, secrets, substring_dedup, warc
 from newsloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secret scan's columns that SQL can state."""
     return op7_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
@@ -79,6 +91,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_substring_dedup, op2_mixing, op3_decontamination, op4_line_dedup, op5_language_id,
         op6_jaccard_join, op7_secret_scan, op8_warc_revisits, op9_lm_scoring, op10_quality_rules,
+        op11_nearest, op12_resampling, op13_ranked_search,
         secret_base_spans, lm_base_scores, quality_base_counts, language_held_out,
     )
 }
@@ -109,6 +122,8 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
     "op6_jaccard_join": contract_sql.JACCARD_JOIN,
     "op8_warc_revisits": warc.SQL,
+    "op12_resampling": contract_sql.RESAMPLING,
+    "op13_ranked_search": contract_sql.RANKED_SEARCH,
     "secret_base_spans": contract_sql.SECRET_BASE,
     "lm_base_scores": contract_sql.LM_BASE,
     "quality_base_counts": contract_sql.QUALITY_BASE,
