@@ -21,9 +21,10 @@ def cache_key(prompt_version: Column, model: Column, user: Column) -> Column:
 
 
 def strip_fence(text: Column) -> Column:
-    """What the first code fence holds, or the text as it is; trimmed."""
-    t = F.trim(text)
-    return F.when(t.rlike(FENCE), F.trim(F.regexp_extract(t, FENCE, 1))).otherwise(t)
+    """What the first code fence holds, or the text as it is; without white space at both ends."""
+    bare = lambda x: F.regexp_replace(x, r"^(?U)\s+|(?U)\s+$", "")
+    t = bare(text)
+    return F.when(t.rlike(FENCE), bare(F.regexp_extract(t, FENCE, 1))).otherwise(t)
 
 
 def request_block(article_id: Column, text: Column, seed: str, publisher: Column | None = None, published_at: Column | None = None) -> Column:

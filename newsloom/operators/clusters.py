@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from newsloom.functions.ids import key_id
 from newsloom.functions.responses import cache_key, request_block
 from newsloom.functions.text import best_text, primary_ticker, tokenize
 from newsloom.operators.components import components
-from newsloom.session import staged
+from newsloom.operators.near import banded_pairs, similar_pairs
+from newsloom.session import ship, staged
 
 #: Tickerless articles are compared among themselves.
 MACRO = "__macro__"
@@ -53,57 +56,34 @@ def _members(rows: DataFrame, method: str, similarity: Column, check: Column) ->
     return rows.select("cluster_id", F.col("id").alias("article_id"), F.lit(method).alias("match_method"), similarity.cast("double").alias("similarity"), check.alias("needs_llm_check"))
 
 
+def token_set() -> Column:
+    """Distinct tokens of title and text."""
+    return F.array_distinct(tokenize(F.concat_ws(" ", "title", best_text(F.col("clean_text"), F.col("summary_raw"), F.lit("")))))
+
+
 def comparable(articles: DataFrame, members: DataFrame, as_of: datetime, hours: float) -> DataFrame:
-    """(ticker, id, tokens): distinct tokens of title and text, a row for each ticker; articles without tokens are left out."""
+    """(ticker, id, tokens, n), staged: a row for each ticker of an unassigned article of the window; articles without tokens are left out."""
     free = unassigned(articles, members).filter(F.col("published_at") >= since(as_of, hours))
-    text = F.concat_ws(" ", "title", best_text(F.col("clean_text"), F.col("summary_raw"), F.lit("")))
     tickers = F.when(F.size("tickers") > 0, F.array_distinct("tickers")).otherwise(F.array(F.lit(MACRO)))
-    return free.select("id", F.explode(tickers).alias("ticker"), F.array_distinct(tokenize(text)).alias("tokens")).filter("size(tokens) > 0")
+    sets = free.select("id", F.explode(tickers).alias("ticker"), token_set().alias("tokens")).withColumn("n", F.size("tokens"))
+    return staged(sets.filter("n > 0").select("ticker", "id", "tokens", "n"), "near-sets")
 
 
 def near_dup_edges(articles: DataFrame, members: DataFrame, as_of: datetime, hours: float = 48, lower: float = 0.5) -> DataFrame:
-    """(ticker, id_a, id_b, jaccard) of all pairs within a ticker at `lower` or more, id_a < id_b. Exact.
-
-    Two sets that reach the threshold share a token among the first n - ceil(lower * n) + 1 of each, in
-    any common order of tokens. With the ticker's rarest tokens first, few pairs meet there; they are
-    joined on (ticker, token), so that Spark can split a token that is still hot. Where two sets meet at
-    places p and q, they can share at most min(p, q) tokens up to there and min(n - p, m - q) after it:
-    pairs that can't reach the threshold go before anything is dealt out again, and the rest is verified
-    on the whole sets.
-    """
-    docs = staged(comparable(articles, members, as_of, hours).withColumn("n", F.size("tokens")), "near-sets")
-    words = docs.select("ticker", "id", "n", F.explode("tokens").alias("token"))
-    counts = words.groupBy("ticker", "token").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("ticker", "id").orderBy("df", "token"))
-    prefix = words.join(counts, ["ticker", "token"]).withColumn("place", rank).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * lower - 1e-9) + 1)
-    prefix = staged(prefix.select("ticker", "token", "id", "n", "place"), "near-prefix")
-    a = prefix.select("ticker", "token", F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("place").alias("p_a"))
-    b = prefix.select("ticker", "token", F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("place").alias("p_b"))
-    size = F.least("n_a", "n_b") >= lower * F.greatest("n_a", "n_b") - 1e-9
-    most = F.least("p_a", "p_b") + F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b"))
-    reach = most >= lower / (1 + lower) * (F.col("n_a") + F.col("n_b")) - 1e-9
-    pairs = a.join(b, ["ticker", "token"]).filter((F.col("id_a") < F.col("id_b")) & size & reach).select("ticker", "id_a", "id_b").distinct()
-    of = lambda side: docs.select("ticker", F.col("id").alias(f"id_{side}"), F.col("tokens").alias(f"t_{side}"))
-    both = pairs.join(of("a"), ["ticker", "id_a"]).join(of("b"), ["ticker", "id_b"]).withColumn("common", F.size(F.array_intersect("t_a", "t_b")))
-    jaccard = F.col("common") / (F.size("t_a") + F.size("t_b") - F.col("common"))
-    return both.select("ticker", "id_a", "id_b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= lower)
+    """(ticker, id_a, id_b, jaccard) of all pairs within a ticker at `lower` or more, id_a < id_b. Exact."""
+    return similar_pairs(comparable(articles, members, as_of, hours), lower)
 
 
 def banded_edges(articles: DataFrame, members: DataFrame, as_of: datetime, hours: float = 48, lower: float = 0.5, bands: int = 25, rows: int = 5) -> DataFrame:
-    """As near_dup_edges, from MinHash bands: cheaper on very large windows, and may miss pairs near the threshold.
+    """As near_dup_edges, from MinHash bands: a subset of those pairs, each verified; pairs near `lower` may be missed."""
+    return banded_pairs(comparable(articles, members, as_of, hours), lower, bands, rows)
 
-    Every pair that shares a band is verified exactly, so that its edges are a subset of near_dup_edges.
-    """
-    docs = staged(comparable(articles, members, as_of, hours), "near-sets")
-    least = lambda i: F.array_min(F.transform("tokens", lambda t: F.xxhash64(t, F.lit(i))))
-    keys = [F.struct(F.lit(b).alias("band"), F.xxhash64(*[least(b * rows + r) for r in range(rows)]).alias("key")) for b in range(bands)]
-    banded = staged(docs.select("ticker", "id", F.explode(F.array(*keys)).alias("k")).select("ticker", "id", "k.band", "k.key"), "near-bands")
-    a, b = (banded.withColumnRenamed("id", f"id_{s}") for s in "ab")
-    pairs = a.join(b, ["ticker", "band", "key"]).filter("id_a < id_b").select("ticker", "id_a", "id_b").distinct()
-    of = lambda side: docs.select("ticker", F.col("id").alias(f"id_{side}"), F.col("tokens").alias(f"t_{side}"))
-    both = pairs.join(of("a"), ["ticker", "id_a"]).join(of("b"), ["ticker", "id_b"]).withColumn("common", F.size(F.array_intersect("t_a", "t_b")))
-    jaccard = F.col("common") / (F.size("t_a") + F.size("t_b") - F.col("common"))
-    return both.select("ticker", "id_a", "id_b", jaccard.alias("jaccard")).filter(F.col("jaccard") >= lower)
+
+def band_recall(edges: DataFrame, banded: DataFrame) -> DataFrame:
+    """One row: pairs of `edges`, those that `banded` has too, pairs that only `banded` has, and the share found."""
+    met = edges.select("ticker", "id_a", "id_b", F.lit(1).alias("exact")).join(banded.select("ticker", "id_a", "id_b", F.lit(1).alias("banded")), ["ticker", "id_a", "id_b"], "full")
+    n = met.agg(F.count("exact").alias("pairs"), F.count_if(F.col("exact").isNotNull() & F.col("banded").isNotNull()).alias("found"), F.count_if(F.col("exact").isNull()).alias("wrong"))
+    return n.select("pairs", "found", "wrong", F.try_divide("found", "pairs").alias("recall"))
 
 
 def near_dup_clusters(edges: DataFrame, articles: DataFrame, upper: float = 0.8) -> tuple[DataFrame, DataFrame]:
@@ -122,33 +102,73 @@ def near_dup_clusters(edges: DataFrame, articles: DataFrame, upper: float = 0.8)
     links = named.join(roots.select(F.col("node").alias("a"), "root"), "a")
     review = links.groupBy("root").agg((F.min("jaccard") < upper).alias("check"))
     best = links.select(F.col("a").alias("node"), "jaccard").unionByName(links.select(F.col("b").alias("node"), "jaccard")).groupBy("node").agg(F.max("jaccard").alias("similarity"))
-    rows = placed.join(name, "root").join(review, "root").join(best, "node").join(articles.drop("similarity"), "id")
+    return _ticker_clusters(placed.join(name, "root").join(review, "root").join(best, "node"), articles)
+
+
+def _ticker_clusters(placed: DataFrame, articles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clusters and members of (cluster_id, ticker, id, similarity, check)."""
+    rows = placed.join(articles.drop("similarity"), "id")
     primary = F.max(F.when(F.col("ticker") != MACRO, F.col("ticker"))).alias("primary_ticker")
     clusters = rows.groupBy(F.col("cluster_id").alias("id")).agg(*cluster_stats()[:-1], primary)
     return clusters.select("id", *STATS), _members(rows, "minhash", F.col("similarity"), F.col("check"))
 
 
-def greedy_clusters(edges: DataFrame, articles: DataFrame) -> DataFrame:
-    """(ticker, cluster, id) as an order-faithful run forms them: edges by time and id; an edge joins a
-    new article to its partner's cluster, and never two clusters. One task for each ticker's edges."""
-    import pandas as pd
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (root, ticker, one, two, weak), a component's together and in order -> (ticker, first, id, other, weak).
 
-    when = articles.select("id", "published_at")
-    timed = edges.join(when.withColumnsRenamed({"id": "id_a", "published_at": "at_a"}), "id_a").join(when.withColumnsRenamed({"id": "id_b", "published_at": "at_b"}), "id_b")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cluster: dict[int, int] = {}
-        for r in pdf.sort_values(["at_a", "id_a", "at_b", "id_b"]).itertuples():
-            a, b = cluster.get(r.id_a), cluster.get(r.id_b)
-            if a is None and b is None:
-                cluster[r.id_a] = cluster[r.id_b] = min(r.id_a, r.id_b)
-            elif b is None:
-                cluster[r.id_b] = a
-            elif a is None:
-                cluster[r.id_a] = b
-        return pd.DataFrame({"ticker": pdf["ticker"].iloc[0], "cluster": list(cluster.values()), "id": list(cluster)})
-
-    return timed.groupBy("ticker").applyInPandas(run, "ticker string, cluster long, id long")
+    A pair opens a cluster, or brings a new article into its partner's; two clusters are never joined. Held are the
+    articles of one component.
+    """
+    root, ticker = None, None
+    place: dict[int, int] = {}
+    held: list[list[int]] = []
+    weak: list[bool] = []
+
+    def told() -> pa.RecordBatch:
+        rows = [(ticker, m[0], x, m[1] if x == m[0] else m[0], w) for m, w in zip(held, weak, strict=True) for x in m]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["ticker", "first", "id", "other", "weak"])
+
+    for batch in batches:
+        for r, t, a, b, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if r != root:
+                if held:
+                    yield told()
+                root, ticker, place, held, weak = r, t, {}, [], []
+            if a not in place and b not in place:
+                place[a] = place[b] = len(held)
+                held.append([a, b])
+                weak.append(w)
+            elif (a in place) != (b in place):
+                known, new = (a, b) if a in place else (b, a)
+                place[new] = place[known]
+                held[place[known]].append(new)
+                weak[place[known]] |= w
+    if held:
+        yield told()
+
+
+def greedy_clusters(edges: DataFrame, articles: DataFrame, upper: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Clusters as an order-faithful run forms them, and their members.
+
+    Pairs come by the time and id of their earlier article, then of the later one. What happens in one component
+    of a ticker's pairs doesn't touch another, so components run side by side, each streamed in order. A
+    member's similarity is that to the first other member; a pair below `upper` that brings an article in marks the
+    cluster for review.
+    """
+    ship(edges.sparkSession)
+    named = edges.withColumns({"a": key_id(F.col("ticker"), F.col("id_a")), "b": key_id(F.col("ticker"), F.col("id_b"))})
+    roots = staged(components(named.select("a", "b")), "greedy-roots")
+    when = articles.select("id", F.struct("published_at", "id").alias("at"))
+    timed = named.join(roots, F.col("a") == F.col("node")).join(when.toDF("id_a", "at_a"), "id_a").join(when.toDF("id_b", "at_b"), "id_b")
+    pairs = timed.select("root", "ticker", F.least("at_a", "at_b").alias("x"), F.greatest("at_a", "at_b").alias("y"), (F.col("jaccard") < upper).alias("weak"))
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = pairs.repartition(n, "root").sortWithinPartitions("root", "x", "y").select("root", "ticker", F.col("x.id").alias("one"), F.col("y.id").alias("two"), "weak")
+    placed = staged(ordered.mapInArrow(_streamed, "ticker string, first long, id long, other long, weak boolean"), "greedy")
+    sets = articles.select("id", token_set().alias("tokens"))
+    both = placed.join(sets.withColumnRenamed("tokens", "t"), "id").join(sets.toDF("other", "u"), "other")
+    common = F.size(F.array_intersect("t", "u"))
+    rows = both.select(key_id(F.lit("greedy"), F.col("ticker"), F.col("first")).alias("cluster_id"), "ticker", "id", (common / (F.size("t") + F.size("u") - common)).alias("similarity"), F.col("weak").alias("check"))
+    return _ticker_clusters(rows, articles)
 
 
 def solo_clusters(articles: DataFrame, members: DataFrame, as_of: datetime, hours: float = 48) -> tuple[DataFrame, DataFrame]:
@@ -159,12 +179,21 @@ def solo_clusters(articles: DataFrame, members: DataFrame, as_of: datetime, hour
     return clusters, _members(left, "solo", F.lit(1.0), F.lit(False))
 
 
-def dedup(articles: DataFrame, members: DataFrame, as_of: datetime, hours: float = 48, lower: float = 0.5, upper: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_dup(articles: DataFrame, members: DataFrame, as_of: datetime, hours: float = 48, lower: float = 0.5, upper: float = 0.8, mode: str = "exact") -> tuple[DataFrame, DataFrame]:
+    """Near-copy clusters. mode: `exact` (components of all similar pairs), `banded` (of those that bands find), `greedy` (order-faithful)."""
+    if mode not in ("exact", "banded", "greedy"):
+        raise ValueError(f"no such mode: {mode}")
+    found = banded_edges if mode == "banded" else near_dup_edges
+    edges = staged(found(articles, members, as_of, hours, lower), "near-edges")
+    return greedy_clusters(edges, articles, upper) if mode == "greedy" else near_dup_clusters(edges, articles, upper)
+
+
+def dedup(articles: DataFrame, members: DataFrame, as_of: datetime, hours: float = 48, lower: float = 0.5, upper: float = 0.8, mode: str = "exact") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Exact, near, then solo clusters of what is not in `members`; and counts of the run."""
     c1, m1 = exact_clusters(articles, members)
     m1 = staged(m1, "members")
     taken = members.select("article_id").unionByName(m1.select("article_id"))
-    c2, m2 = near_dup_clusters(staged(near_dup_edges(articles, taken, as_of, hours, lower), "near-edges"), articles, upper)
+    c2, m2 = near_dup(articles, taken, as_of, hours, lower, upper, mode)
     m2 = staged(m2, "members")
     taken = taken.unionByName(m2.select("article_id"))
     c3, m3 = solo_clusters(articles, taken, as_of, hours)

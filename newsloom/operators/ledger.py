@@ -4,45 +4,45 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.responses import strip_fence
 from newsloom.operators.health import PRICES, Budgets, moment
+from newsloom.operators.ordered import ranged, running_total
+from newsloom.session import staged
 
 
-def _spent_before(rows: DataFrame, keys: list[str], order: list[str], cost: Column, name: str) -> DataFrame:
-    """Adds the running sum of `cost` over a key's earlier rows."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(name, F.coalesce(F.sum(cost).over(before), F.lit(0.0)))
+def _admission(requests: DataFrame, calls: DataFrame | None, daily: float, monthly: float) -> DataFrame:
+    """Adds _by_day and _by_month, whether the spending before a request leaves room in each budget, and _day and _month.
 
-
-def budget_admission(requests: DataFrame, calls: DataFrame | None, daily: float, monthly: float) -> DataFrame:
-    """Adds `admitted` to requests (id, created_at, cost_usd): admitted while the spending before a
-    request is below both caps; a request of no cost (a cached one) always is.
-
-    Spending never falls along a day, so the daily decision needs only a day's running sum, of all its
-    requests; the monthly decision runs over those that the day admits, in two levels: sums of earlier
-    days, a row each, and the running sum inside a day. No window holds a month's rows. `calls` is what
-    the ledger holds already.
+    Spending never falls along a day, so the daily decision needs only the day's running sum, of all its
+    requests; the monthly decision takes the running sum of those that the day admits. Both sums run along
+    ranges of time (see `ordered`): a day that holds all requests is spread over all tasks.
     """
-    r = requests.withColumns({"_day": F.col("created_at").cast("date"), "_month": F.trunc(F.col("created_at").cast("date"), "MM")})
+    day = F.col("created_at").cast("date")
+    r = requests.withColumns({"_day": day, "_month": F.trunc(day, "MM")})
     zero = F.lit(0.0)
     if calls is None:
         r = r.withColumns({"_day0": zero, "_month0": zero})
     else:
-        day = calls.groupBy(F.col("created_at").cast("date").alias("_day")).agg(F.sum("cost_usd").alias("_day0"))
-        month = calls.groupBy(F.trunc(F.col("created_at").cast("date"), "MM").alias("_month")).agg(F.sum("cost_usd").alias("_month0"))
-        r = r.join(day, "_day", "left").join(month, "_month", "left").fillna(0.0, ["_day0", "_month0"])
-    order = ["created_at", "id"]
-    r = _spent_before(r, ["_month", "_day"], order, F.col("cost_usd"), "_d")
+        by_day = calls.groupBy(day.alias("_day")).agg(F.sum("cost_usd").alias("_day0"))
+        by_month = calls.groupBy(F.trunc(day, "MM").alias("_month")).agg(F.sum("cost_usd").alias("_month0"))
+        r = r.join(by_day, "_day", "left").join(by_month, "_month", "left").fillna(0.0, ["_day0", "_month0"])
+    order = [F.col("created_at"), F.col("id")]
+    r = running_total(ranged(r, order), order, F.col("cost_usd"), "_d", ["_month", "_day"])
     r = r.withColumn("_by_day", F.col("_day0") + F.col("_d") < daily)
-    cost = F.when(F.col("_by_day"), F.col("cost_usd")).otherwise(zero)
-    days = r.groupBy("_month", "_day").agg(F.sum(cost).alias("_of_day"))
-    days = _spent_before(days, ["_month"], ["_day"], F.col("_of_day"), "_m").select("_month", "_day", "_m")
-    r = _spent_before(r, ["_month", "_day"], order, cost, "_inner").join(days, ["_month", "_day"])
-    ok = F.col("_by_day") & (F.col("_month0") + F.col("_m") + F.col("_inner") < monthly)
-    return r.withColumn("admitted", (F.col("cost_usd") == 0) | ok).select(*requests.columns, "admitted")
+    r = running_total(r, order, F.when(F.col("_by_day"), F.col("cost_usd")).otherwise(zero), "_m", ["_month"])
+    return r.withColumn("_by_month", F.col("_month0") + F.col("_m") < monthly).select(*requests.columns, "_day", "_month", "_by_day", "_by_month")
+
+
+def budget_admission(requests: DataFrame, calls: DataFrame | None, daily: float, monthly: float) -> DataFrame:
+    """Adds `admitted` to requests (id, created_at, cost_usd): admitted while the spending before a
+    request is below both caps; a request of no cost (a cached one) always is. `calls` is what the ledger
+    holds already.
+    """
+    told = _admission(requests, calls, daily, monthly)
+    return told.select(*requests.columns, ((F.col("cost_usd") == 0) | (F.col("_by_day") & F.col("_by_month"))).alias("admitted"))
 
 
 def cached(requests: DataFrame, cache: DataFrame, as_of: datetime, ttl_days: int = 30) -> DataFrame:
@@ -58,32 +58,85 @@ def cost_of(tier: Column, n_in: Column, n_out: Column) -> Column:
     return n_in * prices[tier][0] + n_out * prices[tier][1]
 
 
-def request_ledger(requests: DataFrame, responses: DataFrame, cache: DataFrame, calls: DataFrame, budgets: Budgets, as_of: datetime, ttl_days: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What happens to requests (id, purpose, cache_key, model, prompt_version, created_at) given responses
-    (cache_key, response_text, input_tokens, output_tokens, latency_ms).
+def _payers(asked: DataFrame, calls: DataFrame, budgets: Budgets) -> DataFrame:
+    """(id, admitted) of the requests that pay, or would, of `asked` (id, cache_key, created_at, cost_usd, valid).
 
-    Returns the ledger's new rows (status cache_hit, budget_exceeded, rejected or ok), the accepted
-    responses (id, response_text), and the cache after it.
+    A key's first admitted request pays, and makes its later ones hits. Which one that is depends on the
+    spending before it, and so on other keys' payers. Start with each key's first request. A refused payer gives
+    way to its key's first request of a later day (or month): budgets that are spent stay spent, so the
+    others of that day would be refused too. No payer is ever placed later than it belongs: the spending
+    assumed is never more than the true one, so what it refuses is refused. So the payers only move on, and
+    where none moves they are right. Only a key's first request of a day counts, and each round reads
+    just these. Keys without a valid response are never cached: all of their requests ask.
     """
-    met = cached(requests, cache, as_of, ttl_days).join(responses, "cache_key", "left")
-    hit = F.col("cached_text").isNotNull()
-    met = met.withColumn("cost_usd", F.when(hit, 0.0).otherwise(F.coalesce(cost_of(F.col("model"), F.col("input_tokens"), F.col("output_tokens")), F.lit(0.0))))
-    asked = budget_admission(met, calls, budgets.daily, budgets.monthly)
+    first = asked.filter("valid").withColumn("day", F.col("created_at").cast("date")).groupBy("cache_key", "day").agg(F.min_by(F.struct("id", "created_at", "cost_usd"), F.struct("created_at", "id")).alias("r"))
+    left = staged(first.select("cache_key", "day", "r.*"), "payers")
+    always = asked.filter("not valid").select("id", F.lit(None).cast("string").alias("cache_key"), "created_at", "cost_usd")
+    while True:
+        payers = left.groupBy("cache_key").agg(F.min_by(F.struct("id", "created_at", "cost_usd"), "day").alias("r")).select("r.id", "cache_key", "r.created_at", "r.cost_usd")
+        told = staged(_admission(payers.unionByName(always), calls, budgets.daily, budgets.monthly), "admission")
+        refused = told.filter(F.col("cache_key").isNotNull() & ~(F.col("_by_day") & F.col("_by_month")))
+        if refused.isEmpty():
+            return told.select("id", (F.col("_by_day") & F.col("_by_month")).alias("admitted"))
+        past = refused.select("cache_key", F.when(F.col("_by_month"), F.col("_day")).otherwise(F.last_day("_day")).alias("upto"))
+        left = staged(left.join(past, "cache_key", "left").filter("upto is null or day > upto").drop("upto"), "payers")
+
+
+def attempts(responses: DataFrame) -> DataFrame:
+    """(cache_key, tries, valid, response_text, n_tries): what a call gets, from responses by `attempt` (1 where there is no such column).
+
+    An answer that isn't JSON is asked for once more, with its problem told; both are paid.
+    """
+    r = responses if "attempt" in responses.columns else responses.withColumn("attempt", F.lit(1))
     text = strip_fence(F.col("response_text"))
-    valid = F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False))
-    status = F.when(hit, "cache_hit").when(~F.col("admitted"), "budget_exceeded").when(valid, "ok").otherwise("rejected")
-    told = asked.withColumn("status", status)
-    paid = F.col("status").isin("ok", "rejected")
-    none = lambda c: F.when(paid, F.coalesce(F.col(c), F.lit(0))).otherwise(F.lit(0)).alias(c)
-    ledger = told.select("id", "purpose", "model", "prompt_version", none("input_tokens"), none("output_tokens"), F.when(paid, F.col("cost_usd")).otherwise(0.0).alias("cost_usd"), none("latency_ms"), "status", "created_at")
-    answers = told.filter(F.col("status").isin("ok", "cache_hit")).select("id", F.when(hit, F.col("cached_text")).otherwise(text).alias("response_text"))
+    r = r.filter("attempt <= 2").withColumns({"response_text": text, "valid": F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False))})
+    both = r.groupBy("cache_key").agg(F.sort_array(F.collect_list(F.struct("attempt", "valid", "response_text", "input_tokens", "output_tokens", "latency_ms"))).alias("tries"))  # two at most
+    needed = F.when(F.col("tries")[0]["valid"], F.slice("tries", 1, 1)).otherwise(F.col("tries"))
+    last = F.element_at("tries", -1)
+    return both.withColumn("tries", needed).select("cache_key", "tries", last["valid"].alias("valid"), last["response_text"].alias("response_text"))
+
+
+def request_ledger(requests: DataFrame, responses: DataFrame, cache: DataFrame, calls: DataFrame, budgets: Budgets, as_of: datetime, ttl_days: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What happens to requests (id, purpose, cache_key, model, prompt_version, created_at), in the order of
+    time and id, given responses (cache_key, response_text, input_tokens, output_tokens, latency_ms, and
+    perhaps attempt, see `attempts`).
+
+    A request finds what the cache holds, or what an earlier request of the batch has put there, and costs
+    nothing then; else it is checked against the budgets, made and paid. Returns the ledger's new rows
+    (status cache_hit, budget_exceeded, rejected or ok; a request made twice has two, `attempt` 1 and 2), the accepted
+    responses (id, response_text), and the cache after it. Requests without a response are rejected at no cost.
+    """
+    spent = F.aggregate("tries", F.lit(0.0), lambda total, t: total + cost_of(F.col("model"), t["input_tokens"], t["output_tokens"]))
+    met = cached(requests, cache, as_of, ttl_days).join(attempts(responses), "cache_key", "left")
+    met = staged(met.withColumns({"cost_usd": F.coalesce(spent, F.lit(0.0)), "valid": F.coalesce("valid", F.lit(False))}), "requests")
+    hit = F.col("cached_text").isNotNull()
+    payers = _payers(met.filter(~hit).select("id", "cache_key", "created_at", "cost_usd", "valid"), calls, budgets)
+    # A valid key's admitted payer comes with its place in time: what comes after it hits the cache.
+    paid = met.join(payers.filter("admitted"), "id")
+    when = paid.filter("valid").select("cache_key", F.struct("created_at", "id").alias("paid_at"))
+    told = met.join(paid.select("id", F.lit(True).alias("pays")), "id", "left").join(when, "cache_key", "left")
+    later = F.coalesce(F.struct("created_at", "id") > F.col("paid_at"), F.lit(False))
+    status = F.when(hit | later, "cache_hit").when(F.col("pays").isNull(), "budget_exceeded").when(F.col("valid"), "ok").otherwise("rejected")
+    told = staged(told.withColumn("status", status), "told")
+
+    none = F.array().cast("array<struct<attempt:int,valid:boolean,response_text:string,input_tokens:bigint,output_tokens:bigint,latency_ms:bigint>>")
+    tries = F.when(F.col("pays"), F.coalesce("tries", none)).otherwise(none)
+    rows = told.select("id", "purpose", "model", "prompt_version", "status", "created_at", F.explode_outer(tries).alias("t"))
+    zero = lambda c: F.coalesce(F.col("t")[c], F.lit(0)).cast("long").alias(c)
+    cost = F.when(F.col("t").isNull(), 0.0).otherwise(cost_of(F.col("model"), F.col("t.input_tokens"), F.col("t.output_tokens")))
+    of_try = F.when(F.col("t").isNull(), F.col("status")).when(F.col("t.valid"), "ok").otherwise("rejected")
+    ledger = rows.select("id", "purpose", "model", "prompt_version", zero("input_tokens"), zero("output_tokens"), F.coalesce(cost, F.lit(0.0)).alias("cost_usd"), zero("latency_ms"), of_try.alias("status"), "created_at", F.coalesce("t.attempt", F.lit(1)).cast("int").alias("attempt"))
+
+    answers = told.filter(F.col("status").isin("ok", "cache_hit")).select("id", F.coalesce("cached_text", "response_text").alias("response_text"))
     hits = told.filter("status = 'cache_hit'").groupBy("cache_key").agg(F.count("*").alias("more"))
-    new = told.filter("status = 'ok'").groupBy("cache_key").agg(*[F.min_by(c, F.struct("created_at", "id")).alias(c) for c in ("purpose", "model", "prompt_version", "input_tokens", "output_tokens")], F.min_by(text, F.struct("created_at", "id")).alias("response_text"))
-    old = cache.join(new.select("cache_key"), "cache_key", "left_anti").join(hits, "cache_key", "left")
-    old = old.withColumns({"hit_count": F.col("hit_count") + F.coalesce("more", F.lit(0)), "last_hit_at": F.when(F.col("more").isNotNull(), moment(as_of)).otherwise(F.col("last_hit_at"))}).drop("more")
-    kept = cache.select("cache_key", F.col("hit_count").alias("had"))
-    fresh = new.join(kept, "cache_key", "left").select(*new.columns, F.coalesce("had", F.lit(0)).cast("long").alias("hit_count"), moment(as_of).alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("last_hit_at"))
-    return ledger, answers, old.unionByName(fresh.select(cache.columns))
+    last = F.element_at("tries", -1)
+    new = told.filter("status = 'ok'").select("cache_key", "purpose", "model", "prompt_version", "response_text", last["input_tokens"].alias("input_tokens"), last["output_tokens"].alias("output_tokens"))
+    at = moment(as_of)
+    had = cache.select("cache_key", F.col("hit_count").alias("had"))
+    fresh = new.join(had, "cache_key", "left").withColumns({"hit_count": F.coalesce("had", F.lit(0)).cast("long"), "created_at": at, "last_hit_at": F.lit(None).cast("timestamp_ntz")})
+    after = cache.join(new.select("cache_key"), "cache_key", "left_anti").unionByName(fresh.select(cache.columns)).join(hits, "cache_key", "left")
+    after = after.withColumns({"hit_count": F.col("hit_count") + F.coalesce("more", F.lit(0)), "last_hit_at": F.when(F.col("more").isNotNull(), at).otherwise(F.col("last_hit_at"))})
+    return ledger, answers, after.select(cache.columns)
 
 
 def outcome_counts(ledger: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from newsloom.functions.urls import canonical_url, canonical_url_sql
 from newsloom.operators import clusters as C
 from newsloom.operators import evaluate, feed, health, ledger, stories, verify
 from newsloom.operators.corroborate import candidates, check_requests, corroborate
+from newsloom.operators.health import moment
 from newsloom.plans import adapters as A
 from newsloom.plans.adapters import ARTICLES_AS_OF, CALLS_AS_OF, ORDERS_AS_OF, with_views
 from newsloom.session import ship, table
@@ -76,18 +77,77 @@ def near_dup_edges(spark: SparkSession, d: str) -> DataFrame:
     return C.near_dup_edges(A.articles(spark, d), A.no_members(spark), ARTICLES_AS_OF)
 
 
-@query()
+_EDGES_SQL = f""", near as (
+  select id, published_at, publisher, case when len(tickers) = 0 then '__macro__' else tickers[1] end as ticker,
+    list_distinct(regexp_extract_all(lower(title || ' ' || summary_raw), '[a-z0-9]+')) as tokens
+  from articles where status = 'active' and published_at >= {ARTICLES_TS} - to_hours(48) and {{free}}),
+sized as (select *, len(tokens) as n from near where len(tokens) > 0),
+met as (select a.ticker, a.id as id_a, b.id as id_b, len(list_intersect(a.tokens, b.tokens)) as common, a.n + b.n as total
+  from sized a join sized b on a.ticker = b.ticker and a.id < b.id and 2 * least(a.n, b.n) >= greatest(a.n, b.n)),
+edges as (select ticker, id_a, id_b, common / (total - common)::double as jaccard from met where common / (total - common)::double >= 0.5),
+both_ as (select ticker, id_a as x, id_b as y, jaccard from edges union all select ticker, id_b, id_a, jaccard from edges),
+reach as (select distinct ticker, x, x as y from both_ union select r.ticker, r.x, b.y from reach r join both_ b on b.ticker = r.ticker and b.x = r.y),
+roots as (select ticker, x as id, min(y) as root from reach group by ticker, x),
+near_members as (select {key_id_sql("'minhash'", 'r.ticker', 'r.root')} as cluster_id, r.id as article_id, 'minhash' as match_method, max(b.jaccard) as similarity,
+    (select min(e.jaccard) from edges e join roots q on q.ticker = e.ticker and q.id = e.id_a where q.ticker = r.ticker and q.root = r.root) < 0.8 as needs_llm_check, r.ticker
+  from roots r join both_ b on b.ticker = r.ticker and b.x = r.id group by r.ticker, r.root, r.id)"""
+_NEAR_SQL = _EDGES_SQL.format(free="true")
+_EXACT_SQL = f"""exact_members as (select {key_id_sql("'exact'", 'content_hash')} as cluster_id, id as article_id, 'exact_hash' as match_method, 1.0::double as similarity, false as needs_llm_check
+  from articles where status = 'active' qualify count(*) over (partition by content_hash) >= 2)"""
+_DEDUP_SQL = f""", {_EXACT_SQL}{_EDGES_SQL.format(free='id not in (select article_id from exact_members)')},
+solo as (select {key_id_sql("'solo'", 'id')} as cluster_id, id as article_id, 'solo' as match_method, 1.0::double as similarity, false as needs_llm_check
+  from articles where status = 'active' and published_at >= {ARTICLES_TS} - to_hours(48) and id not in (select article_id from exact_members) and id not in (select article_id from near_members)),
+found as (select * from exact_members union all select * exclude (ticker) from near_members union all select * from solo)"""
+
+
+@query(with_views("articles", _NEAR_SQL + """
+select cluster_id as id, min(published_at) as first_seen_at, max(published_at) as last_seen_at, count(*) as article_count, count(distinct publisher) as publisher_count, nullif(ticker, '__macro__') as primary_ticker
+from near_members join articles on id = article_id group by cluster_id, ticker""").replace("with ", "with recursive ", 1))
 def near_dup_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return C.near_dup(A.articles(spark, d), A.no_members(spark), ARTICLES_AS_OF)[0]
+
+
+@query(with_views("articles", _EDGES_SQL.format(free="true").split("both_ as")[0].rstrip().rstrip(",") + """
+select count(*) as pairs, true as enough, 0 as wrong from edges"""))
+def band_recall(spark: SparkSession, d: str) -> DataFrame:
+    """MinHash bands against all pairs: recall of at least nine tenths, and no pair but verified ones."""
+    a, none = A.articles(spark, d), A.no_members(spark)
+    r = C.band_recall(C.near_dup_edges(a, none, ARTICLES_AS_OF), C.banded_edges(a, none, ARTICLES_AS_OF))
+    return r.select("pairs", (F.col("recall") >= 0.9).alias("enough"), "wrong")
+
+
+@query(with_views("articles", _EDGES_SQL.format(free="true") + """,
+timed as (select e.ticker, jaccard, least((a.published_at, a.id), (b.published_at, b.id)) as x, greatest((a.published_at, a.id), (b.published_at, b.id)) as y
+  from edges e join articles a on a.id = id_a join articles b on b.id = id_b),
+turns as (select *, row_number() over (partition by ticker order by x, y) as turn from timed),
+walk as (
+  select ticker, 0::bigint as turn, map([]::bigint[], []::bigint[]) as place from (select distinct ticker from turns)
+  union all
+  select w.ticker, t.turn, case
+    when place[t.x[2]] is null and place[t.y[2]] is null then map_concat(place, map([t.x[2], t.y[2]], [t.x[2], t.x[2]]))
+    when place[t.y[2]] is null then map_concat(place, map([t.y[2]], [place[t.x[2]]]))
+    when place[t.x[2]] is null then map_concat(place, map([t.x[2]], [place[t.y[2]]]))
+    else place end
+  from walk w join turns t on t.ticker = w.ticker and t.turn = w.turn + 1),
+last_ as (select ticker, arg_max(place, turn) as place from walk group by ticker)
+select ticker, unnest(map_keys(place)) as article_id, unnest(map_values(place)) as first from last_""").replace("with ", "with recursive ", 1))
+def greedy_members(spark: SparkSession, d: str) -> DataFrame:
+    """Each article with the ticker and the first article of its cluster, as a run in time order forms them."""
     a = A.articles(spark, d)
-    return C.near_dup_clusters(C.near_dup_edges(a, A.no_members(spark), ARTICLES_AS_OF), a)[0]
+    c, m = C.near_dup(a, A.no_members(spark), ARTICLES_AS_OF, mode="greedy")
+    of = m.join(c.select(F.col("id").alias("cluster_id"), F.coalesce("primary_ticker", F.lit(C.MACRO)).alias("ticker")), "cluster_id").join(a.select(F.col("id").alias("article_id"), "published_at"), "article_id")
+    first = of.groupBy("cluster_id").agg(F.min_by("article_id", F.struct("published_at", "article_id")).alias("first"))
+    return of.join(first, "cluster_id").select("ticker", "article_id", "first")
 
 
-@query()
+@query(with_views("articles", _DEDUP_SQL + " select * from found").replace("with ", "with recursive ", 1))
 def dedup_members(spark: SparkSession, d: str) -> DataFrame:
     return C.dedup(A.articles(spark, d), A.no_members(spark), ARTICLES_AS_OF)[1]
 
 
-@query()
+@query(with_views("articles", _DEDUP_SQL + """
+select (select count(*) from articles where status = 'active') as processed, (select count(*) from articles where status = 'quarantined') as quarantined,
+  count(distinct cluster_id) filter (match_method = 'exact_hash') as exact_clusters, count(distinct cluster_id) filter (match_method = 'minhash') as near_clusters, count(distinct cluster_id) filter (match_method = 'solo') as solo_clusters from found""").replace("with ", "with recursive ", 1))
 def dedup_stats(spark: SparkSession, d: str) -> DataFrame:
     return C.dedup(A.articles(spark, d), A.no_members(spark), ARTICLES_AS_OF)[2]
 
@@ -763,6 +823,64 @@ def response_cache(spark: SparkSession, d: str) -> DataFrame:
     return ledger.request_ledger(requests, responses, cache, none, health.Budgets(1e9, 1e9), CALLS_AS_OF)[2].select("cache_key", "hit_count", "response_text")
 
 
+def _repeated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A thousand keys asked for again and again; some need a second attempt, some fail in both; every twelfth key is cached."""
+    k, i = F.col("event_id") % 1000, F.col("event_id")
+    key = F.sha2(k.cast("string"), 256)
+    e = table(spark, d, "events")
+    requests = e.select(i.alias("id"), F.col("event_type").alias("purpose"), key.alias("cache_key"), F.when(k % 2 == 0, "small").otherwise("large").alias("model"), F.lit("v1").alias("prompt_version"), F.col("ts").alias("created_at"))
+    keys = e.select(k.alias("k")).distinct().withColumn("cache_key", F.sha2(F.col("k").cast("string"), 256))
+    tried = keys.select("*", F.explode(F.when(F.col("k") % 7 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("attempt"))
+    good = F.concat(F.lit('{"n":'), F.col("k").cast("string"), F.lit("}"))
+    text = F.when((F.col("k") % 7 == 0) & ((F.col("attempt") == 1) | (F.col("k") % 21 == 0)), "no json").otherwise(good)
+    responses = tried.select("cache_key", "attempt", text.alias("response_text"), (100 + F.col("k") % 50).alias("input_tokens"), (10 + F.col("k") % 20).alias("output_tokens"), F.lit(5).cast("long").alias("latency_ms"))
+    one = F.lit(1).cast("long")
+    cache = keys.filter("k % 12 = 5").select("cache_key", F.lit("p").alias("purpose"), F.lit("small").alias("model"), F.lit("v1").alias("prompt_version"), F.lit("{}").alias("response_text"), one.alias("input_tokens"), one.alias("output_tokens"), F.lit(0).cast("long").alias("hit_count"), moment(CALLS_AS_OF).alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("last_hit_at"))
+    return requests, responses, cache
+
+
+#: Day by day: the first request on a day of each key not paid yet, and all of those that never get a valid answer.
+_REPEATED_SQL = """
+with recursive r as (
+  select event_id as id, ts as asked_at, ts::date as day, event_id % 1000 as k, event_id % 1000 % 12 = 5 as hit, event_id % 1000 % 21 <> 0 as valid,
+    case when event_id % 1000 % 7 = 0 then 2 else 1 end as tries,
+    (100 + event_id % 1000 % 50) * case when event_id % 2 = 0 then 1e-6 else 3e-6 end + (10 + event_id % 1000 % 20) * case when event_id % 2 = 0 then 5e-6 else 15e-6 end as cost from events),
+days as (select day, row_number() over (order by day) as dn from (select distinct day from r)),
+c as (select id, asked_at, k, valid, tries * cost as cost, dn, date_trunc('month', day) as month from r join days using (day) where not hit
+  qualify not valid or row_number() over (partition by k, day order by asked_at, id) = 1),
+step as (
+  select 0::bigint as dn, null::date as month, 0.0::double as spent, []::bigint[] as paid, []::bigint[] as ids
+  union all
+  select dn, any_value(month), any_value(m0) + coalesce(sum(cost) filter (ok), 0), list_concat(any_value(paid), coalesce(list(k) filter (ok and valid), [])), coalesce(list(id) filter (ok), [])
+  from (select *, d0 < {daily} and m0 + d0 < {monthly} as ok from (
+    select s.dn + 1 as dn, s.paid, date_trunc('month', d.day)::date as month, c.id, c.k, c.valid, c.cost, case when s.month = date_trunc('month', d.day) then s.spent else 0 end as m0,
+      coalesce(sum(c.cost) over (order by c.asked_at, c.id rows between unbounded preceding and 1 preceding), 0) as d0
+    from step s join days d on d.dn = s.dn + 1 left join c on c.dn = d.dn and not list_contains(s.paid, c.k))) group by dn),
+pays as (select unnest(ids) as id from step),
+first_ as (select k, min((asked_at, r.id)) as paid_at from r join pays using (id) where valid and not hit group by k),
+told as (select r.*, case when hit or ((asked_at, r.id) > paid_at) is true then 'cache_hit' when pays.id is null then 'budget_exceeded' when valid then 'ok' else 'rejected' end as status
+  from r left join pays using (id) left join first_ using (k))
+"""
+
+
+@query(_REPEATED_SQL.format(daily=0.05, monthly=0.4) + """
+select id, attempt, case when status in ('ok', 'rejected') then case when attempt = tries and valid then 'ok' else 'rejected' end else status end as status, case when status in ('ok', 'rejected') then round(cost, 9) else 0 end as cost_usd
+from (select *, unnest(range(1, case when status in ('ok', 'rejected') then tries else 1 end + 1)) as attempt from told)""")
+def repeated_requests(spark: SparkSession, d: str) -> DataFrame:
+    requests, responses, cache = _repeated(spark, d)
+    out = ledger.request_ledger(requests, responses, cache, A.llm_calls(spark, d).limit(0), health.Budgets(0.05, 0.4), CALLS_AS_OF)[0]
+    return out.select("id", "attempt", "status", F.round("cost_usd", 9).alias("cost_usd"))
+
+
+@query(_REPEATED_SQL.format(daily=0.05, monthly=0.4) + """
+select sha256(k::varchar) as cache_key, count(*) filter (status = 'cache_hit') as hit_count, case when k % 12 = 5 then '{}' else '{"n":' || k || '}' end as response_text
+from told group by k having k % 12 = 5 or count(*) filter (status = 'ok') > 0""")
+def repeated_response_cache(spark: SparkSession, d: str) -> DataFrame:
+    requests, responses, cache = _repeated(spark, d)
+    after = ledger.request_ledger(requests, responses, cache, A.llm_calls(spark, d).limit(0), health.Budgets(0.05, 0.4), CALLS_AS_OF)[2]
+    return after.select("cache_key", "hit_count", "response_text")
+
+
 @query(with_views("clusters stories", f"""
 select count(*) filter (s.id is null) as new_clusters, count(*) filter (s.created_at < c.last_seen_at) as changed_clusters, count(*) filter (s.id is null or s.created_at < c.last_seen_at) as total_clusters,
   round(count(*) filter (s.id is null or s.created_at < c.last_seen_at) * {health.COST_PER_CLUSTER!r}::double, 4) as estimated_cost_usd, count(*) filter (s.id is null or s.created_at < c.last_seen_at) > 5 as show_warning
