@@ -84,9 +84,12 @@ def _shard(degree: int, ef: int):
 
 def shards(nodes: DataFrame, shard_rows: int, degree: int, ef: int) -> DataFrame:
     """The index of nodes (k1, k2, id, dim, v): a row for each shard."""
-    sizes = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("shards"))
+    sizes = staged(nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("long").alias("shards")), "shard-counts")
+    total = sizes.agg(F.sum("shards")).first()[0] or 0
     dealt = nodes.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("k2", F.lit(5)), "shards")).drop("shards")
-    return dealt.groupBy("dim", "shard").applyInArrow(_shard(degree, ef), SHARD)
+    # A number of tasks that Spark won't lower for small rows: a shard's work is in its graph, not in its bytes.
+    n = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * total)
+    return dealt.repartition(n, "dim", "shard").groupBy("dim", "shard").applyInArrow(_shard(degree, ef), SHARD)
 
 
 def _open(row: dict, degree: int) -> tuple[hnsw.Graph, np.ndarray, np.ndarray]:
