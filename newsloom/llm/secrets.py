@@ -1,21 +1,30 @@
 """Secret scans: assignment-aware lexing of text into name-literal pairs.
 
 Base patterns (fixed) find assignments to five well-known names, access keys and long hex runs. The
-lexer adds what they miss: it reads `name = literal`, `name: literal`, `"name": "literal"`,
-`name := literal`, `name => literal` and `name=literal` in source and configuration lines, splits names
-into parts (snake, kebab, dotted, camel case), and scores each literal by how sensitive its target name
-is, with a bonus for literals that look random. Constants are propagated within a document: an
-assignment of a plain name (`db_pass = K1`), a `$K1` / `${K1}` reference or a concatenation of quoted
-pieces takes the value of the names it refers to, assigned before or after, through any number of other
-names, and a sensitive target marks the literal where it was written. Blocks and scopes aren't told apart:
-a name is one name in the whole document.
+lexer adds what they miss. It reads a text once, from left to right, with a stack of the containers that are open:
+
+- Targets: `name =`, `name:`, `"name":`, `name :=`, `name =>`, `name: type =`, `<name>...</name>`; in comments too,
+  where secrets leak as well.
+- Values: quoted strings (with a prefix letter, if any) and concatenations of them and of names; strings in
+  three quotes and heredocs over many lines; YAML block scalars; lists of strings; bare words.
+- Containers: braces, brackets and parentheses; keys whose deeper lines follow (YAML); `[sections]` (INI, TOML). A name is known
+  with its innermost containers' names: under `credentials:`, `value: x` is a credential's value.
+
+Names are split into parts (snake, kebab, dotted, camel case), and literals scored by how sensitive
+their target's name is, with a bonus for literals that look random. Constants are propagated: an assignment of
+a plain name (`db_pass = K1`), a `$K1` / `${K1}` reference or a concatenation takes the values of the names it
+refers to, assigned before or after, through any number of other names. A name means its latest
+assignment before, else the first after, in the same container, or in up to OUTER enclosing ones, or anywhere.
+How random a value looks is that of the best looking assignment it reaches; walks from the sensitive
+targets over the graph of assignments mark each literal where it was written, and visit each assignment
+once. Time and memory are in proportion to the text, however its names refer to each other.
 
 Offsets count code points, ends exclusive. A span is the whole match for the base kinds, and the bytes
 of the literal itself for the kind `named`, which is added unless a base span overlaps it.
 
 Defined cases: a null or empty text has no spans; rows are scanned one by one, so repeated rows, null
-ids and ties are all kept; an empty table gives an empty result; extra columns are ignored; texts of
-any length are scanned whole, in one pass, in memory proportional to the block.
+ids and ties are all kept; an empty table gives an empty result; extra columns are ignored; a text of
+any length is scanned whole, as a block of its own.
 """
 
 from __future__ import annotations
@@ -26,6 +35,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -54,16 +64,29 @@ SENSITIVE = {
 #: Name parts that say the value is a description, a size or a place, not the secret.
 HARMLESS = {"name", "type", "length", "size", "count", "field", "label", "url", "path", "file", "prefix", "policy", "expiry", "ttl", "id", "hint", "public"}
 
+#: Names of a key that only holds what its container's name says.
+NEUTRAL = {"value", "val", "values", "data", "default", "content", "literal", "current", "raw", "plain", "plaintext", "string", "text"}
+
 _LITERAL = rb"""(?:"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)"""
 _PART = rb"""[A-Za-z_][A-Za-z0-9_.\-]*+"""
 #: A name is read from its first character, once, whatever its length.
 _NAME = rb"""(?<![A-Za-z0-9_.\-])""" + _PART
-#: A target, an operator, and either quoted pieces and names joined by + or ., or one bare word.
-PAIR = re.compile(
-    rb"""(?P<name>""" + _NAME + rb""")["'\]]{0,2}[ \t]*(?::=|=>|[:=])[ \t]*(?:(?P<quoted>(?:""" + _LITERAL + rb"""|""" + _PART + rb"""(?=[ \t]+\+[ \t]))(?:[ \t]*[+.][ \t]*(?:""" + _LITERAL + rb"""|""" + _PART + rb"""))*)|(?P<bare>[^\s"'`;,#{}()\[\]]+))"""
+_TYPE = rb"""[A-Za-z_&][A-Za-z0-9_.<>\[\]|& ]{0,60}"""
+TOKEN = re.compile(
+    rb"""(?P<line>\n[ \t]*(?:-[ \t]+)*)|(?P<section>(?:^|(?<=\n))\[[^\]\n]{1,200}\](?=[ \t\r]*(?:\n|$)))|(?P<open>[{\[(])|(?P<close>[}\])])|<(?P<tag>"""
+    + _PART + rb""")>(?P<inner>[^<>\n]{1,4000})</|(?P<name>""" + _NAME + rb""")["'\]]{0,2}[ \t]*(?::[ \t]*""" + _TYPE + rb"""=(?![=>])|:=|=>|[:=](?![=:]))[ \t]*"""
+)
+_VALUE = re.compile(
+    rb"""[fFrRbBuU@$]{0,2}(?P<quoted>(?:""" + _LITERAL + rb"""|""" + _PART + rb"""(?=[ \t]+\+[ \t]))(?:[ \t]*[+.][ \t]*(?:""" + _LITERAL + rb"""|""" + _PART + rb"""))*)|(?P<bare>[^\s"'`;,#{}()\[\]][^\s"'`;,{}()\[\]]*)"""
 )
+_TRIPLE = re.compile(rb"""[fFrRbBuU]{0,2}(?:\"\"\"(?P<a>(?:[^"\\]|\\.|"(?!""))*+)\"\"\"|\'\'\'(?P<b>(?:[^'\\]|\\.|'(?!''))*+)\'\'\')""", re.DOTALL)
+_LIST = re.compile(rb"""\[\s*""" + _LITERAL + rb"""(?:\s*,\s*""" + _LITERAL + rb""")*+\s*,?\s*\]""")
+_HEREDOC = re.compile(rb"""<<[-~]?["']?([A-Za-z_]\w*)["']?[^\n]*\n""")
+_SCALAR = re.compile(rb"""[|>][-+0-9]{0,3}[ \t]*\n""")
 _PIECE = re.compile(_LITERAL + rb"|" + _PART)
 _REFERENCE = re.compile(rb"\$?\{?(" + _PART + rb")\}?$")
+#: Enclosing containers in which a name is looked up, and whose names count.
+OUTER = 8
 _SPLIT = re.compile(r"[_.\-]+|(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
 HEX = np.zeros(256, bool)
@@ -97,75 +120,196 @@ def _unquoted(at: int, piece: bytes) -> tuple[int, int, bytes]:
 Literal = tuple[int, int, bytes]
 
 
-def lexed(text: bytes) -> list[tuple[bytes, list[Literal], list[bytes], bool]]:
-    """Each target name with what it is assigned, in text order: literals, names that may be constants, and whether a constant replaces the literals."""
-    out: list[tuple[bytes, list[Literal], list[bytes], bool]] = []
-    for m in PAIR.finditer(text):
-        literals: list[Literal] = []
-        names: list[bytes] = []
-        if m["quoted"] is not None:
-            for p in _PIECE.finditer(text, *m.span("quoted")):
-                if p[0][:1] in b"\"'`":
-                    literals.append(_unquoted(p.start(), p[0]))
-                else:
-                    names.append(p[0])
+@dataclass
+class Pair:
+    """An assignment: its target's name and containers' names, what it is assigned, and whether a constant replaces its literals."""
+
+    name: bytes
+    within: tuple[bytes, ...]
+    scopes: tuple[int, ...]
+    literals: list[Literal]
+    names: list[bytes]
+    replaced: bool = False
+
+
+class _Lines:
+    """Lines by their first word, to find where a heredoc ends; made once for a text that holds one."""
+
+    def __init__(self, text: bytes):
+        self.at: dict[bytes, list[int]] = {}
+        for m in re.finditer(rb"^[ \t]*([A-Za-z_]\w*)[ \t\r]*$", text, re.MULTILINE):
+            self.at.setdefault(m[1], []).append(m.start())
+
+    def end(self, tag: bytes, at: int) -> int | None:
+        places = self.at.get(tag, [])
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else None
+
+
+def _deeper(text: bytes, at: int, indent: int) -> int:
+    """The end of the lines from `at` on that are blank or indented by more than `indent`."""
+    end = at
+    while at < len(text):
+        stop = text.find(b"\n", at)
+        stop = len(text) if stop < 0 else stop
+        line = text[at:stop]
+        bare = line.lstrip(b" \t")
+        if bare.strip() and len(line) - len(bare) <= indent:
+            break
+        at = min(stop + 1, len(text))
+        end = stop
+    return end
+
+
+def lexed(text: bytes) -> list[Pair]:
+    """The assignments of a text, in its order."""
+    out: list[Pair] = []
+    lines: _Lines | None = None
+    # An open container: whether a bracket closes it, its lines' indent, its name, its number.
+    stack: list[tuple[bool, int, bytes, int]] = [(True, -1, b"", 0)]
+    opened, indent, pos = 0, 0, 0
+
+    def push(by_bracket: bool, name: bytes) -> None:
+        nonlocal opened
+        opened += 1
+        stack.append((by_bracket, indent, name, opened))
+
+    def add(name: bytes, literals: list[Literal], names: list[bytes], replaced: bool = False) -> None:
+        near = stack[-OUTER:]
+        out.append(Pair(name, tuple(x[2] for x in near if x[2]), tuple(x[3] for x in near), literals, names, replaced))
+
+    while m := TOKEN.search(text, pos):
+        pos, kind = m.end(), m.lastgroup
+        if kind == "line":
+            indent = m.end() - m.start() - 1
+            while not stack[-1][0] and indent <= stack[-1][1]:
+                stack.pop()
+        elif kind == "section":
+            del stack[1:]
+            push(False, m["section"][1:-1].strip(b" []\"'"))
+            stack[-1] = (False, -1, *stack[-1][2:])
+        elif kind == "open":
+            push(True, b"")
+        elif kind == "close":
+            while len(stack) > 1 and not stack[-1][0]:
+                stack.pop()
+            if len(stack) > 1:
+                stack.pop()
+        elif kind == "inner":
+            s, e = m.span("inner")
+            add(m["tag"], [(s, e, m["inner"])], [])
         else:
-            s, e = m.span("bare")
-            value = m["bare"].rstrip(b".")
-            ref = _REFERENCE.match(m["bare"])
-            if ref:
-                names.append(ref[1])
-            if value:
-                literals.append((s, s + len(value), value))
-        out.append((m["name"], literals, names, m["quoted"] is None))
+            name, next_ = m["name"], text[pos : pos + 1]
+            if next_ in (b"", b"\n", b"\r"):
+                push(False, name)
+            elif (v := _TRIPLE.match(text, pos)) is not None:
+                s, e = v.span("a") if v["a"] is not None else v.span("b")
+                add(name, [(s, e, text[s:e])], [])
+                pos = v.end()
+            elif (v := _LIST.match(text, pos)) is not None:
+                add(name, [_unquoted(p.start(), p[0]) for p in _PIECE.finditer(text, *v.span())], [])
+                pos = v.end()
+            elif next_ in b"{[(":
+                push(True, name)
+                pos += 1
+            elif (v := _SCALAR.match(text, pos)) is not None:
+                e = _deeper(text, v.end(), indent)
+                s = min(e, v.end() + len(text[v.end() : e]) - len(text[v.end() : e].lstrip()))
+                add(name, [(s, e, b"\n".join(x.strip() for x in text[s:e].split(b"\n")))], [])
+                pos = max(e, v.end() - 1)
+            elif (v := _HEREDOC.match(text, pos)) is not None and (e := (lines := lines or _Lines(text)).end(v[1], v.end())) is not None:
+                s, e = v.end(), max(v.end(), e - 1)
+                add(name, [(s, e, text[s:e])], [])
+                pos = e
+            elif (v := _VALUE.match(text, pos)) is not None:
+                literals, names = [], []
+                if v["quoted"] is not None:
+                    for p in _PIECE.finditer(text, *v.span("quoted")):
+                        if p[0][:1] in b"\"'`":
+                            literals.append(_unquoted(p.start(), p[0]))
+                        else:
+                            names.append(p[0])
+                else:
+                    s = v.start("bare")
+                    value = v["bare"].rstrip(b".")
+                    if ref := _REFERENCE.match(v["bare"]):
+                        names.append(ref[1])
+                    if value:
+                        literals.append((s, s + len(value), value))
+                add(name, literals, names, v["quoted"] is None)
+                pos = v.end()
     return out
 
 
-def propagated(pairs: list[tuple[bytes, list[Literal], list[bytes], bool]]) -> list[list[Literal]]:
-    """The literals that reach each assignment. A name stands for its latest earlier assignment, or else its first later one.
-
-    Passes run forwards and backwards until nothing changes; each assignment's literals are a set, so that
-    names that refer to each other end and doubled concatenations stay small.
-    """
-    places: dict[bytes, list[int]] = {}
-    for i, (name, *_) in enumerate(pairs):
-        places.setdefault(name, []).append(i)
+def sources(pairs: list[Pair]) -> list[list[int]]:
+    """For each assignment, those that its names stand for."""
+    places: dict[tuple[int, bytes], list[int]] = {}
+    for i, p in enumerate(pairs):
+        for scope in (p.scopes[-1], -1):  # its own container, and anywhere
+            places.setdefault((scope, p.name), []).append(i)
+        if p.within:
+            places.setdefault((-1, b".".join((p.within[-1], p.name))), []).append(i)
 
     def of(i: int, name: bytes) -> int | None:
-        at = places.get(name, [])
-        k = bisect_left(at, i)
-        later = at[k + 1 : k + 2] if k < len(at) and at[k] == i else at[k : k + 1]
-        return at[k - 1] if k else later[0] if later else None
-
-    reach: list[dict[Literal, None]] = []
-    sources: list[list[int]] = []
-    for i, (_, literals, names, replaced) in enumerate(pairs):
-        sources.append([k for k in (of(i, x) for x in names) if k is not None])
-        reach.append({} if replaced and sources[i] else dict.fromkeys(literals))
-    order = [i for i in range(len(pairs)) if sources[i]]
-    changed = True
-    while changed:
-        changed = False
-        for i in order:
-            before = len(reach[i])
-            for k in sources[i]:
-                reach[i].update(reach[k])
-            changed |= len(reach[i]) > before
-        order.reverse()
-    return [list(r) for r in reach]
+        for scope in (*reversed(pairs[i].scopes), -1):
+            at = places.get((scope, name))
+            if at is None:
+                continue
+            k = bisect_left(at, i)
+            if k:
+                return at[k - 1]
+            later = at[k + 1 : k + 2] if at[k] == i else at[k : k + 1]
+            if later:
+                return later[0]
+        return None
+
+    return [[k for k in (of(i, x) for x in p.names) if k is not None] for i, p in enumerate(pairs)]
+
+
+def pair_score(pair: Pair) -> float:
+    """The score of the target's name; one that says nothing takes its container's."""
+    name = pair.name.decode("ascii", "ignore")
+    if pair.within and name.lower() in NEUTRAL:
+        return name_score(pair.within[-1].decode("ascii", "ignore"))
+    return name_score(name)
 
 
 def named_spans(text: bytes, least: float = 0.75) -> list[tuple[int, int]]:
     """Byte spans of literals that reach a sensitive name, directly or by constants."""
     pairs = lexed(text)
-    found: set[tuple[int, int]] = set()
-    scores: dict[bytes, float] = {}
-    for (name, *_), literals in zip(pairs, propagated(pairs), strict=True):
-        if name not in scores:
-            scores[name] = name_score(name.decode("ascii", "ignore"))
-        if literals and scores[name] and scores[name] * 0.6 + 0.4 * literal_score(b"".join(x[2] for x in sorted(literals))) >= least:
-            found.update((s, e) for s, e, v in literals if v)
-    return sorted(found)
+    graph = sources(pairs)
+    own = [[] if p.replaced and graph[i] else [x for x in p.literals if x[2]] for i, p in enumerate(pairs)]
+    looks = [literal_score(b"".join(x[2] for x in found)) if found else -1.0 for found in own]
+    users: list[list[int]] = [[] for _ in pairs]
+    for i, to in enumerate(graph):
+        for k in to:
+            users[k].append(i)
+    # The best look first: whatever can reach it gets it, and is settled.
+    best = [-1.0] * len(pairs)
+    for i in sorted(range(len(pairs)), key=lambda i: -looks[i]):
+        if looks[i] < 0:
+            break
+        todo = [i]
+        while todo:
+            k = todo.pop()
+            if best[k] < 0:
+                best[k] = looks[i]
+                todo += users[k]
+    scores: dict[tuple[bytes, bytes], float] = {}
+    marked = [False] * len(pairs)
+    todo = []
+    for i, p in enumerate(pairs):
+        key = (p.name, p.within[-1] if p.within else b"")
+        if key not in scores:
+            scores[key] = pair_score(p)
+        if best[i] >= 0 and scores[key] and scores[key] * 0.6 + 0.4 * best[i] >= least:
+            todo.append(i)
+    while todo:
+        i = todo.pop()
+        if not marked[i]:
+            marked[i] = True
+            todo += graph[i]
+    return sorted({(s, e) for i, m in enumerate(marked) if m for s, e, _ in own[i]})
 
 
 def _hex_runs(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

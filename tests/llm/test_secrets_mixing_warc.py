@@ -1,6 +1,8 @@
 import datetime
 import random
 import re
+import time
+import tracemalloc
 
 from newsloom.llm import mixing, secrets, warc
 
@@ -140,3 +142,45 @@ def test_revisits(spark):
     merged = {r.record_id: r.headers for r in warc.resolve_revisits(df).collect()}
     assert merged[2] == {"etag": '"1"', "content-type": "text/html", "date": "d2"}
     assert warc.resolve_revisits(df.limit(0)).count() == 0
+
+
+def test_containers_and_blocks():
+    assert named("credentials:\n  value: q8Zr#71xPp\n  region: somewhere\nother: q8Zr#71xPq\n") == ["q8Zr#71xPp"]
+    assert named('{"db": {"client_secret": {"value": "q8Zr#71xPp", "note": "a-b.c9"}}, "x": ["y"]}') == ["q8Zr#71xPp"]
+    assert named("[credentials]\nvalue = q8Zr#71xPp\n[colours]\nvalue = q8Zr#71xPq\n") == ["q8Zr#71xPp"]
+    assert named("<config><dbPassphrase>q8Zr#71xPp</dbPassphrase><colour>q8Zr#71xPq</colour></config>") == ["q8Zr#71xPp"]
+    assert named('auth_credentials = ["q8Zr#71xPp", \'Zr#71xPpq8\']') == ["q8Zr#71xPp", "Zr#71xPpq8"]
+    assert named('let db_pwd: &str = "q8Zr#71xPp";\nconst k: string = "q8Zr#71xPq"') == ["q8Zr#71xPp"]
+    assert named("# old_passphrase = 'q8Zr#71xPp'\n/* pwd: 'Zr#71xPpq8' */") == ["q8Zr#71xPp", "Zr#71xPpq8"]
+
+
+def test_values_over_many_lines():
+    key = "MIIEow9x+Zr71\nq8Zr/71xPp=="
+    assert named(f'private_key = """{key}"""\n') == [key]
+    assert named(f"signingCredential = '''{key}''' # x\ncolour = 'red'") == [key]
+    assert named(f"export PRIVATE_KEY=<<EOF\n{key}\nEOF\nCOLOUR=red\n") == [key]
+    assert named("private_key: |\n  MIIEow9x+Zr71\n  q8Zr/71xPp==\ncolour: red\n") == ["MIIEow9x+Zr71\n  q8Zr/71xPp=="]
+    assert named('private_key = """never closed') == [] and named("pwd = <<EOF\nnever closed") == []
+
+
+def test_names_mean_what_is_near():
+    text = 'key = "colour-9x.Zr"\nfunction f() {\n  key = "q8Zr#71xPp"\n  my_passphrase = key\n}\nfunction g() {\n  key = "Zr#71xPpq8"\n  title = key\n}\n'
+    assert named(text) == ["q8Zr#71xPp"]
+    assert named("settings:\n  first: q8Zr#71xPp\nmy_passphrase = settings.first\n") == ["q8Zr#71xPp"]
+
+
+def test_long_and_tangled_texts_take_linear_time():
+    """Texts of about 1 MB that a name's copies, open quotes or deep containers could make quadratic."""
+    n = 40_000
+    chain = "k0 = 'q8Zr#71xPp'\n" + "".join(f"k{i + 1} = k{i} + 'x{i}'\n" for i in range(n)) + f"my_passphrase = k{n}\n"
+    began = time.process_time()
+    assert len(named(chain)) == n + 1
+    tangled = "".join(f"k{i % 50} = k{i * 7 % 50} + k{i * 11 % 50} + 'q8Zr{i}'\n" for i in range(n)) + "my_passphrase = k3\n"
+    assert named(tangled)
+    for text in ('{"a": ' * (n * 3), "a = '''b" * n, "".join(f"a = <<T{i}\n" for i in range(n)), "a:\n " * n, "[" * 10**6, "a" * 10**6, "pwd = '" * n, "x = \\" * n, "".join(" " * (i % 300) + "k:\n" for i in range(n // 8)), "a: |\n" * n):
+        named(text)
+    assert time.process_time() - began < 60
+    tracemalloc.start()
+    named(chain[:200_000])
+    assert tracemalloc.get_traced_memory()[1] < 80e6
+    tracemalloc.stop()
