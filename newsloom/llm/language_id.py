@@ -4,9 +4,9 @@ Features are hashed n-grams of two and three code points: letters in lower case,
 space, no n-gram across two spaces. A feature's value is its share of the text's n-grams times its
 inverse document frequency, which is counted over all documents learned from. Weights are trained with
 FTRL-proximal (per-coordinate rates; elastic net: an L1 penalty that keeps most weights at zero and an
-L2 penalty) on a bounded, hash-chosen sample of labelled rows, `sample` for each language, in SHARDS
-Spark tasks whose weights are averaged. A second hash-chosen sample, `calibration` rows for each
-language, sets one temperature by which scores are divided, so that they are calibrated probabilities.
+L2 penalty) on a bounded, hash-chosen sample of labelled rows, at most `sample` distinct texts of each language,
+dealt by number to SHARDS Spark tasks whose weights are averaged. A second sample, at most `calibration` other texts of
+each language, sets one temperature by which scores are divided, so that they are calibrated probabilities.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0, and so is every text if no
 row is labelled; a null lang is never learned from; a null doc_id isn't held out; ties go to the first
@@ -16,6 +16,7 @@ result; extra columns are ignored. Whole texts are read, in blocks.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.bytegrid import blocks, mix
-from newsloom.llm.rows import remainder
+from newsloom.llm.rows import distinct_sample, remainder
 from newsloom.session import ship
 
 BITS = 15
@@ -39,12 +40,15 @@ SCALE = 50.0
 
 @lru_cache(maxsize=1)
 def _folding() -> np.ndarray:
-    """Code points below 592 (Latin): letters in lower case, everything else a space."""
-    fold = np.full(592, 32, np.uint32)
-    for i in range(592):
-        if chr(i).isalpha():
-            low = chr(i).lower()
+    """All code points up to 0xFFFF: letters in lower case, everything else a space. Marks and joiners inside words stay."""
+    fold = np.full(1 << 16, 32, np.uint32)
+    for i in range(1 << 16):
+        c = chr(i)
+        if c.isalpha():
+            low = c.lower()
             fold[i] = ord(low) if len(low) == 1 else i
+        elif unicodedata.category(c)[0] == "M":
+            fold[i] = i
     return fold
 
 
@@ -54,7 +58,7 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(p) // 4 for p in points], np.int64)
     # Three spaces between texts: no n-gram crosses them.
     c = np.frombuffer(b"".join(x + b" \0\0\0" * 3 for x in points), np.uint32).copy()
-    low = c < 592
+    low = c < 1 << 16
     c[low] = _folding()[c[low]]
     end = np.cumsum(size + 3)
     space = c == 32
@@ -214,20 +218,18 @@ def fit(docs: DataFrame, sample: int = 2000, calibration: int = 500, epochs: int
     idf[feature[feature >= 0]] = df[feature >= 0]
     idf = np.log((1 + n) / (1 + idf)) + 1.0
 
-    # A row's place in [0, 1) by its text's hash decides which sample it is in.
-    place = (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)).alias("place")
-    share = lambda most: F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, most / counts[k]))])[F.col("lang")]
-    label = F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)])[F.col("lang")].cast("int").alias("label")
-    learn = 0.8 * F.least(F.lit(1.0), share(sample) / 0.8)
-    placed = rows.select("lang", "text", label, place, F.pmod(F.xxhash64("text", F.lit(7)), F.lit(SHARDS)).cast("int").alias("shard"))
-    taken = placed.filter(F.col("place") < learn).select("label", "shard", "text")
+    # Of each language's distinct texts, the first are learned from, and at least a fifth are left to calibrate on.
+    picked = distinct_sample(rows, sample + calibration, "lang")
+    label = F.create_map(*[F.lit(x) for i, k in enumerate(langs) for x in (k, i)])[F.col("by")].cast("int").alias("label")
+    upto = F.least(F.lit(sample), F.ceil(F.col("of") * 0.8))
+    taken = picked.filter(F.col("turn") <= upto).select(label, (F.col("turn") % SHARDS).cast("int").alias("shard"), "text")
     trained = taken.mapInArrow(_sparse, "label int, shard int, idx array<int>, tf array<float>").groupBy("shard").applyInPandas(_train(len(langs), idf, epochs), "shard int, rows long, weights binary").collect()
     rows_in = sum(r.rows for r in trained)
     if not rows_in:
         return None
     w = sum(np.frombuffer(r.weights, np.float32).reshape(-1, len(langs)).astype(float) * (r.rows / rows_in) for r in sorted(trained, key=lambda r: r.shard))
     model = Model(langs, np.ascontiguousarray((w[:-1] * idf[:, None] * SCALE).T.astype(np.float32)), w[-1])
-    check = placed.filter((F.col("place") >= learn) & (F.col("place") < learn + share(calibration))).select("label", "text")
+    check = picked.filter((F.col("turn") > upto) & (F.col("turn") <= upto + calibration)).select(label, "text")
     held = check.mapInArrow(_logits(model), "label int, scores array<double>").toArrow()
     if held.num_rows:
         model.temperature = fitted_temperature(np.array(held["scores"].to_pylist()), held["label"].to_numpy())

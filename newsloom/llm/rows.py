@@ -8,12 +8,12 @@ doc_id counts as larger than every other id, so that such rows never count as th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.llm.bytegrid import NO_ID
-from newsloom.session import ship
+from newsloom.session import ship, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -66,6 +66,27 @@ def shown_id(name: str = "doc_id") -> Column:
     return F.nullif(F.col(name), F.lit(NO_ID))
 
 
+def distinct_sample(rows: DataFrame, most: int, by: str | None = None) -> DataFrame:
+    """(by, text, turn, of), staged: at most `most` distinct texts of each value of `by` (few values), chosen by hash;
+    `turn` is the text's number among them, from 1, and `of` how many they are.
+
+    However often a text is repeated, it counts once: a hash threshold, from the number of distinct texts, passes about
+    a quarter more than asked for, tasks drop the copies they hold, and the rest is cut by number. With an estimate that
+    is too high fewer may come, never more.
+    """
+    key = F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit("")
+    named = rows.select(key.alias("by"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    counts = {r.by: r.n for r in named.groupBy("by").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    if not counts:
+        counts = {"": 1}
+    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.25 * most / max(n, 1)))])[F.col("by")]
+    place = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    few = named.filter(place <= share).groupBy("by", "h").agg(F.min("text").alias("text"))
+    group = Window.partitionBy("by")
+    cut = few.withColumn("turn", F.row_number().over(group.orderBy("h"))).filter(F.col("turn") <= most)
+    return staged(cut.withColumn("of", F.count("*").over(group)).select("by", "text", "turn", "of"), "sample")
+
+
 def remainder(modulus: int) -> Column:
     """crc32 of the id's digits, modulo `modulus`; null for a null id."""
     return F.crc32(F.col("doc_id").cast("string")) % modulus

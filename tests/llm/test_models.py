@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import language_id, lm_scoring
 from newsloom.llm.bytegrid import Grid
+from newsloom.llm.rows import distinct_sample
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = {k: k + 32 for k in range(65, 91)}
@@ -177,3 +178,16 @@ def test_copies_are_scored_apart(spark):
     twice = [got[i][0].bits_per_byte for i in range(20) if not got[100 + i][0].held_out]
     once = [got[i][0].bits_per_byte for i in range(20, 80)]
     assert len(twice) > 10 and max(twice) < min(once)
+
+
+def test_samples_of_repeated_texts_are_bounded(spark):
+    """A text repeated 100,000 times counts once, and the sample is dealt to all shards."""
+    copies = spark.range(100_000).selectExpr("id as doc_id", "'the same text again' as text", "'aa' as lang")
+    others = spark.range(6000).selectExpr("id + 200000 as doc_id", "concat('text number ', id) as text", "if(id % 3 = 0, 'aa', 'bb') as lang")
+    rows = copies.unionByName(others)
+    got = {r["by"]: (r.n, r.texts, r.shards) for r in distinct_sample(rows, 1000, "lang").groupBy("by").agg(F.count("*").alias("n"), F.count_distinct("text").alias("texts"), F.count_distinct(F.col("turn") % 4).alias("shards")).collect()}
+    assert set(got) == {"aa", "bb"} and all(900 <= n <= 1000 and texts == n and shards == 4 for n, texts, shards in got.values())
+    one = distinct_sample(rows, 2000).agg(F.count("*"), F.count_distinct("text"), F.max("turn"), F.max("of")).first()
+    assert 1800 <= one[0] <= 2000 and len(set(one)) == 1
+    assert distinct_sample(rows.limit(0), 10, "lang").count() == 0 and distinct_sample(copies, 10).count() == 1
+    assert distinct_sample(copies.selectExpr("cast(null as string) as text", "cast(null as string) as lang"), 10, "lang").count() == 1
