@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom import schemas
 from newsloom.functions import scan
 from newsloom.functions.filings import FORM_TITLES, ITEM_TITLES, filing_event_type, filing_title
 from newsloom.functions.ids import key_id_sql
@@ -21,9 +22,9 @@ from newsloom.operators.corroborate import candidates, check_requests, corrobora
 from newsloom.operators.health import moment
 from newsloom.plans import adapters as A
 from newsloom.plans.adapters import ARTICLES_AS_OF, CALLS_AS_OF, ORDERS_AS_OF, with_views
-from newsloom.session import ship, table
+from newsloom.session import scratch_path, ship, staged, table
 from newsloom.sources.ingest import fetch_run_ledger, prepared, upsert_articles
-from newsloom.streaming.jobs import stream_cost_by_day
+from newsloom.streaming.jobs import stored_articles, stream_cost_by_day, stream_cost_table, stream_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -463,6 +464,45 @@ def ingest_runs(spark: SparkSession, d: str) -> DataFrame:
     return fetch_run_ledger(raw, batch, new, src, ARTICLES_AS_OF).select("source_id", "items_seen", "items_new", "newest_item_at", "status")
 
 
+def _landed(spark: SparkSession, d: str) -> tuple[str, int]:
+    """_raw as landed rows, a slice of files for each day, in order: what lands again does so a day later."""
+    land, n = scratch_path(spark, "landing"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    raw = _raw(spark, d)
+    again = F.col("arrival") % 2
+    raw = staged(raw.withColumn("landed_at", F.col("published_at") + F.make_dt_interval(days=again.cast("int"))), "landed")
+    for day in range(5):
+        start = datetime(2024, 1, 1 + day)
+        raw.filter((F.col("landed_at") >= F.lit(start).cast("timestamp_ntz")) & (F.col("landed_at") < F.lit(start + timedelta(days=1)).cast("timestamp_ntz"))).repartition(n).write.mode("append").json(land)
+    return land, n
+
+
+def _streamed(spark: SparkSession, d: str, keep_ms: int) -> DataFrame:
+    land, files = _landed(spark, d)
+    table_, src = scratch_path(spark, "articles"), staged(A.sources(spark, d), "sources")
+    spark.createDataFrame([], schemas.ARTICLES).write.parquet(table_)
+    stream_ingest(spark, land, src, table_, scratch_path(spark, "checkpoint"), ARTICLES_AS_OF, keep_ms=keep_ms, delay="25 hours", files=files).awaitTermination()
+    return stored_articles(spark, table_)
+
+
+_LANDED_SQL = """, land as (
+  select id, source_id, case when id % 29 <> 0 then title end as title, published_at as landed_at, id * 2 as arrival from articles
+  union all select id, source_id, 'again', published_at + to_days(1), id * 2 + 1 from articles where id % 5 = 0),
+ok as (select * from land where coalesce(title, '') <> '')
+select 'https://src' || source_id || '.example.com/a/' || id as canonical_url, arg_min(title, (landed_at, arrival)) as title, min(landed_at) as fetched_at from ok group by source_id, id"""
+
+
+@query(with_views("articles", _LANDED_SQL))
+def streamed_articles(spark: SparkSession, d: str) -> DataFrame:
+    """Documents landed in slices by day and taken in by a stream, each URL's first row kept in its state."""
+    return _streamed(spark, d, 7 * 86_400_000).select("canonical_url", "title", "fetched_at")
+
+
+@query(with_views("articles", _LANDED_SQL))
+def streamed_articles_without_state(spark: SparkSession, d: str) -> DataFrame:
+    """The same where the state is gone as soon as it is made: the table alone decides."""
+    return _streamed(spark, d, 1).select("canonical_url", "title", "fetched_at")
+
+
 # ---- requests and responses ----
 
 
@@ -775,6 +815,19 @@ def windowed_cost_by_day(spark: SparkSession, d: str) -> DataFrame:
     return stream_cost_by_day(A.llm_calls(spark, d)).withColumn("cost_usd", F.round("cost_usd", 6))
 
 
+@query(with_views("calls", f"{_BY_DAY} group by 1"))
+def streamed_cost_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """Calls landed by week, every tenth one a week late, added up by a stream that keeps a table of days."""
+    calls = A.llm_calls(spark, d).withColumn("week", F.floor(F.dayofyear("created_at") / 7) + (F.col("id") % 10 == 0).cast("int"))
+    calls, land, out = staged(calls, "calls"), scratch_path(spark, "landing"), scratch_path(spark, "days")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for (week,) in calls.select("week").distinct().orderBy("week").collect():  # a row for each week
+        calls.filter(F.col("week") == week).drop("week").repartition(n).write.mode("append").parquet(land)
+    stream = spark.readStream.schema(calls.drop("week").schema).option("maxFilesPerTrigger", n).parquet(land)
+    stream_cost_table(stream, out, scratch_path(spark, "checkpoint"), "20 days").awaitTermination()
+    return spark.read.parquet(out).select("day", "calls", "cache_hits", F.round("cost_usd", 6).alias("cost_usd"))
+
+
 @query(with_views("calls", "select purpose, status, count(*) as requests from calls group by all"))
 def outcome_counts(spark: SparkSession, d: str) -> DataFrame:
     return ledger.outcome_counts(A.llm_calls(spark, d))

@@ -57,12 +57,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     the driver process ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/newsloom-{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared scratch folder, removed when the driver process ends."""
+    path = f"{scratch_root(spark)}/newsloom-{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def unstaged(*frames: DataFrame) -> None:
     """Remove staged tables that nothing will read any more (call it only once what reads them is staged itself)."""
     for df in frames:
@@ -83,7 +89,7 @@ def _clean() -> None:
         try:
             _remove(*item)
         except Exception:  # the session may be gone by now; the shared folder is then the cluster's to clear
-            return
+            continue
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.ids import key_id
@@ -16,15 +16,15 @@ from newsloom.session import ship
 STALE_HOURS = 48
 
 
-def prepared(raw: DataFrame, sources: DataFrame, as_of: datetime, rules: list[Rule] = RULES, threshold: float = THRESHOLD) -> DataFrame:
-    """Raw rows that have a title and a URL, as articles (with `arrival`). The scan reads the raw markup."""
+def prepared(raw: DataFrame, sources: DataFrame, as_of: datetime, rules: list[Rule] = RULES, threshold: float = THRESHOLD, fetched_at: Column | None = None) -> DataFrame:
+    """Raw rows that have a title and a URL, as articles (with `arrival`), fetched at `as_of` or as `fetched_at` says. The scan reads the raw markup."""
     ship(raw.sparkSession)
     ok = raw.filter("coalesce(title, '') <> '' and coalesce(url, '') <> ''")
     known = ok.join(sources.select(F.col("name").alias("source"), F.col("id").alias("source_id")), "source")
     scanned = F.concat("title", F.lit(" "), F.coalesce("summary_raw", F.lit("")))
     rows = known.withColumns({"canonical_url": canonical_url(F.col("url")), "matched_rules": matched_rules(scanned, rules)}).withColumn("injection_score", score_of(F.col("matched_rules"), rules))
     return rows.select(
-        key_id(F.lit("article"), F.col("canonical_url")).alias("id"), "source_id", "publisher", "title", "summary_raw", "url", "canonical_url", "published_at", F.lit(as_of).cast("timestamp_ntz").alias("fetched_at"), "tickers",
+        key_id(F.lit("article"), F.col("canonical_url")).alias("id"), "source_id", "publisher", "title", "summary_raw", "url", "canonical_url", "published_at", (F.lit(as_of).cast("timestamp_ntz") if fetched_at is None else fetched_at).alias("fetched_at"), "tickers",
         content_hash(F.col("title"), F.col("summary_raw")).alias("content_hash"), sanitize_html(F.col("summary_raw")).alias("clean_text"), "injection_score", "matched_rules",
         article_status(F.col("injection_score"), threshold).alias("status"), "sec_form_type", "sec_items", "event_type_hint", "arrival",
     )

@@ -2,36 +2,88 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newsloom import schemas
 from newsloom.functions.scan import RULES, Rule
+from newsloom.functions.urls import canonical_url
+from newsloom.session import ship
 from newsloom.sources.ingest import prepared, upsert_articles
 
+#: A landed row, with the time it landed at; rows without one are taken to have landed at the run's time.
+LANDED = f"{schemas.RAW_ARTICLES}, landed_at timestamp_ntz"
 
-def stream_ingest(spark: SparkSession, landing_dir: str, sources: DataFrame, articles_path: str, checkpoint: str, as_of: datetime, rules: list[Rule] = RULES, delay: str = "7 days") -> StreamingQuery:
-    """Landed JSON rows become articles, each canonical URL once.
 
-    The stream's own state drops repeats within the watermark; exactness rests on the anti-join against
-    the table, so a late row, or a batch run again after a failure, adds nothing.
+def _first_writer(keep_ms: int):
+    """Keeps, for each canonical URL, when its first row came; passes on that row and drops all others while the state lasts."""
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts)).sort_values(["landed_at", "arrival"])  # one URL's rows of one batch
+        if not state.exists:
+            state.update((int(rows["landed_at"].iloc[0].value // 1_000_000),))
+            yield rows.head(1)
+        state.setTimeoutTimestamp(max(int(rows["landed_at"].iloc[-1].value // 1_000_000) + keep_ms, state.getCurrentWatermarkMs() + 1))
+
+    return run
+
+
+def stored_articles(spark: SparkSession, path: str) -> DataFrame:
+    """The articles that streams (and batch jobs) have written to a folder, whatever its subfolders."""
+    return spark.read.schema(schemas.ARTICLES).option("recursiveFileLookup", True).parquet(path)
+
+
+def stream_ingest(
+    spark: SparkSession, landing_dir: str, sources: DataFrame, articles_path: str, checkpoint: str, as_of: datetime, rules: list[Rule] = RULES, keep_ms: int = 7 * 86_400_000, delay: str = "7 days", files: int | None = None
+) -> StreamingQuery:
+    """Landed JSON rows become articles, each canonical URL once; the first to land is the one.
+
+    State by canonical URL drops repeats while it lasts: a timer in landing time removes it `keep_ms` after the URL was last
+    met. What comes after that is held against the table, which a URL never leaves. A row that landed more than `delay`
+    before the newest seen is late, and dropped, as in any stream with a watermark. A batch writes a folder of its own, and
+    overwrites it when it is run again after a failure, not counting what it wrote before. `files`: files of one batch at most.
     """
-    raw = spark.readStream.schema(schemas.RAW_ARTICLES).json(landing_dir)
-    rows = prepared(raw, sources, as_of, rules).withColumn("event_time", F.col("fetched_at").cast("timestamp"))
-    once = rows.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["canonical_url"]).drop("event_time")
+    ship(spark)
+    reader = spark.readStream.schema(LANDED)
+    raw = (reader.option("maxFilesPerTrigger", files) if files else reader).json(landing_dir)
+    at = F.coalesce("landed_at", F.lit(as_of).cast("timestamp_ntz"))
+    valid = raw.filter("coalesce(title, '') <> '' and coalesce(url, '') <> ''").withColumns({"landed_at": at, "url_key": canonical_url(F.col("url"))})
+    timed = valid.withColumn("event_time", F.col("landed_at").cast("timestamp")).withWatermark("event_time", delay)
+    once = timed.groupBy("url_key").applyInPandasWithState(_first_writer(keep_ms), timed.schema, "first_at long", "append", GroupStateTimeout.EventTimeTimeout)
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        known = batch.sparkSession.read.schema(schemas.ARTICLES).parquet(articles_path)
-        upsert_articles(batch, known).write.mode("append").parquet(articles_path)
+        own = f"batch={batch_id}"
+        known = stored_articles(batch.sparkSession, articles_path).filter(~F.col("_metadata.file_path").contains(f"/{own}/"))
+        rows = prepared(batch, sources, as_of, rules, fetched_at=F.col("landed_at"))
+        upsert_articles(rows, known).write.mode("overwrite").parquet(f"{articles_path}/{own}")
 
     return once.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_cost_by_day(calls: DataFrame) -> DataFrame:
-    """Calls, cache hits and cost by tumbling day of a stream (or table) of ledger rows; for update mode."""
-    timed = calls.withColumn("at", F.col("created_at").cast("timestamp")).withWatermark("at", "1 day")
+def stream_cost_by_day(calls: DataFrame, delay: str = "1 day") -> DataFrame:
+    """Calls, cache hits and cost by tumbling day of a stream (or table) of ledger rows; for update mode. Rows later than `delay` are dropped."""
+    timed = calls.withColumn("at", F.col("created_at").cast("timestamp")).withWatermark("at", delay)
     out = timed.groupBy(F.window("at", "1 day").alias("w")).agg(F.count("*").alias("calls"), F.count_if(F.col("status") == "cache_hit").alias("cache_hits"), F.sum("cost_usd").alias("cost_usd"))
     return out.select(F.col("w.start").cast("date").alias("day"), "calls", "cache_hits", "cost_usd")
+
+
+def stream_cost_table(calls: DataFrame, path: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
+    """Keeps a table of days, one folder each: a batch replaces the days that it has changed, and no others.
+
+    The rows of a batch are whole days' sums, so that a batch run again writes the same.
+    """
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+    days = stream_cost_by_day(calls, delay)
+    return days.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
