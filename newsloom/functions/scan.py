@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -39,28 +40,35 @@ def preprocessed(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, hidden, " " * len(hidden)), r"(?U)\s+", " ")
 
 
-def _hit(rule: Rule, raw: Column, clean: Column) -> Column:
-    if rule.kind == "phrase":
-        low = F.lower(clean)
-        tests = [F.contains(low, F.lit(p.lower())) for p in rule.patterns]
-    elif rule.kind == "regex":
-        tests = [clean.rlike(p) for p in rule.patterns]
-    else:
-        runs = F.regexp_extract_all(raw, F.lit("[A-Za-z0-9+/]{%d,}={0,2}" % rule.min_length), 0)
-        # Missing padding is added; a run that can't be padded, or is padded too much, doesn't decode.
-        padded = lambda x: F.rpad(x, F.length(x) + (F.lit(4) - F.length(x) % 4) % 4, F.lit("="))
-        good = lambda x: (F.length(F.regexp_replace(x, "=", "")) % 4 != 1) & padded(x).rlike("^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
-        tests = [F.exists(runs, good)]
+def _any(tests: list[Column]) -> Column:
     out = F.lit(False)
     for t in tests:
         out = out | t
     return F.coalesce(out, F.lit(False))
 
 
+def _hit(rule: Rule, raw: Column, clean: Column, low: Column) -> Column:
+    """Whether a rule hits, given the raw text, the collapsed one, and that in lower case."""
+    if rule.kind == "phrase":
+        return _any([F.contains(low, F.lit(p.lower())) for p in rule.patterns])
+    if rule.kind == "regex":
+        return _any([clean.rlike(p) for p in rule.patterns])
+    runs = F.regexp_extract_all(raw, F.lit("[A-Za-z0-9+/]{%d,}={0,2}" % rule.min_length), 0)
+    # Missing padding is added; a run that can't be padded, or is padded too much, doesn't decode.
+    padded = lambda x: F.rpad(x, F.length(x) + (F.lit(4) - F.length(x) % 4) % 4, F.lit("="))
+    good = lambda x: (F.length(F.regexp_replace(x, "=", "")) % 4 != 1) & padded(x).rlike("^(?:[A-Za-z0-9+/]{4})*(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+    return _any([F.exists(runs, good)])
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def matched_rules(text: Column, rules: list[Rule] = RULES) -> Column:
-    """Names of the rules that hit, in rule order."""
-    clean = preprocessed(text)
-    return F.filter(F.array(*[F.when(_hit(r, text, clean), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
+    """Names of the rules that hit, in rule order. A text is collapsed once and lower-cased once for all rules."""
+    names = lambda clean, low: F.filter(F.array(*[F.when(_hit(r, text, clean, low), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
+    return _with(preprocessed(text), lambda clean: _with(F.lower(clean), lambda low: names(clean, low)))
 
 
 def score_of(matched: Column, rules: list[Rule] = RULES) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -78,6 +79,17 @@ def unstaged(*frames: DataFrame) -> None:
                 _remove(*item)
 
 
+def freed(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that are over.
+
+    Spark deletes a shuffle's files once nothing in the driver refers to it, which it learns from the driver's garbage
+    collector; a driver with much free memory may not collect for half an hour. To be called where a job of many
+    stages has written the tables that it goes on from.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
