@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.numbers import extract_numbers, number_matches
 from newsloom.functions.scan import RULES, THRESHOLD, Rule, matched_rules, score_of
 from newsloom.functions.text import advice_phrase, normalize_text
+from newsloom.operators.ordered import numbered_along
 
 #: Metrics whose rise is bad.
 LOWER_IS_BETTER = ["unsupported_fact_rate", "leak_rate", "injection_fpr", "advice_leak", "opinion_as_fact_rate", "cost_per_story_usd", "latency_p50_ms"]
@@ -36,7 +37,7 @@ def evaluate(results: DataFrame, facts: DataFrame, evidence: DataFrame) -> DataF
         F.count("*").alias("n_cases"), F.count_if(is_injection).alias("n_injection_cases"), F.count_if(F.col("error").isNotNull()).alias("n_errors"),
         F.count_if(is_injection & (F.coalesce("quarantined", F.lit(False)) | suspected)).alias("caught"), F.count_if(~is_injection & suspected).alias("wrong"),
         F.count_if(F.col("has_story") & advice_phrase(F.col("story_text")).isNotNull()).alias("advice_leak"),
-        F.sum("cost_usd").alias("cost"), F.percentile("latency_ms", 0.5).alias("latency_p50_ms"), F.count_if(F.coalesce("expected_is_opinion", F.lit(False))).alias("n_opinion"),
+        F.sum("cost_usd").alias("cost"), F.count_if(F.coalesce("expected_is_opinion", F.lit(False))).alias("n_opinion"),
     )
     limits = results.filter("has_story").select("case_id", "expected_is_opinion", "must_not_include")
     f = facts.join(limits, "case_id")
@@ -47,7 +48,8 @@ def evaluate(results: DataFrame, facts: DataFrame, evidence: DataFrame) -> DataF
     e = evidence.join(f.filter(kept).select("case_id", "fact_id"), ["case_id", "fact_id"])
     quotes = e.agg(F.count("*").alias("total_quotes"), F.count_if(quote_valid(F.col("quote_en"), F.coalesce("article_text", F.lit("")))).alias("valid_quotes"))
     numbers = number_grounding(f.filter(kept), e)
-    one = cases.crossJoin(n_facts).crossJoin(quotes).crossJoin(numbers)  # one row each
+    median = quantile(results, "latency_ms", 0.5, "latency_p50_ms")
+    one = cases.crossJoin(n_facts).crossJoin(quotes).crossJoin(numbers).crossJoin(median)  # one row each
     c = F.col
     return one.select(
         _rate(c("valid_quotes"), c("total_quotes"), 1.0).alias("quote_validity_rate"), _rate(c("grounded_numbers"), c("total_numbers"), 1.0).alias("number_grounding_rate"),
@@ -58,6 +60,20 @@ def evaluate(results: DataFrame, facts: DataFrame, evidence: DataFrame) -> DataF
     )
 
 
+def quantile(rows: DataFrame, column: str, q: float, name: str) -> DataFrame:
+    """One row: the exact quantile, between two values by their distance; null of none. Nulls don't count.
+
+    Values are numbered along their order, range by range, and the two at its place are picked: no task and no
+    buffer holds all values, however many differ.
+    """
+    placed = numbered_along(rows.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v")), [F.col("v")], "n")
+    at = F.lit(q) * (F.col("total") - 1) + 1
+    total = placed.agg(F.count("*").alias("total"))
+    near = placed.crossJoin(F.broadcast(total)).filter((F.col("n") == F.floor(at)) | (F.col("n") == F.ceil(at)))  # one row
+    ends = near.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.max(at - F.floor(at)).alias("part"))
+    return ends.select((F.col("lo") + F.col("part") * (F.col("hi") - F.col("lo"))).alias(name))
+
+
 def number_grounding(facts: DataFrame, evidence: DataFrame) -> DataFrame:
     """One row: numbers in facts, and those that a quote or its article writes."""
     text = evidence.groupBy("case_id", "fact_id").agg(F.collect_list(F.lower(normalize_text(F.concat_ws(" ", "quote_en", "article_text")))).alias("texts"))

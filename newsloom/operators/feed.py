@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.operators.clusters import since
+from newsloom.operators.ordered import numbered_along
+from newsloom.session import staged
 
 FAILED_CHECKS = 200
 
@@ -59,11 +61,14 @@ def story_display(feed: DataFrame) -> DataFrame:
     return feed.select(*[shown(c) if c in ("title_bg", "summary_bg") else F.when(F.col("verification_status") == "pending", F.slice("links", 1, 3)).otherwise(F.col("links")).alias(c) if c == "links" else F.col(c) for c in feed.columns])
 
 
-def story_detail(feed: DataFrame, facts: DataFrame, evidence: DataFrame, articles: DataFrame) -> DataFrame:
-    """Feed rows with their facts in order, removed ones too, each with its evidence."""
-    # Only what the feed's stories hold is gathered.
-    facts = facts.join(feed.select(F.col("id").alias("story_id")).distinct(), "story_id", "left_semi")
-    evidence = evidence.join(facts.select(F.col("id").alias("fact_id")), "fact_id", "left_semi")
+def story_detail(feed: DataFrame, facts: DataFrame, evidence: DataFrame, articles: DataFrame, narrow: bool = False) -> DataFrame:
+    """Feed rows with their facts in order, removed ones too, each with its evidence.
+
+    `narrow`: only what the feed's stories hold is gathered, which pays for a feed of few stories.
+    """
+    if narrow:
+        facts = staged(facts.join(feed.select(F.col("id").alias("story_id")).distinct(), "story_id", "left_semi"), "facts")
+        evidence = evidence.join(facts.select(F.col("id").alias("fact_id")), "fact_id", "left_semi")
     a = articles.select(F.col("id").alias("article_id"), "publisher", "published_at", "url")
     e = evidence.join(a, "article_id").groupBy("fact_id").agg(F.sort_array(F.collect_list(F.struct("id", "article_id", "quote_en", "publisher", "published_at", "url"))).alias("evidence"))
     f = facts.withColumnRenamed("id", "fact_id").join(e, "fact_id", "left")
@@ -140,7 +145,25 @@ def export_digest(stories: DataFrame, clusters: DataFrame, facts: DataFrame, mem
     return both.select(F.col("id").alias("story_id"), "created_at", text.alias("text"))
 
 
+def digest_lines(digest: DataFrame, day: date) -> DataFrame:
+    """(day, place, value): the document's lines in order: a title, then the stories, newest first; `place` rises, with gaps."""
+    told = numbered_along(digest.select("created_at", "story_id", "text"), [F.col("created_at").desc(), F.col("story_id")], "story")
+    lines = told.select((F.col("story") * F.lit(1 << 32)).alias("story"), F.posexplode(F.split("text", "\n")).alias("pos", "value")).select((F.col("story") + F.col("pos")).alias("place"), "value")
+    spark = digest.sparkSession
+    head = spark.createDataFrame([(0, f"# Digest — {day.isoformat()}"), (1, "")], "place long, value string")
+    return head.unionByName(lines).select(F.lit(day).alias("day"), "place", "value")
+
+
+def write_digest(digest: DataFrame, day: date, path: str, files: int = 1) -> None:
+    """The day's document as text under path/day=...: `files` files, by ranges of lines, whose names sort in order.
+
+    Read in the order of names, they are the document. Written again, they replace what this day had, and no other day's.
+    """
+    lines = digest_lines(digest, day).repartitionByRange(files, "place").sortWithinPartitions("place")
+    lines.select("day", "value").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").text(path)
+
+
 def digest_text(digest: DataFrame, day: date) -> DataFrame:
-    """One row, the whole document; a day's stories are few."""
+    """One row, the whole document, for a day of few stories; `write_digest` takes any."""
     body = F.array_join(F.transform(F.reverse(F.sort_array(F.collect_list(F.struct("created_at", (-F.col("story_id")).alias("k"), "text")))), lambda x: x["text"]), "\n")
     return digest.agg(F.concat(F.lit(f"# Digest — {day.isoformat()}\n\n"), body).alias("value"))

@@ -2,7 +2,7 @@
 
 Candidates come in groups. Two sets that reach the Jaccard threshold share a token among the first
 n - ceil(lower * n) + 1 of each, in any common order; with the rarest tokens first, a group is what holds a
-(ticker, token) there. Where these groups of a ticker hold more pairs than the ticker itself does, the ticker
+(ticker, token) there. Where these groups of a ticker are more work than all pairs of the ticker, the ticker
 is one group instead. A group of any size is cut, by rising set size, to chunks of at most TILE sets; a tile is
 two chunks whose sizes can reach the threshold. Tiles are rows of equal size that Spark deals out, so a token
 or a ticker that is everywhere makes many tiles and no large task.
@@ -24,8 +24,10 @@ from newsloom.operators.ordered import ranged, running_total
 from newsloom.session import ship, staged
 
 #: Bits of a set's bitmap, and sets in a chunk; any numbers give the same pairs.
-BITS = 1024
+BITS = 4096
 TILE = 512
+#: What a tile costs beside its pairs, in pairs; it decides only whether a ticker goes by tokens or as one group.
+TILE_COST = 2000
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,7 +73,7 @@ def _prefix(words: DataFrame, lower: float) -> tuple[DataFrame, DataFrame]:
     first = words.join(counts, ["ticker", "token"]).withColumn("place", rank).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * lower - 1e-9) + 1)
     first = staged(first.select("ticker", "token", "id"), "near-prefix")
     met = first.groupBy("ticker", "token").agg(F.count("*").alias("m"))
-    pairs = met.groupBy("ticker").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("by_token"))
+    pairs = met.filter("m > 1").groupBy("ticker").agg(F.sum(F.col("m").cast("double") * F.col("m") + TILE_COST).alias("by_token"))
     sets = words.groupBy("ticker").agg(F.count_distinct("id").cast("double").alias("sets"))
     dense = staged(pairs.join(sets, "ticker").filter(F.col("by_token") > F.col("sets") * F.col("sets")).select("ticker"), "near-dense")
     some = first.join(met.filter("m > 1").select("ticker", "token"), ["ticker", "token"]).join(dense, "ticker", "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date, datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from newsloom.operators.corroborate import candidates, check_requests, corrobora
 from newsloom.operators.health import moment
 from newsloom.plans import adapters as A
 from newsloom.plans.adapters import ARTICLES_AS_OF, CALLS_AS_OF, ORDERS_AS_OF, with_views
+from newsloom.operators.ordered import numbered_along
+from newsloom.operators.retention import apply_retention, write_by_period
 from newsloom.session import scratch_path, ship, staged, table
 from newsloom.sources.ingest import fetch_run_ledger, prepared, upsert_articles
 from newsloom.streaming.jobs import stored_articles, stream_cost_by_day, stream_cost_table, stream_ingest
@@ -757,6 +760,25 @@ def daily_digest(spark: SparkSession, d: str) -> DataFrame:
     return out.select("story_id", F.regexp_count("text", F.lit(r"(?m)^- ")).cast("long").alias("n_facts"))
 
 
+@query(with_views("stories clusters facts members articles sources", f""", told as (
+  select s.id, s.created_at, title_bg, summary_bg, s.verification_status, s.cluster_id, c.primary_ticker, c.event_type, c.article_count from stories s join clusters c on c.id = s.cluster_id
+  where s.created_at >= timestamp '{_DIGEST_DAY}' and s.created_at < timestamp '{_DIGEST_DAY}' + to_days(1) and s.verification_status in ('verified', 'partial')),
+f as (select story_id, string_agg('- ' || text_bg, chr(10) order by fact_order, id) as lines from facts where verification_status <> 'removed' group by story_id),
+a as (select m.cluster_id, string_agg('  - [' || coalesce(s.name, a.publisher, '—') || '](' || a.url || ')', chr(10) order by a.id) as lines from members m join articles a on a.id = m.article_id left join sources s on s.id = a.source_id group by m.cluster_id),
+texts as (select *, '## ' || title_bg || '  (' || coalesce(primary_ticker, '—') || ')' || chr(10) || chr(10) || '**Type:** ' || '—' || ' | **Status:** ' || verification_status || ' | **Articles:** ' || article_count || chr(10) || chr(10)
+  || summary_bg || chr(10) || chr(10) || coalesce('**Facts:**' || chr(10) || f.lines || chr(10) || chr(10), '') || coalesce('**Sources:**' || chr(10) || a.lines || chr(10) || chr(10), '') || '---' || chr(10) as text
+  from told left join f on f.story_id = told.id left join a on a.cluster_id = told.cluster_id),
+lines as (select created_at, id, unnest(string_split(text, chr(10))) as value, unnest(range(len(string_split(text, chr(10))))) as pos from texts)
+select row_number() over (order by created_at desc, id, pos) + 2 as line, value from lines union all select 1, '# Digest — {_DIGEST_DAY}' union all select 2, ''"""))
+def digest_file(spark: SparkSession, d: str) -> DataFrame:
+    """The day's document written as text in several files and read back, line by line."""
+    out = feed.export_digest(A.stories(spark, d), A.story_clusters(spark, d), A.story_facts(spark, d), A.cluster_members(spark, d), A.articles(spark, d), A.sources(spark, d), _DIGEST_DAY)
+    path = scratch_path(spark, "digest")
+    feed.write_digest(out, _DIGEST_DAY, path, files=3)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return numbered_along(lines, [F.col("file"), F.col("at")], "line").select("line", "value")
+
+
 # ---- health, costs, retention ----
 
 
@@ -959,6 +981,26 @@ def expired_articles(spark: SparkSession, d: str) -> DataFrame:
     return health.retention(A.stories(spark, d), A.story_facts(spark, d), A.fact_evidence(spark, d), A.llm_calls(spark, d), A.articles(spark, d), A.cluster_members(spark, d), datetime(2024, 6, 1))["articles"]
 
 
+@query(with_views("articles stories facts evidence members calls", """, old as (select id from stories where created_at < timestamp '1996-06-01' - to_days(365)), of as (select id from facts where story_id in (select id from old)),
+kept as (
+  select 'stories' as "table", id, created_at::date as day from stories where id not in (select id from old)
+  union all select 'story_facts', f.id, s.created_at::date from facts f join stories s on s.id = f.story_id where f.id not in (select id from of)
+  union all select 'fact_evidence', e.id, s.created_at::date from evidence e join facts f on f.id = e.fact_id join stories s on s.id = f.story_id where f.id not in (select id from of))
+select "table", count(*) as rows, sum(id) as ids, count(distinct date_trunc('month', day)) as periods from kept group by 1"""))
+def applied_retention(spark: SparkSession, d: str) -> DataFrame:
+    """Stories, facts and evidence stored by the story's month, after retention has deleted from the stored tables."""
+    s, f, e = A.stories(spark, d), A.story_facts(spark, d), A.fact_evidence(spark, d)
+    when = s.select(F.col("id").alias("story_id"), "created_at")
+    tables = {"stories": s, "story_facts": f.join(when, "story_id"), "fact_evidence": e.join(f.select(F.col("id").alias("fact_id"), "story_id"), "fact_id").join(when, "story_id")}
+    paths = {name: scratch_path(spark, name) for name in tables}
+    for name, rows in tables.items():
+        write_by_period(rows, paths[name], "created_at", "month")
+    old = health.retention(s, f, e, A.llm_calls(spark, d), A.articles(spark, d), A.cluster_members(spark, d), datetime(1996, 6, 1))
+    apply_retention(spark, paths, old)
+    out = [spark.read.parquet(p).agg(F.count("*").alias("rows"), F.sum("id").alias("ids"), F.count_distinct("period").alias("periods")).select(F.lit(name).alias("table"), "*") for name, p in paths.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
 # ---- evaluation ----
 
 

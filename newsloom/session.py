@@ -76,7 +76,7 @@ def unstaged(*frames: DataFrame) -> None:
         for item in list(_written):
             if any(item[1] in f for f in df.inputFiles()):
                 _written.remove(item)
-                _remove(*item)
+                remove_path(*item)
 
 
 def freed(spark: SparkSession) -> None:
@@ -90,7 +90,8 @@ def freed(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any store that Spark reaches."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -99,7 +100,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def _clean() -> None:
     for item in _written:
         try:
-            _remove(*item)
+            remove_path(*item)
         except Exception:  # the session may be gone by now; the shared folder is then the cluster's to clear
             continue
 
