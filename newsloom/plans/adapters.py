@@ -77,7 +77,7 @@ def story_clusters(spark: SparkSession, d: str) -> DataFrame:
 def stories(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     status = F.element_at(F.array(*[F.lit(s) for s in ("pending", "verified", "partial", "unverified")]), (k % 4 + 1).cast("int"))
-    return table(spark, d, "orders").filter("o_orderkey % 3 <> 0").select(
+    return table(spark, d, "orders").filter("o_orderpriority <> '4-NOT SPECIFIED'").select(
         k.alias("id"), k.alias("cluster_id"), F.concat(F.lit("Story "), k.cast("string")).alias("title_bg"), F.concat(F.lit("Summary "), k.cast("string")).alias("summary_bg"), F.array(_ticker()).alias("tickers"),
         F.lit(None).cast("string").alias("event_type"), (k % 5 == 0).alias("is_opinion"), status.alias("verification_status"), F.lit("large").alias("model_version"), F.lit("summarize_v1").alias("prompt_version"),
         (F.col("o_orderdate") + F.expr("interval 48 hours")).alias("created_at"),
@@ -91,30 +91,30 @@ def cluster_members(spark: SparkSession, d: str) -> DataFrame:
 
 def story_facts(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("l_returnflag") == "A", "verified").when(F.col("l_returnflag") == "N", "partially_supported").otherwise("removed")
-    rows = table(spark, d, "lineitem").filter("l_orderkey % 3 <> 0").groupBy("l_orderkey", "l_linenumber").agg(F.min(status).alias("verification_status"))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(status).alias("verification_status"))
     i = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     return rows.select(i.alias("id"), F.col("l_orderkey").alias("story_id"), (F.col("l_linenumber") - 1).alias("fact_order"), F.concat(F.lit("Fact "), i.cast("string")).alias("text_bg"), "verification_status")
 
 
 def fact_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Each fact cites the article of its smallest part."""
-    rows = table(spark, d, "lineitem").filter("l_orderkey % 3 <> 0").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("article_id"))
+    rows = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("article_id"))
     i = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     return rows.select((i * 2).alias("id"), i.alias("fact_id"), "article_id", F.concat(F.lit("Quote "), i.cast("string")).alias("quote_en"))
 
 
 def verification_log(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").filter("l_orderkey % 3 <> 0").select(
+    return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("story_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("fact_id"), F.concat(F.lit("check_"), F.col("l_linenumber").cast("string")).alias("check"),
         (F.col("l_returnflag") != "R").alias("passed"), F.col("l_partkey").cast("string").alias("details"), F.col("l_shipdate").alias("created_at"),
     )
 
 
 def filings(spark: SparkSession, d: str) -> DataFrame:
-    """Every tenth order as an article of a primary source, its hint by priority."""
+    """Orders partly shipped as articles of a primary source, their hints by priority."""
     k, p = F.col("o_orderkey"), F.col("o_orderpriority")
     hint = F.when(p == "1-URGENT", "earnings").when(p == "2-HIGH", "regulatory").when(p == "5-LOW", "merger_acquisition").otherwise("other")
-    return table(spark, d, "orders").filter("o_orderkey % 10 = 0").select(
+    return table(spark, d, "orders").filter("o_orderstatus = 'P'").select(
         (k + 1_000_000_000).alias("id"), F.lit(0).cast("long").alias("source_id"), F.concat(F.lit("https://filings.example.com/"), k.cast("string")).alias("url"), F.col("o_orderdate").alias("published_at"),
         F.array(_ticker()).alias("tickers"), hint.alias("event_type_hint"), F.lit("active").alias("status"),
     )
@@ -131,12 +131,12 @@ SQL_VIEWS = {
     "calls": "select event_id as id, event_type as purpose, ts as created_at, case event_type when 'view' then 'cache_hit' when 'error' then 'rejected' else 'ok' end as status, case event_type when 'view' then 0.0 else value / 1000 end as cost_usd from events",
     "runs": "select o_orderkey as id, o_custkey % 20 as source_id, o_orderdate as started_at, case when o_orderkey % 11 <> 0 then o_orderdate + to_seconds(30) end as finished_at, case o_orderstatus when 'F' then 'ok' when 'O' then 'stale' else 'error' end as status, o_custkey % 50 as items_seen, o_custkey % 7 as items_new from orders",
     "clusters": f"select o_orderkey as id, {_DUCK_TICKER} as primary_ticker, o_orderdate as first_seen_at, o_orderdate + to_hours(o_orderkey % 96) as last_seen_at, 1 + o_orderkey % 5 as article_count, 1 + o_orderkey % 3 as publisher_count, case o_orderkey % 4 when 0 then 'earnings' when 1 then 'legal' when 2 then 'product_launch' end as event_type, o_orderstatus <> 'P' as visible, case when o_orderpriority <> '1-URGENT' then o_orderpriority <> '5-LOW' end as is_main_subject, o_orderkey % 5 = 0 as is_opinion, case when o_orderkey % 6 <> 0 then 'small' end as classification_model from orders",
-    "stories": f"select o_orderkey as id, o_orderkey as cluster_id, 'Story ' || o_orderkey as title_bg, 'Summary ' || o_orderkey as summary_bg, {_DUCK_TICKER} as ticker, o_orderkey % 5 = 0 as is_opinion, (['pending', 'verified', 'partial', 'unverified'])[o_orderkey % 4 + 1] as verification_status, o_orderdate + to_hours(48) as created_at from orders where o_orderkey % 3 <> 0",
+    "stories": f"select o_orderkey as id, o_orderkey as cluster_id, 'Story ' || o_orderkey as title_bg, 'Summary ' || o_orderkey as summary_bg, {_DUCK_TICKER} as ticker, o_orderkey % 5 = 0 as is_opinion, (['pending', 'verified', 'partial', 'unverified'])[o_orderkey % 4 + 1] as verification_status, o_orderdate + to_hours(48) as created_at from orders where o_orderpriority <> '4-NOT SPECIFIED'",
     "members": "select l_orderkey as cluster_id, l_partkey as article_id, bool_or(l_linestatus = 'O') as needs_llm_check from lineitem group by all",
-    "facts": "select l_orderkey * 8 + l_linenumber as id, l_orderkey as story_id, l_linenumber - 1 as fact_order, 'Fact ' || (l_orderkey * 8 + l_linenumber) as text_bg, min(case l_returnflag when 'A' then 'verified' when 'N' then 'partially_supported' else 'removed' end) as verification_status from lineitem where l_orderkey % 3 <> 0 group by l_orderkey, l_linenumber",
-    "evidence": "select (l_orderkey * 8 + l_linenumber) * 2 as id, l_orderkey * 8 + l_linenumber as fact_id, min(l_partkey) as article_id, 'Quote ' || (l_orderkey * 8 + l_linenumber) as quote_en from lineitem where l_orderkey % 3 <> 0 group by l_orderkey, l_linenumber",
-    "log": "select l_orderkey as story_id, l_orderkey * 8 + l_linenumber as fact_id, 'check_' || l_linenumber as \"check\", l_returnflag <> 'R' as passed, l_partkey::varchar as details, l_shipdate as created_at from lineitem where l_orderkey % 3 <> 0",
-    "filings": f"select o_orderkey + 1000000000 as id, {_DUCK_TICKER} as ticker, o_orderdate as published_at, case o_orderpriority when '1-URGENT' then 'earnings' when '2-HIGH' then 'regulatory' when '5-LOW' then 'merger_acquisition' else 'other' end as hint, 'https://filings.example.com/' || o_orderkey as url from orders where o_orderkey % 10 = 0",
+    "facts": "select l_orderkey * 8 + l_linenumber as id, l_orderkey as story_id, l_linenumber - 1 as fact_order, 'Fact ' || (l_orderkey * 8 + l_linenumber) as text_bg, min(case l_returnflag when 'A' then 'verified' when 'N' then 'partially_supported' else 'removed' end) as verification_status from lineitem group by l_orderkey, l_linenumber",
+    "evidence": "select (l_orderkey * 8 + l_linenumber) * 2 as id, l_orderkey * 8 + l_linenumber as fact_id, min(l_partkey) as article_id, 'Quote ' || (l_orderkey * 8 + l_linenumber) as quote_en from lineitem group by l_orderkey, l_linenumber",
+    "log": "select l_orderkey as story_id, l_orderkey * 8 + l_linenumber as fact_id, 'check_' || l_linenumber as \"check\", l_returnflag <> 'R' as passed, l_partkey::varchar as details, l_shipdate as created_at from lineitem",
+    "filings": f"select o_orderkey + 1000000000 as id, {_DUCK_TICKER} as ticker, o_orderdate as published_at, case o_orderpriority when '1-URGENT' then 'earnings' when '2-HIGH' then 'regulatory' when '5-LOW' then 'merger_acquisition' else 'other' end as hint, 'https://filings.example.com/' || o_orderkey as url from orders where o_orderstatus = 'P'",
 }
 
 

@@ -26,7 +26,8 @@ from newsloom.plans.adapters import ARTICLES_AS_OF, CALLS_AS_OF, ORDERS_AS_OF, w
 from newsloom.operators.ordered import numbered_along
 from newsloom.operators.retention import apply_retention, write_by_period
 from newsloom.session import scratch_path, ship, staged, table
-from newsloom.sources.ingest import fetch_run_ledger, prepared, upsert_articles
+from newsloom.sources import connectors, readers
+from newsloom.sources.ingest import fetch_run_ledger, ingest, prepared, upsert_articles
 from newsloom.streaming.jobs import stored_articles, stream_cost_by_day, stream_cost_table, stream_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -301,12 +302,35 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.sha2(strip_tags(F.col("html")), 256).alias("text_sha"))
 
 
-@query()
+#: The pages hold no hidden elements, and three named characters.
+_SANITIZED_SQL = f"trim(regexp_replace(replace(replace(replace({strip_tags_sql('html')}, '&amp;', '&'), '&copy;', '©'), '&middot;', '·'), '\\s+', ' ', 'g'))"
+
+
+@query(f"select page_id, {_SANITIZED_SQL} as clean_text from pages")
 def sanitized_pages(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     return table(spark, d, "pages").select("page_id", sanitize_html(F.col("html")).alias("clean_text"))
 
 
+@query("select doc_id, 'Seen ' || md5(text) || ' fi AB x < y end' as clean_text from documents")
+def planted_markup(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's hash among hidden elements, comments, odd characters and broken markup, sanitised."""
+    ship(spark)
+    html = F.concat(
+        F.lit("<div><script>var a = '<p>no</p>';</script><style>p {}</style><p>Seen\u200b </p><span style='display : none'>no <b>no</b></span><!-- no --><b aria-hidden='true'>no<br></b>"), F.md5("text"),
+        F.lit("<p>\ufb01\u00a0\u202e\uff21\uff22<br>x &lt; y <i>end</div>\n<span style='x;DISPLAY:none'></span><style>no"),
+    )
+    return table(spark, d, "documents").select("doc_id", sanitize_html(html).alias("clean_text"))
+
+
+@query("""select doc_id, '"' || md5(text) || '" - it''s fi AB 12-3' as plain from documents""")
+def planted_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's hash between typographic quotes, dashes, joined letters and invisible characters, normalised."""
+    ship(spark)
+    said = F.concat(F.lit("\u201e"), F.md5("text"), F.lit("\u201d \u2014\u200b it\u2019s \ufb01\u00a0 \uff21\u00ad\uff22\n1\u200c2\u20123 "))
+    return table(spark, d, "documents").select("doc_id", normalize_text(said).alias("plain"))
+
+
 @query("select doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) as n_tokens, sha256(substr(text, 1, 60) || '|' || text) as content_hash from documents")
 def document_tokens(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents")
@@ -329,7 +353,22 @@ def injection_scan(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", "score", F.array_join("m", ",").alias("rules"), scan.article_status(F.col("score")).alias("status"))
 
 
-@query()
+def _phrase_sql(rule: scan.Rule) -> str:
+    return " or ".join(f"contains(low, '{p}')" for p in rule.patterns)
+
+
+_SHIPPED = {r.name: r for r in scan.RULES}
+_SHIPPED_SQL = rf"""
+with t as (select conv_id, turn, role || ' ' || text as raw, regexp_replace(translate(role || ' ' || text, '{scan.ZERO_WIDTH + scan.BIDI}', repeat(' ', {len(scan.ZERO_WIDTH + scan.BIDI)})), '\s+', ' ', 'g') as clean from conversations),
+l as (select *, lower(clean) as low, list_filter(regexp_extract_all(raw, '[A-Za-z0-9+/]{{100,}}={{0,2}}'), lambda x: length(replace(x, '=', '')) % 4 = 0 and not contains(x, '=') or length(replace(x, '=', '')) % 4 = 2 or (length(replace(x, '=', '')) % 4 = 3 and not contains(x, '=='))) as runs from t),
+h as (select conv_id, turn, {_phrase_sql(_SHIPPED['ignore_instructions'])} as a, {_phrase_sql(_SHIPPED['role_override'])} as b, {_phrase_sql(_SHIPPED['financial_manipulation'])} as c,
+  regexp_matches(clean, '(?i)^(assistant|system|user)\s*:') or contains(lower(clean), '<|system|>') or contains(lower(clean), '<|im_start|>') or contains(lower(clean), '<|im_end|>') as d, len(runs) > 0 as e from l)
+select conv_id, turn, least(1.0, a::int * 0.4 + b::int * 0.5 + c::int * 0.5 + d::int * 0.25 + e::int * 0.5)::double as score,
+  array_to_string(list_filter([case when a then 'ignore_instructions' end, case when b then 'role_override' end, case when c then 'financial_manipulation' end, case when d then 'role_markers' end, case when e then 'base64_block' end], lambda x: x is not null), ',') as rules from h
+"""
+
+
+@query(_SHIPPED_SQL)
 def shipped_injection_scan(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "conversations").withColumn("m", scan.matched_rules(F.concat_ws(" ", "role", "text")))
     return t.select("conv_id", "turn", scan.score_of(F.col("m")).alias("score"), F.array_join("m", ",").alias("rules"))
@@ -356,7 +395,7 @@ def best_texts(spark: SparkSession, d: str) -> DataFrame:
     return A.articles(spark, d).select("id", F.length(best_text(F.col("clean_text"), F.col("summary_raw"), F.col("title"))).cast("long").alias("n_chars"))
 
 
-@query()
+@query(r"select doc_id, sha256(trim(regexp_replace(nfc_normalize(text), '\s+', ' ', 'g'))) as text_sha from documents")
 def normalized_documents(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)
     return table(spark, d, "documents").select("doc_id", F.sha2(normalize_text(F.col("text")), 256).alias("text_sha"))
@@ -454,6 +493,16 @@ def ingested_articles(spark: SparkSession, d: str) -> DataFrame:
     return upsert_articles(batch, batch.limit(0)).select("canonical_url", "title")
 
 
+@query(with_views("articles", """, land as (
+  select id, source_id, case when id % 29 <> 0 then title end as title, published_at, id * 2 as arrival from articles union all select id, source_id, 'again', published_at, id * 2 + 1 from articles where id % 5 = 0)
+select source_id, arg_max(title, (published_at, -arrival)) as newest_title from land where coalesce(title, '') <> '' group by 1"""))
+def newest_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Each source's newest title, the first to arrive where times are equal."""
+    raw, src = _raw(spark, d), A.sources(spark, d)
+    batch = prepared(raw, src, ARTICLES_AS_OF)
+    return fetch_run_ledger(raw, batch, upsert_articles(batch, batch.limit(0)), src, ARTICLES_AS_OF).filter("items_new > 0").select("source_id", "newest_title")
+
+
 @query(with_views("articles sources", f""", land as (
   select id, source_id, case when id % 29 <> 0 then title end as title, published_at from articles union all select id, source_id, 'again', published_at from articles where id % 5 = 0),
 ok as (select * from land where coalesce(title, '') <> '')
@@ -506,6 +555,106 @@ def streamed_articles_without_state(spark: SparkSession, d: str) -> DataFrame:
     return _streamed(spark, d, 1).select("canonical_url", "title", "fetched_at")
 
 
+# ---- landed feeds ----
+
+#: Text that has to be escaped in markup.
+_SAID = "' A & B <' || {i} || '> \"' || {h} || '\" '"
+
+
+def _land_rss(spark: SparkSession, d: str) -> str:
+    """Documents as `item`s: every 23rd without a title, every 31st with a time that can't be read, zones by turns."""
+    path, i = scratch_path(spark, "rss"), F.col("id")
+    a = A.articles(spark, d)
+    at = F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss")
+    zone = F.when(i % 3 == 0, " +0200").when(i % 3 == 1, " GMT").otherwise(" EST")
+    said = F.concat(F.lit(" A & B <"), i.cast("string"), F.lit('> "'), F.md5("summary_raw"), F.lit('" '))
+    items = a.select(
+        F.when(i % 23 == 0, " ").otherwise(said).alias("title"), F.concat(F.lit("http://feeds.example.com/a?x=1&i="), i.cast("string")).alias("link"),
+        F.when(i % 31 == 0, "soon").otherwise(F.concat(at, zone)).alias("pubDate"), F.when(i % 4 != 0, said).alias("description"),
+    )
+    items.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(path)
+    return path
+
+
+_RSS_SQL = f"""select 'http://feeds.example.com/a?x=1&i=' || id as url, trim({_SAID.format(i='id', h='md5(summary_raw)')}) as title, case when id % 4 <> 0 then trim({_SAID.format(i='id', h='md5(summary_raw)')}) end as summary_raw,
+  case when id % 31 = 0 then {ARTICLES_TS} when id % 3 = 0 then published_at - to_hours(2) when id % 3 = 1 then published_at else published_at + to_hours(5) end as published_at from articles where id % 23 <> 0"""
+
+
+@query(with_views("articles", _RSS_SQL))
+def rss_items(spark: SparkSession, d: str) -> DataFrame:
+    """Documents landed as RSS and read back."""
+    return readers.read_rss(spark, _land_rss(spark, d), "feed", ARTICLES_AS_OF, "EN").select("url", "title", "summary_raw", "published_at")
+
+
+def _land_news(spark: SparkSession, d: str) -> str:
+    """Documents as arrays of news objects, a file for each 500 of a language; every 19th has no time, every 17th no headline."""
+    path, i = scratch_path(spark, "news"), F.col("id")
+    a = A.articles(spark, d).withColumn("lang", F.coalesce(F.try_element_at("tickers", F.lit(1)), F.lit("NONE")))
+    seconds = F.unix_timestamp(F.col("published_at").cast("timestamp"))
+    item = F.struct(F.when(i % 19 == 0, 0).otherwise(seconds).alias("datetime"), F.when(i % 17 == 0, " ").otherwise(F.concat(F.lit("News "), i.cast("string"))).alias("headline"), F.concat(F.lit("AB, "), "lang", F.lit(",")).alias("related"), F.col("publisher").alias("source"), F.md5("summary_raw").alias("summary"), F.col("url").alias("url"))
+    feeds = a.groupBy("lang", (i / 500).cast("long").alias("part")).agg(F.to_json(F.collect_list(item)).alias("value"))  # 500 rows at most
+    feeds.select("value", F.concat_ws("-", "lang", "part").alias("feed")).write.partitionBy("feed").text(path)
+    return path
+
+
+@query(with_views("articles", f"""select url, 'News ' || id as title, md5(summary_raw) as summary_raw, publisher, case when id % 19 = 0 then {ARTICLES_TS} else published_at end as published_at,
+  array_to_string(list_filter(['EN', 'AB', case when len(tickers) = 0 then 'NONE' when tickers[1] <> 'EN' then tickers[1] end], lambda x: x is not null), ',') as tickers from articles where id % 17 <> 0"""))
+def news_items(spark: SparkSession, d: str) -> DataFrame:
+    """Documents landed as news arrays and read back."""
+    rows = readers.read_news_json(spark, _land_news(spark, d), "news", ARTICLES_AS_OF, "EN")
+    return rows.select("url", "title", "summary_raw", "publisher", "published_at", F.array_join("tickers", ",").alias("tickers"))
+
+
+def _land_filings(spark: SparkSession, d: str) -> tuple[str, str]:
+    """Orders as their customers' filings (every 13th with a bad date), and a map of keys for three customers in four; a file for each 100 customers."""
+    path, ciks, k, c = scratch_path(spark, "filings"), scratch_path(spark, "ciks"), F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), i.cast("int") + 1)
+    part = (c / 100).cast("long").alias("part")
+    one = table(spark, d, "orders").select(
+        c.alias("c"), k.alias("k"), pick(["8-K", "10-Q", "4", "10-K", "6-K"], k % 5).alias("form"), F.when(k % 13 == 0, "bad").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("filingDate"),
+        F.concat_ws("-", k.cast("string"), c.cast("string")).alias("accessionNumber"), F.concat(F.lit("d"), k.cast("string"), F.lit(".htm")).alias("primaryDocument"), F.concat(pick(["9.01", "3.03", "2.02"], k % 3), F.lit(","), pick(["5.02", "8.01"], c % 2)).alias("items"),
+    )
+    ordered = one.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("k", "accessionNumber", "filingDate", "form", "primaryDocument", "items"))).alias("f"))  # one customer's filings are one document
+    recent = F.struct(*[F.col(f"f.{n}").alias(n) for n in ("accessionNumber", "filingDate", "form", "primaryDocument", "items")])  # parallel arrays
+    ticker = F.concat(F.lit("t"), F.col("c").cast("string"))
+    docs = ordered.select(F.col("c").alias("o_custkey"), F.struct(F.col("c").cast("string").alias("cik"), F.array(ticker).alias("tickers"), F.struct(recent.alias("recent")).alias("filings")).alias("doc"))
+    docs.groupBy(part).agg(F.to_json(F.collect_list("doc")).alias("value")).write.partitionBy("part").text(path)
+    keys = one.select(F.col("c").alias("o_custkey")).distinct().filter("o_custkey % 4 <> 0")
+    entry = F.struct(c.cast("string"), F.struct((c + 7000).alias("cik_str"), F.concat(F.lit("t"), c.cast("string")).alias("ticker")))
+    keys.groupBy(part).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("value")).write.partitionBy("part").text(ciks)
+    return path, ciks
+
+
+@query(f"""with f as (select o_orderkey as k, o_custkey as c, 'T' || o_custkey as ticker, (['8-K', '10-Q', '4', '10-K', '6-K'])[o_orderkey % 5 + 1] as form, o_orderdate as dated, (['9.01', '3.03', '2.02'])[o_orderkey % 3 + 1] || ',' || (['5.02', '8.01'])[o_custkey % 2 + 1] as items from orders),
+first_ as (select * from f where form <> '4' qualify row_number() over (partition by c order by k) <= 10),
+l as (select *, list_filter(string_split(items, ','), lambda x: x in ({', '.join(f"'{k}'" for k in ITEM_TITLES)}))[1] as code from first_ where c % 4 <> 0 and k % 13 <> 0)
+select 'https://www.sec.gov/Archives/edgar/data/' || (c + 7000) || '/' || k || c || '/d' || k || '.htm' as url, date_trunc('day', dated)::timestamp as published_at, ticker, form as sec_form_type, replace(items, ',', '+') as sec_items,
+  case when form in ('10-Q', '10-K') then 'earnings' when form = '6-K' then 'other' when contains(items, '2.02') then 'earnings' when contains(items, '5.02') then 'executive_change' else 'other' end as event_type_hint,
+  form || ' ' || ticker || ' — ' || case form {' '.join(f"when '{k}' then '{v}'" for k, v in FORM_TITLES.items())} else case {' '.join(f"when code = '{k}' then '{v}'" for k, v in ITEM_TITLES.items())} else 'Current Report' end end as title from l""")
+def filing_items(spark: SparkSession, d: str) -> DataFrame:
+    """Orders landed as filings with a map of keys, and read back: the first ten of each ticker in the listed forms."""
+    path, ciks = _land_filings(spark, d)
+    rows = readers.read_filings(spark, path, readers.cik_lookup(spark, ciks))
+    return rows.select("url", "published_at", F.col("tickers")[0].alias("ticker"), "sec_form_type", F.array_join("sec_items", "+").alias("sec_items"), "event_type_hint", "title")
+
+
+@query("select 'T' || o_custkey as ticker, lpad((o_custkey + 7000)::varchar, 10, '0') as cik from orders where o_custkey % 4 <> 0 group by o_custkey")
+def cik_keys(spark: SparkSession, d: str) -> DataFrame:
+    return readers.cik_lookup(spark, _land_filings(spark, d)[1])
+
+
+@query(with_views("articles", f""", rss as ({_RSS_SQL})
+select 'feed' as source, 'ok' as status, count(*) as items_seen, count(*) as items_new, false as failed from rss
+union all select 'gone', 'error', 0, 0, true union all select 'news', 'ok', count(*), count(*), false from articles where id % 17 <> 0"""))
+def connector_runs(spark: SparkSession, d: str) -> DataFrame:
+    """A run of ingest over three connectors, of which one can't be read."""
+    shipped = [connectors.rss("feed", _land_rss(spark, d), "EN"), connectors.news_json("gone", scratch_path(spark, "nowhere")), connectors.news_json("news", _land_news(spark, d), "EN")]
+    src = staged(connectors.source_table(spark, shipped), "sources")
+    raw, errors = connectors.fetched(spark, shipped, ARTICLES_AS_OF)
+    runs = ingest(raw, spark.createDataFrame([], schemas.ARTICLES), src, ARTICLES_AS_OF, errors=errors)[1].join(src.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id")
+    return runs.select("source", "status", "items_seen", "items_new", F.col("error").isNotNull().alias("failed"))
+
+
 # ---- requests and responses ----
 
 
@@ -718,17 +867,17 @@ def quarantine_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _decisions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").filter("doc_id % 3 = 0").select((F.col("doc_id") * 2).alias("article_id"), F.when(F.col("doc_id") % 2 == 0, "release").otherwise("confirm").alias("decision"))
+    return table(spark, d, "documents").select((F.col("doc_id") * 2).alias("article_id"), F.when(F.col("doc_id") % 2 == 0, "release").otherwise("confirm").alias("decision"))
 
 
 @query(with_views("articles", """
-select a.id, case when a.status = 'quarantined' and a.id % 12 = 0 then 'active' else a.status end as status from articles a"""))
+select a.id, case when a.status = 'quarantined' and a.id % 4 = 0 then 'active' else a.status end as status from articles a"""))
 def reviewed_articles(spark: SparkSession, d: str) -> DataFrame:
     return feed.apply_review(A.articles(spark, d), _decisions(spark, d))[0].select("id", "status")
 
 
 @query("""
-with x as (select doc_id * 2 as article_id, case when doc_id % 2 = 0 then 'release' else 'confirm' end as decision from documents where doc_id % 3 = 0)
+with x as (select doc_id * 2 as article_id, case when doc_id % 2 = 0 then 'release' else 'confirm' end as decision from documents)
 select article_id, decision, case when d.doc_id is null then 'unknown article' else 'not quarantined' end as problem from x left join documents d on d.doc_id = article_id where d.doc_id is null or (decision = 'release' and article_id % 17 <> 0)""")
 def rejected_reviews(spark: SparkSession, d: str) -> DataFrame:
     return feed.apply_review(A.articles(spark, d), _decisions(spark, d))[1]
