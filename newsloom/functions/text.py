@@ -16,6 +16,8 @@ BIDI = "‎‏‪‫‬‭‮⁦⁧⁨⁩"
 #: Typographic quotes and dashes and their plain forms.
 QUOTES = ("‘’‚‛“”„‟«»‹›", "''''\"\"\"\"\"\"''")
 DASHES = ("–—―‒", "----")
+#: Characters that a normalised text doesn't hold.
+UNSEEN = "\u00ad\u200b\u200c\u200d\ufeff"
 #: Words in capitals that aren't tickers.
 COMMON_WORDS = ["Q1", "Q2", "Q3", "Q4", "EPS", "CEO", "CFO", "COO", "CTO", "AI", "ML", "IPO", "M&A", "US", "EU", "UK", "ECB", "FED", "GDP", "CPI", "PPI", "USD", "EUR"]
 #: Advice that no fact may give, in order of precedence.
@@ -106,7 +108,7 @@ def strip_tags(html: Column) -> Column:
 def normalize_text(s: Column) -> Column:
     """Plain quotes and dashes, NFKC, no soft hyphens or zero-width characters, single spaces."""
     plain = F.translate(F.translate(s, *QUOTES), *DASHES)
-    return collapsed(F.translate(nfkc(plain), "­​‌‍﻿", ""))
+    return collapsed(F.translate(nfkc(plain), UNSEEN, ""))
 
 
 def tokenize(text: Column) -> Column:

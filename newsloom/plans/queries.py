@@ -197,18 +197,18 @@ def same_event_requests(spark: SparkSession, d: str) -> DataFrame:
     return r.select("a", "b", F.md5("user_msg").alias("message"))
 
 
-@query(with_views("clusters members", f""", c as (
+@query(with_views("clusters members articles", f""", c as (
   select id, primary_ticker, first_seen_at from clusters where id in (select cluster_id from members where needs_llm_check) and first_seen_at >= {ORDERS_TS} - to_hours(2400)),
 yes as (select a.id as a, b.id as b from c a join c b on a.primary_ticker = b.primary_ticker and (a.first_seen_at, a.id) < (b.first_seen_at, b.id) where a.id % 3 = b.id % 3),
 firsts as (select b as node, arg_min(c.id, (c.first_seen_at, c.id)) as keep from yes join c on c.id = yes.a group by b),
 moved as (select distinct coalesce(keep, cluster_id) as cluster_id, article_id from members left join firsts on node = cluster_id),
-grown as (select m.cluster_id, count(*) as n from moved m where m.cluster_id in (select keep from firsts) and m.article_id in (select doc_id from documents) group by 1)
-select c.id, coalesce(grown.n, c.article_count) as article_count, c.first_seen_at from clusters c left join grown on grown.cluster_id = c.id where c.id not in (select node from firsts)"""))
+grown as (select m.cluster_id, count(*) as n, count(distinct a.publisher) as n_publishers, max(a.published_at) as seen from moved m join articles a on a.id = m.article_id where m.cluster_id in (select keep from firsts) group by 1)
+select c.id, coalesce(grown.n, c.article_count) as article_count, coalesce(grown.n_publishers, c.publisher_count) as publisher_count, c.first_seen_at, coalesce(grown.seen, c.last_seen_at) as last_seen_at from clusters c left join grown on grown.cluster_id = c.id where c.id not in (select node from firsts)"""))
 def merged_clusters(spark: SparkSession, d: str) -> DataFrame:
     c, m = A.story_clusters(spark, d), A.cluster_members(spark, d)
     pairs = C.border_pairs(c, m, ORDERS_AS_OF, 2400)
     verdicts = pairs.select("a", "b", (F.col("a") % 3 == F.col("b") % 3).alias("same_event"), F.lit(0.8).alias("confidence"))
-    return C.merge_clusters(c, m, A.articles(spark, d), verdicts)[0].select("id", "article_count", "first_seen_at")
+    return C.merge_clusters(c, m, A.articles(spark, d), verdicts)[0].select("id", "article_count", "publisher_count", "first_seen_at", "last_seen_at")
 
 
 # ---- corroboration ----
@@ -695,11 +695,14 @@ def classify_requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_views("clusters members articles stories", """, todo as (
-  select c.id from clusters c left join stories s on s.cluster_id = c.id where visible and (s.id is null or s.created_at < c.last_seen_at))
-select distinct m.cluster_id from members m join todo on todo.id = m.cluster_id join articles a on a.id = m.article_id where a.status <> 'quarantined'"""))
+  select c.id from clusters c left join stories s on s.cluster_id = c.id where visible and (s.id is null or s.created_at < c.last_seen_at)),
+top as (select m.cluster_id, a.*, row_number() over (partition by m.cluster_id order by a.published_at desc, a.id) as turn from members m join todo on todo.id = m.cluster_id join articles a on a.id = m.article_id where a.status <> 'quarantined'),
+blocks as (select *, substr(sha256('run' || id), 1, 16) as nonce from top where turn <= 10)
+select b.cluster_id, md5('Summarise cluster ' || b.cluster_id || ' (primary ticker: ' || primary_ticker || ').' || chr(10) || chr(10) || string_agg('<article id="' || b.id || '" publisher="' || coalesce(publisher, 'unknown') || '" published_at="' || strftime(b.published_at, '%Y-%m-%d') || '" nonce="' || nonce || '">' || chr(10) || summary_raw || chr(10) || '</article nonce="' || nonce || '">', chr(10) || chr(10) order by turn)) as message
+from blocks b join clusters c on c.id = b.cluster_id group by b.cluster_id, primary_ticker"""))
 def summarize_requests(spark: SparkSession, d: str) -> DataFrame:
     r = stories.summarize_requests(A.story_clusters(spark, d), A.cluster_members(spark, d), A.articles(spark, d), A.stories(spark, d))
-    return r.select("cluster_id")
+    return r.select("cluster_id", F.md5("user_msg").alias("message"))
 
 
 def _summaries(spark: SparkSession, d: str) -> DataFrame:
@@ -731,16 +734,23 @@ def rejected_summaries(spark: SparkSession, d: str) -> DataFrame:
     return stories.apply_summaries(A.story_clusters(spark, d), A.cluster_members(spark, d), A.articles(spark, d), _summaries(spark, d), ORDERS_AS_OF)[3]
 
 
-@query(with_views("clusters stories facts", """
-select s.cluster_id, 1 as version_num, s.id as story_id, (select count(*) from facts f where f.story_id = s.id) as n_facts
+@query(with_views("clusters stories facts evidence", """, quoted as (select fact_id, string_agg(quote_en || '@' || article_id, ',' order by id) as said from evidence group by fact_id)
+select s.cluster_id, case when s.cluster_id % 2 = 0 then s.cluster_id % 3 + 2 else 1 end as version_num, s.id as story_id, title_bg, verification_status,
+  (select string_agg(f.text_bg || '=' || coalesce(said, ''), ';' order by f.fact_order, f.text_bg) from facts f left join quoted on quoted.fact_id = f.id where f.story_id = s.id) as facts, (select count(*) from facts f where f.story_id = s.id) as n_facts
 from stories s join clusters c on c.id = s.cluster_id where s.created_at < c.last_seen_at"""))
 def story_versions(spark: SparkSession, d: str) -> DataFrame:
     s = A.stories(spark, d)
     none = spark.createDataFrame([], "cluster_id long, version_num long, replaced_at timestamp_ntz, reason string, snapshot_json string, model_version string, prompt_version string")
+    c = F.col("id")
+    earlier = A.story_clusters(spark, d).filter("id % 2 = 0").select(c.alias("cluster_id"), F.explode(F.sequence(F.lit(1).cast("long"), c % 3 + 1)).alias("version_num"))
+    none = none.unionByName(earlier, allowMissingColumns=True)
     stale = stories.stale_stories(A.story_clusters(spark, d), s)
-    v = stories.archive_stories(s, A.story_facts(spark, d), A.fact_evidence(spark, d), stale, none, ORDERS_AS_OF)[0]
+    v = stories.archive_stories(s, A.story_facts(spark, d), A.fact_evidence(spark, d), stale, none, ORDERS_AS_OF)[0].filter("snapshot_json is not null")
+    told = F.from_json(F.get_json_object("snapshot_json", "$.facts"), "array<struct<text_bg: string, quotes: array<struct<quote_en: string, article_id: long>>>>")
+    cited = lambda f: F.array_join(F.transform(f["quotes"], lambda q: F.concat_ws("@", q["quote_en"], q["article_id"].cast("string"))), ",")
+    said = F.array_join(F.transform(told, lambda f: F.concat_ws("=", f["text_bg"], cited(f))), ";")
     n = F.coalesce(F.json_array_length(F.get_json_object("snapshot_json", "$.facts")), F.lit(0))
-    return v.select("cluster_id", "version_num", F.get_json_object("snapshot_json", "$.story_id").cast("long").alias("story_id"), n.cast("long").alias("n_facts"))
+    return v.select("cluster_id", "version_num", F.get_json_object("snapshot_json", "$.story_id").cast("long").alias("story_id"), F.get_json_object("snapshot_json", "$.title_bg").alias("title_bg"), F.get_json_object("snapshot_json", "$.verification_status").alias("verification_status"), said.alias("facts"), n.cast("long").alias("n_facts"))
 
 
 # ---- verification ----
@@ -816,7 +826,8 @@ def story_status(spark: SparkSession, d: str) -> DataFrame:
 # ---- read models ----
 
 _FEED_SQL = f"""
-select s.id, c.last_seen_at, (select count(*) from members m join articles a on a.id = m.article_id where m.cluster_id = s.cluster_id and a.status = 'active') as n_links
+select s.id, c.last_seen_at, (select count(*) from members m join articles a on a.id = m.article_id where m.cluster_id = s.cluster_id and a.status = 'active') as n_links,
+  (select coalesce(string_agg(a.id || ' ' || a.title || ' ' || a.url || ' ' || coalesce(a.publisher, '-'), chr(10) order by a.id), '') from members m join articles a on a.id = m.article_id where m.cluster_id = s.cluster_id and a.status = 'active') as links
 from stories s join clusters c on c.id = s.cluster_id
 where c.last_seen_at >= {ORDERS_TS} - to_hours(168) and visible and is_main_subject is not false and not s.is_opinion"""
 
@@ -824,7 +835,8 @@ where c.last_seen_at >= {ORDERS_TS} - to_hours(168) and visible and is_main_subj
 @query(with_views("stories clusters members articles", _FEED_SQL))
 def story_feed(spark: SparkSession, d: str) -> DataFrame:
     f = feed.story_feed(A.stories(spark, d), A.story_clusters(spark, d), A.cluster_members(spark, d), A.articles(spark, d), ORDERS_AS_OF, 168)
-    return f.select("id", "last_seen_at", F.coalesce(F.size("links"), F.lit(0)).cast("long").alias("n_links"))
+    said = F.array_join(F.transform("links", lambda x: F.concat_ws(" ", x["article_id"].cast("string"), x["title"], x["url"], F.coalesce(x["publisher"], F.lit("-")))), "\n")
+    return f.select("id", "last_seen_at", F.coalesce(F.size("links"), F.lit(0)).cast("long").alias("n_links"), F.coalesce(said, F.lit("")).alias("links"))
 
 
 @query(with_views("stories clusters", f"""
@@ -835,13 +847,16 @@ def story_cards(spark: SparkSession, d: str) -> DataFrame:
     return feed.story_display(f).select("id", "title_bg")
 
 
-@query(with_views("stories clusters facts", """
-select s.id, c.last_seen_at, string_agg(f.id || ':' || f.verification_status, ',' order by fact_order, f.id) as facts from stories s join clusters c on c.id = s.cluster_id left join facts f on f.story_id = s.id group by s.id, c.last_seen_at"""))
+@query(with_views("stories clusters facts evidence articles", """, shown as (
+  select fact_id, string_agg(e.quote_en || '@' || a.id || '@' || a.url, ',' order by e.id) as cited from evidence e join articles a on a.id = e.article_id group by fact_id)
+select s.id, c.last_seen_at, string_agg(f.id || ':' || f.verification_status, ',' order by fact_order, f.id) as facts, string_agg(coalesce(shown.cited, '-'), ';' order by fact_order, f.id) filter (f.id is not null) as cited from stories s join clusters c on c.id = s.cluster_id left join facts f on f.story_id = s.id left join shown on shown.fact_id = f.id group by s.id, c.last_seen_at"""))
 def story_detail(spark: SparkSession, d: str) -> DataFrame:
     s, c = A.stories(spark, d), A.story_clusters(spark, d).select(F.col("id").alias("cluster_id"), "last_seen_at")
     out = feed.story_detail(s.join(c, "cluster_id"), A.story_facts(spark, d), A.fact_evidence(spark, d), A.articles(spark, d))
     said = F.array_join(F.transform("facts", lambda f: F.concat_ws(":", f["fact_id"].cast("string"), f["verification_status"])), ",")
-    return out.select("id", "last_seen_at", said.alias("facts"))
+    quotes = lambda f: F.array_join(F.transform(f["evidence"], lambda e: F.concat_ws("@", e["quote_en"], e["article_id"].cast("string"), e["url"])), ",")
+    cited = F.array_join(F.transform("facts", lambda f: F.coalesce(quotes(f), F.lit("-"))), ";")
+    return out.select("id", "last_seen_at", said.alias("facts"), cited.alias("cited"))
 
 
 @query(with_views("articles", f"select id, published_at, status from articles where published_at >= {ARTICLES_TS} - to_hours(72) and list_contains(tickers, 'EN')"))
