@@ -146,3 +146,14 @@ s as (select item_id, rid, sum(df.w * ((1000000000 * tf) // (1000 * tf + 8 * (10
 select item_id, (row_number() over (partition by item_id order by score desc, doc_id nulls last))::int as rank, doc_id, score from s join sized using (rid) where score > 0
 qualify row_number() over (partition by item_id order by score desc, doc_id nulls last) <= 10
 """
+
+#: All pairs of a query and a candidate. The search is approximate; it gives these rows where it misses none, as it should on a table of one shard.
+NEAREST = """
+with v as (select distinct vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
+  where len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+q as (select vec_id as query_id, min(v) as q from v where vec_id % 100 = 0 group by vec_id),
+pairs as (select distinct query_id, vec_id, sqrt(list_reduce(list_transform(range(1, len(q) + 1), lambda i: (v[i] - q[i]) * (v[i] - q[i])), lambda a, x: a + x)) as score
+  from q join v on len(q) = len(v) and vec_id is distinct from query_id),
+ranked as (select *, row_number() over (partition by query_id order by score, vec_id nulls last) as rank from pairs)
+select query_id, rank::int as rank, vec_id, score from ranked where rank <= 10
+"""

@@ -122,6 +122,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": OP4_SQL,
     "op6_jaccard_join": contract_sql.JACCARD_JOIN,
     "op8_warc_revisits": warc.SQL,
+    "op11_nearest": contract_sql.NEAREST,
     "op12_resampling": contract_sql.RESAMPLING,
     "op13_ranked_search": contract_sql.RANKED_SEARCH,
     "secret_base_spans": contract_sql.SECRET_BASE,
