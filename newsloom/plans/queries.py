@@ -302,8 +302,8 @@ def page_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.sha2(strip_tags(F.col("html")), 256).alias("text_sha"))
 
 
-#: The pages hold no hidden elements, and three named characters.
-_SANITIZED_SQL = f"trim(regexp_replace(replace(replace(replace({strip_tags_sql('html')}, '&amp;', '&'), '&copy;', '©'), '&middot;', '·'), '\\s+', ' ', 'g'))"
+#: The pages hold no hidden elements, and four named characters, of which the ampersand comes last.
+_SANITIZED_SQL = f"trim(regexp_replace(replace(replace(replace(replace({strip_tags_sql('html')}, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g'))"
 
 
 @query(f"select page_id, {_SANITIZED_SQL} as clean_text from pages")
