@@ -72,16 +72,15 @@ def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids(batch, "item")[grid.wdoc[at]]), longs(k1[at]), longs(k2[at])], ["item", "k1", "k2"])
 
 
-def item_blocks(items: DataFrame, block_terms: int) -> tuple[DataFrame, int]:
-    """(item, k1, k2, block), staged, and the number of blocks."""
+def item_blocks(items: DataFrame, block_terms: int) -> tuple[DataFrame, list[int]]:
+    """(item, k1, k2, block), staged, and the blocks that hold any (an item of many terms leaves a gap after it)."""
     slim = items.select(ordered_id("item_id").alias("item"), F.col("text").cast("string").alias("text"))
     terms = staged(slim.mapInArrow(_item_terms, "item long, k1 long, k2 long").distinct(), "item-terms")
     sizes = terms.groupBy("item").agg(F.count("*").alias("n"))
     upto = running_total(ranged(sizes, [F.col("item")]), [F.col("item")], F.col("n"), "upto", [])
     placed = upto.select("item", F.expr(f"cast(upto div {block_terms} as int)").alias("block"))
     out = staged(terms.join(placed, "item"), "item-blocks")
-    last = out.agg(F.max("block")).first()[0]
-    return out, 0 if last is None else last + 1
+    return out, sorted(r.block for r in out.select("block").distinct().collect())
 
 
 def block_index(rows: DataFrame) -> tuple[Index, np.ndarray]:
@@ -208,9 +207,9 @@ def ranked(docs: DataFrame, items: DataFrame, most: int = 10, block_terms: int =
     spark = docs.sparkSession
     ship(spark)
     slim = docs.select(ordered_id().alias("doc"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    terms, n_blocks = item_blocks(items, block_terms)
+    terms, held = item_blocks(items, block_terms)
     found = [spark.createDataFrame([], "item long, score long, doc long")]
-    for b in range(n_blocks):
+    for b in held:
         index, item_ids = block_index(terms.filter(F.col("block") == b))
         shared = spark.sparkContext.broadcast(index)
         best = slim.mapInArrow(_best(shared, item_ids, term_weights(slim, shared), most), "item long, score long, doc long")
