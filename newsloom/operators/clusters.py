@@ -66,7 +66,8 @@ def comparable(articles: DataFrame, members: DataFrame, as_of: datetime, hours:
     free = unassigned(articles, members).filter(F.col("published_at") >= since(as_of, hours))
     tickers = F.when(F.size("tickers") > 0, F.array_distinct("tickers")).otherwise(F.array(F.lit(MACRO)))
     sets = free.select("id", F.explode(tickers).alias("ticker"), token_set().alias("tokens")).withColumn("n", F.size("tokens"))
-    return staged(sets.filter("n > 0").select("ticker", "id", "tokens", "n"), "near-sets")
+    # Filtered once written: a filter before that would find every text's tokens twice.
+    return staged(sets.select("ticker", "id", "tokens", "n"), "near-sets").filter("n > 0")
 
 
 def near_dup_edges(articles: DataFrame, members: DataFrame, as_of: datetime, hours: float = 48, lower: float = 0.5) -> DataFrame:
