@@ -23,8 +23,11 @@ result names each document's group: the smallest doc_id that links reach.
 6. A large shingle whose rows all reached their leader's component is settled, as it needs no more
    links. The rows of others meet in tiles of two chunks whose size bands are compatible. Of the pairs
    of different components that a tile's bitmaps can't rule out, a cheapest spanning forest is verified,
-   not all of them. Where a pair of the forest doesn't link, the nearest sixteen pairs of each two
-   components follow, and then all that are left.
+   not all of them.
+7. Where a pair of the forest doesn't link, others may. All of these lie inside what the forests connect;
+   each node of such a group comes once, with its sorted array, to tiles of the group. A tile verifies its
+   pairs itself, nearest first, passes over those that its links connect, and returns links only: fewer
+   than it has nodes.
 
 A pair that isn't verified shares no prefix shingle, differs in too many bits, or is in one component
 anyway: no link between different components is lost. Names of shingles and sets are 64-bit hashes.
@@ -45,8 +48,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.bytegrid import NO_ID, Grid, blocks, ids, inside, longs, mix, span_sums, window_hashes
-from newsloom.operators.components import components
 from newsloom.llm.rows import ordered_id, row_key, shown_id, slim, small_side, whole
+from newsloom.operators.components import components
+from newsloom.operators.ordered import ranged, running_total
 from newsloom.session import staged, unstaged
 
 #: Most shingles whose frequency the global order knows. Any number gives the same result.
@@ -55,6 +59,8 @@ MAX_FREQUENT = 1 << 16
 LOCAL_FREQUENT, CHUNK = 8, 1 << 22
 #: Most nodes of a shingle whose pairs are listed without bitmaps, and of one side of a tile.
 SMALL, TILE = 16, 1024
+#: About so many elements of one side of a tile whose sets come along.
+ELEMENTS = 1 << 20
 #: Candidate pairs that a task gathers before it drops repeated ones.
 GATHER = 1 << 19
 
@@ -305,20 +311,29 @@ def bounded(pairs: DataFrame, nodes_: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "bitsa", "bitsb", "doca", "rowa", "docb", "rowb").mapInArrow(_bounded(percent), PLACED)
 
 
+def arrays(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Each text's set as a sorted array."""
+    out: list[np.ndarray] = []
+    at, held = 0, 0
+    for i in range(len(texts) + 1):
+        if i == len(texts) or held and held + len(texts[i]) > 1 << 20:
+            _, s, n = shingle_sets(Grid(texts[at:i]).words(), size)
+            out += np.split(s, np.cumsum(n)[:-1])
+            at, held = i, 0
+        held += len(texts[i]) if i < len(texts) else 0
+    return out
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
 def _verify(size: int, percent: int):
     """(a, b, texts of both) -> the linked (a, b)."""
 
-    def arrays(texts: list[bytes]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        at, held = 0, 0
-        for i in range(len(texts) + 1):
-            if i == len(texts) or held and held + len(texts[i]) > 1 << 20:
-                _, s, n = shingle_sets(Grid(texts[at:i]).words(), size)
-                out += np.split(s, np.cumsum(n)[:-1])
-                at, held = i, 0
-            held += len(texts[i]) if i < len(texts) else 0
-        return out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -326,14 +341,11 @@ def _verify(size: int, percent: int):
             sides = []
             for k in (2, 3):  # a text that meets many others comes to one array
                 texts = batch.column(k).cast(pa.binary()).dictionary_encode()
-                made = arrays(texts.dictionary.to_pylist())
+                made = arrays(texts.dictionary.to_pylist(), size)
                 sides.append([made[i] for i in texts.indices.to_pylist()])
             ok = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(*sides, strict=True)):
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                ok[i] = 100 * common >= percent * (len(both) - common)
+                ok[i] = linked(x, y, percent)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], ["a", "b"])
 
     return run
@@ -409,7 +421,7 @@ def _forest(u: np.ndarray, v: np.ndarray, cost: np.ndarray, comp: np.ndarray) ->
 
 
 class Tile:
-    """Rows (key, tile, node, n, component, bits, right) of one tile; one of a single chunk has left rows only."""
+    """Rows (key, tile, node, n, component, bits, right[, shingles]) of one tile; one of a single chunk has left rows only."""
 
     def __init__(self, rows: list[pa.RecordBatch]):
         batch = rows[0] if len(rows) == 1 else pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
@@ -419,6 +431,7 @@ class Tile:
         self.at = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
         self.raw = np.frombuffer(bits.buffers()[2] or b"", np.uint8)
         self.words = np.diff(self.at) // 8
+        self.sets = batch.column(7) if batch.num_columns > 7 else None
         self.left, self.right = np.flatnonzero(~right), np.flatnonzero(right)
 
     def bits(self, rows: np.ndarray, words: int) -> np.ndarray:
@@ -454,26 +467,38 @@ class Tile:
                         found.append(np.stack([m[u[near]], other[v[near]], differ[near]], axis=1))
         return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
 
-    def chosen(self, percent: int, most: int) -> np.ndarray:
-        """Node pairs of a spanning forest (most 0), up to `most`, nearest first, of each two components, or all (most < 0)."""
+    def forest(self, percent: int) -> np.ndarray:
+        """Node pairs of a cheapest spanning forest over the components."""
+        p = self.pairs(percent)
+        if len(p):
+            p = p[_forest(p[:, 0], p[:, 1], p[:, 2], self.comp)]
+        return np.sort(np.stack([self.node[p[:, 0]], self.node[p[:, 1]]], axis=1), axis=1)
+
+    def links(self, percent: int) -> np.ndarray:
+        """Node pairs that link, enough of them to connect what any pair of the tile connects."""
         p = self.pairs(percent)
-        u, v = p[:, 0], p[:, 1]
-        if len(p) and most == 0:
-            at = _forest(u, v, p[:, 2], self.comp)
-            u, v = u[at], v[at]
-        elif len(p) and most > 0:
-            p = p[np.argsort(p[:, 2], kind="stable")]
-            ends = np.sort(np.stack([self.comp[p[:, 0]], self.comp[p[:, 1]]], axis=1), axis=1).view(np.uint64)
-            name = mix(ends[:, 0], 1) * np.uint64(3) + mix(ends[:, 1], 2)
-            order = np.argsort(name, kind="stable")
-            head = np.flatnonzero(np.concatenate([[True], name[order][1:] != name[order][:-1]]))
-            place = np.arange(len(order)) - np.repeat(head, np.diff(np.append(head, len(order))))
-            u, v = p[order[place < most], 0], p[order[place < most], 1]
-        return np.sort(np.stack([self.node[u], self.node[v]], axis=1), axis=1)
-
-
-def _tile_pairs(percent: int, most: int):
-    """Rows sorted by key and tile -> (key, a, b): the pairs chosen from each tile. A tile is bounded."""
+        p = p[np.argsort(p[:, 2], kind="stable")]
+        root = {c: c for c in self.comp.tolist()}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        set_of = lambda i: np.frombuffer(self.sets[i].as_buffer(), np.uint64)
+        good = []
+        for u, v in p[:, :2].tolist():
+            x, y = find(int(self.comp[u])), find(int(self.comp[v]))
+            if x != y and linked(set_of(u), set_of(v), percent):
+                root[x] = y
+                good.append((u, v))
+        at = np.array(good, np.int64).reshape(-1, 2)
+        return np.sort(np.stack([self.node[at[:, 0]], self.node[at[:, 1]]], axis=1), axis=1)
+
+
+def _tile_pairs(percent: int):
+    """Rows sorted by key and tile -> (key, a, b): a forest of each tile, or its links where rows hold sets. A tile is bounded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: list[pa.RecordBatch] = []
@@ -484,7 +509,7 @@ def _tile_pairs(percent: int, most: int):
             for rows in tiles_:
                 if sum(r.num_rows for r in rows) > 1:
                     t = Tile(rows)
-                    got = t.chosen(percent, most)
+                    got = t.forest(percent) if t.sets is None else t.links(percent)
                     keys.append(np.full(len(got), t.key, np.int64))
                     pairs.append(got)
             if keys:
@@ -511,20 +536,56 @@ def _tile_pairs(percent: int, most: int):
     return run
 
 
-def tiles(rows: DataFrame, nodes_: DataFrame, known: DataFrame, percent: int, most: int) -> DataFrame:
-    """(key, a, b): pairs of different components that may link, from rows (key, chunk, node, n) of large shingles."""
+def tiles(rows: DataFrame, nodes_: DataFrame, known: DataFrame, percent: int, sets: DataFrame | None = None) -> DataFrame:
+    """(key, a, b): pairs of different components from rows (key, chunk, node, n) of large shingles or groups: some that may
+    link, or with `sets` (node, shingles) some that do, which connect all that any pair of a tile connects."""
     spread = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     full = rows.withColumn("last", F.max("chunk").over(Window.partitionBy("key")))
     full = full.join(nodes_.select("node", "bits"), "node").join(known.withColumnRenamed("root", "component"), "node", "left")
     full = full.select("key", "chunk", "node", "n", F.coalesce("component", "node").alias("component"), "bits", "last")
-    one_tile = full.filter("last = 0").select("key", F.lit(0).cast("long").alias("tile"), "node", "n", "component", "bits", F.lit(False).alias("right"))
+    held = []
+    if sets is not None:
+        full, held = full.join(sets, "node"), ["shingles"]
+    one_tile = full.filter("last = 0").select("key", F.lit(0).cast("long").alias("tile"), "node", "n", "component", "bits", F.lit(False).alias("right"), *held)
     bands = rows.groupBy("key", "chunk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     one = bands.select("key", F.col("chunk").alias("c1"), F.col("hi").alias("hi1"))
     two = bands.select("key", F.col("chunk").alias("c2"), F.col("lo").alias("lo2"))
     met = one.join(two, "key").filter((F.col("c1") <= F.col("c2")) & (100 * F.col("hi1") >= percent * F.col("lo2"))).select("key", "c1", "c2")
     cut = full.filter("last > 0")
-    sides = [cut.join(met.filter("c1 < c2" if right else "true"), (cut["key"] == met["key"]) & (cut["chunk"] == met["c2" if right else "c1"])).select(cut["key"], F.xxhash64("c1", "c2").alias("tile"), "node", "n", "component", "bits", F.lit(right).alias("right")) for right in (False, True)]
-    return one_tile.unionByName(sides[0]).unionByName(sides[1]).repartition(spread, "key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_tile_pairs(percent, most), "key long, a long, b long")
+    sides = [cut.join(met.filter("c1 < c2" if right else "true"), (cut["key"] == met["key"]) & (cut["chunk"] == met["c2" if right else "c1"])).select(cut["key"], F.xxhash64("c1", "c2").alias("tile"), "node", "n", "component", "bits", F.lit(right).alias("right"), *held) for right in (False, True)]
+    return one_tile.unionByName(sides[0]).unionByName(sides[1]).repartition(spread, "key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_tile_pairs(percent), "key long, a long, b long")
+
+
+def _shingles(size: int):
+    """(node, text) -> (node, shingles): the sorted array as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = arrays(batch.column(1).cast(pa.binary()).to_pylist(), size) if batch.num_rows else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+
+    return run
+
+
+def links_between(open_: DataFrame, large: DataFrame, nodes_: DataFrame, roots: DataFrame, rows: DataFrame, size: int, percent: int, tile: int) -> DataFrame:
+    """(a, b), staged: links that connect all that is still to be connected among the nodes of `large` (node, n); pairs `open_`
+    (a, b) span what may link, but don't link themselves."""
+    root_of = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+    ends = open_.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    groups = components(ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+    inside = large.select("node", "n").distinct().join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
+    inside = inside.join(groups.select(F.col("node").alias("component"), F.col("root").alias("key")), "component").select("key", "node", "n")
+    order = [F.col("key"), F.col("n"), F.col("node")]
+    width = F.greatest("n", F.lit(ELEMENTS // tile)).cast("long")
+    placed = running_total(ranged(inside, order), order[1:], width, "place", ["key"])
+    placed = staged(placed.select("key", F.expr(f"place div {ELEMENTS}").alias("chunk"), "node", "n"), "inside")
+    at = nodes_.join(placed.select("node").distinct(), "node", "left_semi").select("node", F.col("doc").alias("doc_id"), "row_key")
+    at = staged(at, "held")
+    texts = rows.select("doc_id", "row_key", "text").join(small_side(at, 1 << 18), ["doc_id", "row_key"]).dropDuplicates(["node"])
+    sets = staged(texts.select("node", "text").mapInArrow(_shingles(size), "node long, shingles binary"), "sets")
+    good = staged(tiles(placed, nodes_, roots, percent, sets).select("a", "b"), "links")
+    unstaged(placed, at, sets)
+    return good
 
 
 def grouped(docs: DataFrame, size: int = 5, percent: int = 75, small: int = SMALL, tile: int = TILE) -> DataFrame:
@@ -547,28 +608,22 @@ def grouped(docs: DataFrame, size: int = 5, percent: int = 75, small: int = SMAL
     large = shared.filter("large")
     roots = connected(near, rows, size, percent)
 
-    tried = near.select("a", "b")
-    # A forest connects what can be connected with one pair for each node of a tile. Only where one of its
-    # pairs turns out not to link, others may still, and the last two rounds look at these.
-    for step, most in enumerate((0, 16, -1)):
-        open_ = staged(apart(large.filter("a <> b").select("a", "b").distinct(), roots), "apart")
-        if open_.isEmpty():
-            break
+    open_ = staged(apart(large.filter("a <> b").select("a", "b").distinct(), roots), "apart")
+    if not open_.isEmpty():
         keys = large.join(open_, ["a", "b"]).select("key").distinct()
-        if step:
-            # A shingle that gave no pair a round ago has none: bitmaps stay, and components only grow.
-            keys = keys.join(found.select("key").distinct(), "key", "left_semi")
-        left = large.join(keys, "key", "left_semi").select("key", "chunk", F.col("b").alias("node"), "n")
-        found = staged(tiles(staged(left, "large"), nodes_, roots, percent, most), "found")
-        asked = staged(found.select("a", "b").distinct(), "asked")
-        more = staged(bounded(asked.join(tried, ["a", "b"], "left_anti"), nodes_, percent), "near")
+        left = staged(large.join(keys, "key", "left_semi").select("key", "chunk", F.col("b").alias("node"), "n"), "large")
+        asked = staged(tiles(left, nodes_, roots, percent).select("a", "b").distinct(), "asked")
+        more = staged(bounded(asked.join(near.select("a", "b"), ["a", "b"], "left_anti"), nodes_, percent), "near")
         good = verified(more, rows, size, percent)
-        tried = tried.unionByName(more.select("a", "b"))
-        n_found, n_good = asked.count(), good.count()
-        if n_good:
+        if not good.isEmpty():
             roots = components(as_edges(roots).unionByName(good))
-        if n_good == n_found:
-            break  # every pair of a whole forest links, so its components are the components
+        # A forest connects what can be connected with one pair for each node of a tile. Only where one of its
+        # pairs turns out not to link, others may still.
+        open_ = staged(apart(asked, roots), "apart")
+        if not open_.isEmpty():
+            good = links_between(open_, left, nodes_, roots, rows, size, percent, tile)
+            if not good.isEmpty():
+                roots = components(as_edges(roots).unionByName(good))
     both = members.join(roots, "node", "left")
     return both.select("doc", "row_key", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
 

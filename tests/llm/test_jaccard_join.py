@@ -89,6 +89,32 @@ def test_all_shingles_large(spark):
     assert sorted(got) == sorted(brute(rows, 5, 75))
 
 
+def test_a_tile_returns_fewer_links_than_nodes(spark, monkeypatch):
+    """Forests whose pairs don't link: texts near each other but for the threshold, and pairs among them that reach it."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for d in range(90):
+        w = list(base)
+        for at in rng.sample(range(0, 60, 6), 1 + d % 3):
+            w[at] = f"e{d // 2}_{at}"
+        rows.append((d, " ".join(w)))
+    made = []
+    tiles = op.tiles
+
+    def counted(*args):
+        out = tiles(*args).localCheckpoint()
+        made.append((len(args) > 4 and args[4] is not None, out.count()))
+        return out
+
+    monkeypatch.setattr(op, "tiles", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in op.component_ids(df, small=2, tile=16).collect()]
+    assert sorted(got) == sorted(brute(rows, 5, 75))
+    exact = [n for sets, n in made if sets]
+    assert exact and max(exact) < 90 * 6
+
+
 def test_repeated_rows_leave_one(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (3, ""), (3, ""), (4, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
