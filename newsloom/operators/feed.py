@@ -160,7 +160,8 @@ def write_digest(digest: DataFrame, day: date, path: str, files: int = 1) -> Non
     Read in the order of names, they are the document. Written again, they replace what this day had, and no other day's.
     """
     lines = digest_lines(digest, day).repartitionByRange(files, "place").sortWithinPartitions("place")
-    lines.select("day", "value").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").text(path)
+    # Written to the day's own folder: partitionBy would sort the lines once more, by day alone, and a sort that spills mixes equal keys.
+    lines.select("value").write.mode("overwrite").text(f"{path}/day={day.isoformat()}")
 
 
 def digest_text(digest: DataFrame, day: date) -> DataFrame:
