@@ -8,13 +8,69 @@ each step are written to the shared folder.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.session import staged, unstaged
+from newsloom.session import ship, staged, unstaged
 
 
 EDGES_IN_TASK = 200_000
+#: Nodes that a task of `contracted` holds before it starts anew; any number gives the same components.
+HELD = 1 << 20
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) -> fewer of the same components: each node's edge to the root of what this task has seen connected."""
+    names, root = np.zeros(0, np.int64), np.zeros(0, np.int64)  # nodes in order, and the root of each
+
+    def told() -> pa.RecordBatch:
+        on = names != root
+        return pa.RecordBatch.from_arrays([pa.array(names[on]), pa.array(root[on])], ["a", "b"])
+
+    for batch in batches:
+        ends = np.stack([batch.column(i).to_numpy() for i in (0, 1)], axis=1)
+        every = np.unique(ends)
+        fresh = np.setdiff1d(every, names, assume_unique=True)
+        if len(fresh):
+            names, root = np.concatenate([names, fresh]), np.concatenate([root, fresh])
+            order = np.argsort(names)
+            names, root = names[order], root[order]
+        x, y = (root[np.searchsorted(names, ends[:, i])] for i in (0, 1))
+        apart = np.unique(np.stack([x, y], axis=1)[x != y], axis=0)
+        if len(apart):
+            up: dict[int, int] = {v: v for v in apart.ravel().tolist()}
+
+            def find(v: int) -> int:
+                while up[v] != v:
+                    up[v] = up[up[v]]
+                    v = up[v]
+                return v
+
+            for one, two in apart.tolist():
+                one, two = find(one), find(two)
+                up[max(one, two)] = min(one, two)
+            old = np.array(sorted(up), np.int64)
+            new = np.array([find(v) for v in old.tolist()], np.int64)
+            at = np.minimum(np.searchsorted(old, root), len(old) - 1)
+            root = np.where(old[at] == root, new[at], root)
+        if len(names) > HELD:
+            yield told()
+            names, root = names[:0], root[:0]
+    yield told()
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) of the same components, at most one for each node and task, made before anything is shuffled.
+
+    For edges that are many more than their nodes. A node without links to others is left out.
+    """
+    ship(edges.sparkSession)
+    both = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
+    return both.mapInArrow(_stars, "a long, b long")
 
 
 def _large_star(edges: DataFrame, k: int) -> DataFrame:
