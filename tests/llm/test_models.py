@@ -191,3 +191,20 @@ def test_samples_of_repeated_texts_are_bounded(spark):
     assert 1800 <= one[0] <= 2000 and len(set(one)) == 1
     assert distinct_sample(rows.limit(0), 10, "lang").count() == 0 and distinct_sample(copies, 10).count() == 1
     assert distinct_sample(copies.selectExpr("cast(null as string) as text", "cast(null as string) as lang"), 10, "lang").count() == 1
+
+
+def test_base_scores_need_no_byte_model(spark, monkeypatch):
+    words = ["sun", "Rain", "wind", "über", "x1"]
+    rows = [(i, " ".join(words[(i * k) % 5] + ("" if k % 3 else str(i * k)) for k in range(i % 12))) for i in range(60)] + [(7, "a"), (7, "a"), (80, None), (None, "sun")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 3)  # other words meet their counts in a join
+    told = lambda df: sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in df.collect())
+    want = told(lm_scoring.scored(docs))
+
+    def fitted(*args):
+        raise AssertionError("the base needs counts alone")
+
+    monkeypatch.setattr(lm_scoring, "_train_mixer", fitted)
+    monkeypatch.setattr(lm_scoring, "_first_counts", fitted)
+    assert told(lm_scoring.base_scored(docs)) == want
+    assert lm_scoring.base_scored(docs.limit(0)).count() == 0
