@@ -19,20 +19,25 @@ from newsloom.sources.ingest import prepared, upsert_articles
 
 #: A landed row, with the time it landed at; rows without one are taken to have landed at the run's time.
 LANDED = f"{schemas.RAW_ARTICLES}, landed_at timestamp_ntz"
+_MICROS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def _first_writer(keep_ms: int):
-    """Keeps, for each canonical URL, when its first row came; passes on that row and drops all others while the state lasts."""
+    """Keeps, for each canonical URL, when its first row came; passes on that row and drops all others while the state lasts.
+
+    It is called for every URL of a batch, so it is given and returns as few columns as it can: a row is one text.
+    """
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(parts)).sort_values(["landed_at", "arrival"])  # one URL's rows of one batch
+        met = [x for part in parts for x in zip(part["landed"].tolist(), part["arrival"].tolist(), part["row"].tolist(), strict=True)]  # one URL's rows of one batch
+        first = min(met, key=lambda x: x[:2])
         if not state.exists:
-            state.update((int(rows["landed_at"].iloc[0].value // 1_000_000),))
-            yield rows.head(1)
-        state.setTimeoutTimestamp(max(int(rows["landed_at"].iloc[-1].value // 1_000_000) + keep_ms, state.getCurrentWatermarkMs() + 1))
+            state.update((first[0] // 1000,))
+            yield pd.DataFrame({"row": [first[2]]})
+        state.setTimeoutTimestamp(max(max(x[0] for x in met) // 1000 + keep_ms, state.getCurrentWatermarkMs() + 1))
 
     return run
 
@@ -58,7 +63,9 @@ def stream_ingest(
     at = F.coalesce("landed_at", F.lit(as_of).cast("timestamp_ntz"))
     valid = raw.filter("coalesce(title, '') <> '' and coalesce(url, '') <> ''").withColumns({"landed_at": at, "url_key": canonical_url(F.col("url"))})
     timed = valid.withColumn("event_time", F.col("landed_at").cast("timestamp")).withWatermark("event_time", delay)
-    once = timed.groupBy("url_key").applyInPandasWithState(_first_writer(keep_ms), timed.schema, "first_at long", "append", GroupStateTimeout.EventTimeTimeout)
+    packed = timed.select("url_key", "event_time", F.unix_micros("event_time").alias("landed"), F.coalesce("arrival", F.lit((1 << 63) - 1)).alias("arrival"), F.to_json(F.struct(*valid.columns), _MICROS).alias("row"))
+    first = packed.groupBy("url_key").applyInPandasWithState(_first_writer(keep_ms), "row string", "first_at long", "append", GroupStateTimeout.EventTimeTimeout)
+    once = first.select(F.from_json("row", valid.schema, _MICROS).alias("row")).select("row.*")
 
     def append(batch: DataFrame, batch_id: int) -> None:
         own = f"batch={batch_id}"

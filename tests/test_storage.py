@@ -4,6 +4,7 @@ import datetime
 import os
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from newsloom import schemas
@@ -92,3 +93,25 @@ def test_connectors_fail_alone(spark, tmp_path):
     assert sorted(r.source for r in errors.collect()) == ["bad", "gone"] and errors.filter("source = 'bad'").first().error == "ValueError: no such feed"
     assert {(r.name, r.kind, r.enabled) for r in connectors.source_table(spark, made).collect()} == {("bad", "api", True), ("x", "rss", True), ("gone", "rss", True), ("off", "rss", False)}
     assert connectors.fetched(spark, [], AS_OF)[0].count() == 0
+
+
+def test_stream_state_is_given_few_columns():
+    """It is called for each URL: a row comes and goes as one text, the earliest to land (then to arrive) first."""
+
+    class State:
+        hasTimedOut, exists, value, timeout = False, False, None, None
+
+        def update(self, value):
+            self.value, self.exists = value, True
+
+        def setTimeoutTimestamp(self, at):
+            self.timeout = at
+
+        def getCurrentWatermarkMs(self):
+            return 0
+
+    state, run = State(), jobs._first_writer(1000)
+    part = lambda *rows: pd.DataFrame(rows, columns=["landed", "arrival", "row"])
+    out = list(run(("u",), iter([part((9_000, 1, "late"), (7_000, 5, "b")), part((7_000, 4, "a"))]), state))
+    assert [x.to_dict("list") for x in out] == [{"row": ["a"]}] and state.value == (7,) and state.timeout == 1009
+    assert list(run(("u",), iter([part((1_000, 1, "again"))]), state)) == []
