@@ -58,8 +58,9 @@ def cost_of(tier: Column, n_in: Column, n_out: Column) -> Column:
     return n_in * prices[tier][0] + n_out * prices[tier][1]
 
 
-def _payers(asked: DataFrame, calls: DataFrame, budgets: Budgets) -> DataFrame:
-    """(id, admitted) of the requests that pay, or would, of `asked` (id, cache_key, created_at, cost_usd, valid).
+def _payers(asked: DataFrame, calls: DataFrame, budgets: Budgets) -> tuple[DataFrame, DataFrame]:
+    """Which of `asked` (id, cache_key, created_at, cost_usd, valid) pay: (cache_key, paid_at) of keys with a valid response,
+    paid_at being (created_at, id) of the one that pays; (id) of admitted requests, which tells those of other keys.
 
     A key's first admitted request pays, and makes its later ones hits. Which one that is depends on the
     spending before it, and so on other keys' payers. Start with each key's first request. A refused payer gives
@@ -67,18 +68,19 @@ def _payers(asked: DataFrame, calls: DataFrame, budgets: Budgets) -> DataFrame:
     others of that day would be refused too. No payer is ever placed later than it belongs: the spending
     assumed is never more than the true one, so what it refuses is refused. So the payers only move on, and
     where none moves they are right. Only a key's first request of a day counts, and each round reads
-    just these. Keys without a valid response are never cached: all of their requests ask.
+    just these. Keys without a valid response are never cached: all of their requests ask. Budgets are told by ids
+    alone; keys, which are long, meet them again only where payers move.
     """
     first = asked.filter("valid").withColumn("day", F.col("created_at").cast("date")).groupBy("cache_key", "day").agg(F.min_by(F.struct("id", "created_at", "cost_usd"), F.struct("created_at", "id")).alias("r"))
     left = staged(first.select("cache_key", "day", "r.*"), "payers")
-    always = asked.filter("not valid").select("id", F.lit(None).cast("string").alias("cache_key"), "created_at", "cost_usd")
+    always = asked.filter("not valid").select("id", "created_at", "cost_usd", F.lit(False).alias("keyed"))
     while True:
         payers = left.groupBy("cache_key").agg(F.min_by(F.struct("id", "created_at", "cost_usd"), "day").alias("r")).select("r.id", "cache_key", "r.created_at", "r.cost_usd")
-        told = staged(_admission(payers.unionByName(always), calls, budgets.daily, budgets.monthly), "admission")
-        refused = told.filter(F.col("cache_key").isNotNull() & ~(F.col("_by_day") & F.col("_by_month")))
+        told = staged(_admission(payers.drop("cache_key").withColumn("keyed", F.lit(True)).unionByName(always), calls, budgets.daily, budgets.monthly), "admission")
+        refused = told.filter(F.col("keyed") & ~(F.col("_by_day") & F.col("_by_month")))
         if refused.isEmpty():
-            return told.select("id", (F.col("_by_day") & F.col("_by_month")).alias("admitted"))
-        past = refused.select("cache_key", F.when(F.col("_by_month"), F.col("_day")).otherwise(F.last_day("_day")).alias("upto"))
+            return payers.select("cache_key", F.struct("created_at", "id").alias("paid_at")), told.filter("_by_day and _by_month").select("id")
+        past = payers.select("id", "cache_key").join(refused.select("id", F.when(F.col("_by_month"), F.col("_day")).otherwise(F.last_day("_day")).alias("upto")), "id").drop("id")
         left = staged(left.join(past, "cache_key", "left").filter("upto is null or day > upto").drop("upto"), "payers")
 
 
@@ -110,17 +112,17 @@ def request_ledger(requests: DataFrame, responses: DataFrame, cache: DataFrame,
     met = cached(requests, cache, as_of, ttl_days).join(attempts(responses), "cache_key", "left")
     met = staged(met.withColumns({"cost_usd": F.coalesce(spent, F.lit(0.0)), "valid": F.coalesce("valid", F.lit(False))}), "requests")
     hit = F.col("cached_text").isNotNull()
-    payers = _payers(met.filter(~hit).select("id", "cache_key", "created_at", "cost_usd", "valid"), calls, budgets)
-    # A valid key's admitted payer comes with its place in time: what comes after it hits the cache.
-    paid = met.join(payers.filter("admitted"), "id")
-    when = paid.filter("valid").select("cache_key", F.struct("created_at", "id").alias("paid_at"))
-    told = met.join(paid.select("id", F.lit(True).alias("pays")), "id", "left").join(when, "cache_key", "left")
-    later = F.coalesce(F.struct("created_at", "id") > F.col("paid_at"), F.lit(False))
-    status = F.when(hit | later, "cache_hit").when(F.col("pays").isNull(), "budget_exceeded").when(F.col("valid"), "ok").otherwise("rejected")
-    told = staged(told.withColumn("status", status), "told")
+    paid, admitted = _payers(met.filter(~hit).select("id", "cache_key", "created_at", "cost_usd", "valid"), calls, budgets)
+    # A valid key's admitted payer comes with its place in time: what comes after it hits the cache. Each request is shuffled once.
+    place = F.struct("created_at", "id")
+    by_key = F.when(F.col("paid_at") == place, "ok").when(F.col("paid_at") < place, "cache_hit").otherwise("budget_exceeded")
+    told = met.filter(hit).withColumn("status", F.lit("cache_hit"))
+    told = told.unionByName(met.filter(~hit & F.col("valid")).join(paid, "cache_key", "left").withColumn("status", by_key).drop("paid_at"))
+    told = told.unionByName(met.filter(~hit & ~F.col("valid")).join(admitted.withColumn("pays", F.lit(True)), "id", "left").withColumn("status", F.when(F.col("pays"), "rejected").otherwise("budget_exceeded")).drop("pays"))
+    told = staged(told, "told")
 
     none = F.array().cast("array<struct<attempt:int,valid:boolean,response_text:string,input_tokens:bigint,output_tokens:bigint,latency_ms:bigint>>")
-    tries = F.when(F.col("pays"), F.coalesce("tries", none)).otherwise(none)
+    tries = F.when(F.col("status").isin("ok", "rejected"), F.coalesce("tries", none)).otherwise(none)
     rows = told.select("id", "purpose", "model", "prompt_version", "status", "created_at", F.explode_outer(tries).alias("t"))
     zero = lambda c: F.coalesce(F.col("t")[c], F.lit(0)).cast("long").alias(c)
     cost = F.when(F.col("t").isNull(), 0.0).otherwise(cost_of(F.col("model"), F.col("t.input_tokens"), F.col("t.output_tokens")))
@@ -128,15 +130,18 @@ def request_ledger(requests: DataFrame, responses: DataFrame, cache: DataFrame,
     ledger = rows.select("id", "purpose", "model", "prompt_version", zero("input_tokens"), zero("output_tokens"), F.coalesce(cost, F.lit(0.0)).alias("cost_usd"), zero("latency_ms"), of_try.alias("status"), "created_at", F.coalesce("t.attempt", F.lit(1)).cast("int").alias("attempt"))
 
     answers = told.filter(F.col("status").isin("ok", "cache_hit")).select("id", F.coalesce("cached_text", "response_text").alias("response_text"))
-    hits = told.filter("status = 'cache_hit'").groupBy("cache_key").agg(F.count("*").alias("more"))
     last = F.element_at("tries", -1)
-    new = told.filter("status = 'ok'").select("cache_key", "purpose", "model", "prompt_version", "response_text", last["input_tokens"].alias("input_tokens"), last["output_tokens"].alias("output_tokens"))
-    at = moment(as_of)
-    had = cache.select("cache_key", F.col("hit_count").alias("had"))
-    fresh = new.join(had, "cache_key", "left").withColumns({"hit_count": F.coalesce("had", F.lit(0)).cast("long"), "created_at": at, "last_hit_at": F.lit(None).cast("timestamp_ntz")})
-    after = cache.join(new.select("cache_key"), "cache_key", "left_anti").unionByName(fresh.select(cache.columns)).join(hits, "cache_key", "left")
-    after = after.withColumns({"hit_count": F.col("hit_count") + F.coalesce("more", F.lit(0)), "last_hit_at": F.when(F.col("more").isNotNull(), at).otherwise(F.col("last_hit_at"))})
-    return ledger, answers, after.select(cache.columns)
+    new = F.struct("purpose", "model", "prompt_version", "response_text", last["input_tokens"].alias("input_tokens"), last["output_tokens"].alias("output_tokens"))
+    ok = F.col("status") == "ok"
+    # One row for each key that was met: what it got, if it paid, and its hits; it meets the cache once.
+    keys = told.filter("status in ('ok', 'cache_hit')").groupBy("cache_key").agg(F.count_if(~ok).alias("more"), F.max(F.when(ok, new)).alias("new"))
+    at, fresh, more = moment(as_of), F.col("new").isNotNull(), F.coalesce("more", F.lit(0))
+    both = cache.withColumn("had", F.lit(True)).join(keys, "cache_key", "full").filter(F.col("had") | fresh)
+    got = {c: F.when(fresh, F.col("new")[c]).otherwise(F.col(c)) for c in ("purpose", "model", "prompt_version", "response_text", "input_tokens", "output_tokens")}
+    got["created_at"] = F.when(fresh, at).otherwise(F.col("created_at"))
+    got["last_hit_at"] = F.when(more > 0, at).when(~fresh, F.col("last_hit_at"))
+    got["hit_count"] = F.coalesce("hit_count", F.lit(0)).cast("long") + more
+    return ledger, answers, both.withColumns(got).select(cache.columns)
 
 
 def outcome_counts(ledger: DataFrame) -> DataFrame:

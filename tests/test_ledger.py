@@ -98,3 +98,14 @@ def test_one_day_with_all_requests_is_spread(spark):
     sizes = [x["count"] for x in ranged(rows, [F.col("created_at"), F.col("id")], 8).groupBy("_range").count().collect()]
     assert len(sizes) == 8 and max(sizes) < 4 * min(sizes)
     assert ledger.budget_admission(rows, None, 1.0, 9.0).filter("admitted").count() == 1000
+
+
+def test_keys_meet_the_cache_once(spark):
+    """The cache after a batch is one join of the cache and the keys that were met; what neither holds nor pays is left out."""
+    requests = spark.range(50).select("id", F.lit("p").alias("purpose"), F.concat(F.lit("k"), F.col("id") % 30).alias("cache_key"), F.lit("small").alias("model"), F.lit("v").alias("prompt_version"), F.lit(T0).cast("timestamp_ntz").alias("created_at"))
+    responses = spark.range(30).select(F.concat(F.lit("k"), "id").alias("cache_key"), F.lit('{"a": 1}').alias("response_text"), F.lit(100).alias("input_tokens"), F.lit(10).alias("output_tokens"), F.lit(5).cast("long").alias("latency_ms"))
+    cache = spark.createDataFrame([("k1", "p", "large", "v", "{}", 1, 1, 3, AS_OF, None), ("other", "p", "large", "v", "{}", 1, 1, 2, AS_OF, None)], RESPONSE_CACHE)
+    after = ledger.request_ledger(requests, responses, cache, spark.createDataFrame([], LLM_CALLS), health.Budgets(1, 10), AS_OF)[2]
+    got = {r.cache_key: (r.model, r.hit_count, r.last_hit_at is not None) for r in after.collect()}
+    assert len(got) == 31 and got["other"] == ("large", 2, False) and got["k1"] == ("large", 5, True) and got["k2"] == ("small", 1, True) and got["k25"] == ("small", 0, False)
+    assert after._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
