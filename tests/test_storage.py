@@ -127,3 +127,34 @@ def test_filings_land_in_one_folder(spark, tmp_path):
         found = files(path)
         assert len(found) == 5 and all(os.path.dirname(f) == path for f in found)
     assert queries.cik_keys(spark, str(tmp_path)).count() == sum(c % 4 != 0 for c in range(450))
+
+
+def test_urls_states_are_kept_in_buckets():
+    """Of many URLs in one call, each keeps its first row and its own time; the earliest time is the bucket's."""
+
+    class State:
+        hasTimedOut, exists, get, timeout, now = False, False, None, None, 0
+
+        def update(self, value):
+            self.get, self.exists = value, True
+
+        def remove(self):
+            self.get, self.exists = None, False
+
+        def setTimeoutTimestamp(self, at):
+            self.timeout = at
+
+        def getCurrentWatermarkMs(self):
+            return self.now
+
+    state, run = State(), jobs._first_writers(1000)
+    call = lambda *rows: [x for out in run((0,), iter([pd.DataFrame(rows[:2], columns=names), pd.DataFrame(rows[2:], columns=names)]), state) for x in out["row"]]
+    names = ["url_key", "landed", "arrival", "row"]
+    assert sorted(call(("u", 9_000, 1, "late"), ("v", 5_000_000, 2, "v1"), ("u", 7_000, 4, "a"), ("u", 7_000, 5, "b"))) == ["a", "v1"] and state.timeout == 1009
+    assert call(("u", 1_000, 1, "again"), ("w", 3_000, 9, "w1")) == ["w1"] and state.timeout == 1001
+    state.now, state.hasTimedOut = 2000, True
+    assert list(run((0,), iter([]), state)) == [] and state.timeout == 6000  # u and w are forgotten, v is held
+    state.hasTimedOut = False
+    assert call(("u", 2_500_000, 1, "u2"), ("v", 2_500_000, 1, "v2")) == ["u2"]
+    state.now, state.hasTimedOut = 9000, True
+    assert list(run((0,), iter([]), state)) == [] and not state.exists
